@@ -115,3 +115,18 @@ def joined(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     place[(np.cumsum(lengths) + np.arange(len(starts)))[:-1]] = False
     out[place] = body
     return out.tobytes()
+
+
+def shared_file(uri: str):
+    """(filesystem, path) of a file in the shared folder, for executors: Arrow opens local, HDFS and object-store addresses."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else fs.FileSystem.from_uri("file://" + uri.removeprefix("file:"))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """scratch(), made by the driver so that executors can write files in it."""
+    path = scratch(spark, name)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    return path

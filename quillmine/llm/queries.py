@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, secrets
+from . import decontam, media, mixing, secrets, token_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +48,10 @@ FROM best WHERE agreeing >= ceil(least(n, 13) * 0.8) GROUP BY doc_id, item_id
 """
 
 
+def op6_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
     line = secrets.joined_spans(F.col("spans"))
@@ -69,6 +81,10 @@ OP8_SQL = (
 )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -90,8 +106,12 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
+    "op6_avi_mjpeg": op6_avi_mjpeg,
     "op8_secret_scan": op8_secret_scan,
+    "op9_token_counts": op9_token_counts,
     "op10_source_mix": op10_source_mix,
 }
 ORACLES: dict[str, str] = {
