@@ -29,6 +29,8 @@ GRAMS = (3, 4, 5, 6, 7, 8)
 SAMPLE = 4000
 TOP = 16384
 THRESHOLD = 0.7
+#: How far the intercept leans from the classes' shares in the labels (0) to equal shares (1).
+LEAN = 0.75
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -79,7 +81,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int, decay: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int, decay: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression on a sparse matrix, by accelerated gradient steps; the intercept is free."""
     n = len(labels)
     weights, bias = np.zeros(width), 0.0
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # rows in a fixed order, so that sums do not depend on where tasks ran
     label = sampled["label"].to_numpy(float)
     weights, bias = logistic(row, column, ratio[column], label, len(bucket))
-    bias += np.log(counts[1] / counts[0]) - np.log(n1 / n0)
+    bias += (1 - LEAN) * np.log(counts[1] / counts[0]) - np.log(n1 / n0)
     full = np.zeros(1 << BITS)
     full[bucket] = weights * ratio
     return Model(full, float(bias))
