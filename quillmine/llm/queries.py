@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, mixing, secrets, token_scan, toxicity, warc
+from . import decontam, media, mixing, secrets, simhash, token_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ def op6_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.classes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
     line = secrets.joined_spans(F.col("spans"))
@@ -110,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op6_avi_mjpeg": op6_avi_mjpeg,
+    "op7_simhash": op7_simhash,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_source_mix": op10_source_mix,
