@@ -130,3 +130,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
     return path
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what park() wrote once nothing reads it any more, and let Spark drop the shuffle files of ended jobs."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM collects what refers to them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """doc_id as a long; rows without one get keys of their own, after all others."""
+    own = F.lit((1 << 63) - 1) - F.shiftrightunsigned(F.xxhash64(text), 2)
+    return F.coalesce(doc_id.cast("long"), own)

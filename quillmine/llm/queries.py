@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, mixing, secrets, simhash, token_scan, toxicity, warc
+from . import decontam, media, mixing, phrases, secrets, simhash, token_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS t FROM p),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS n FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM r WHERE n > 1),
+l AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, len(w) AS n, coalesce(len(gone), 0) AS m, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN l USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -111,6 +127,7 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_phrase_dedup": op1_phrase_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
@@ -121,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op10_source_mix": op10_source_mix,
 }
 ORACLES: dict[str, str] = {
+    "op1_phrase_dedup": OP1_SQL,
     "op4_decontamination": OP4_SQL,
     "op8_secret_scan": OP8_SQL,
     "op10_source_mix": OP10_SQL,
