@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, mixing, phrases, secrets, simhash, token_scan, toxicity, warc
+from . import decontam, media, mixing, phrases, secrets, simhash, suffixes, token_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ FROM best WHERE agreeing >= ceil(least(n, 13) * 0.8) GROUP BY doc_id, item_id
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
 
@@ -131,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_avi_mjpeg": op6_avi_mjpeg,
     "op7_simhash": op7_simhash,
     "op8_secret_scan": op8_secret_scan,
