@@ -16,7 +16,7 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, park, scratch
+from .common import checked_broadcast, let, park, scratch
 
 
 @dataclass(frozen=True)
@@ -131,3 +131,16 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
         F.greatest(a["at"], s["stop"]).alias("at"),
     )
     return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def mask(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]") -> DataFrame:
+    """docs with every secret in text masked, and n_chars (if there) of the new text; findings come back by blob, so rows without an id count too."""
+    spark = docs.sparkSession
+    book = BlobLedger(spark, ledger or scratch(spark, "ledger"))
+    book.scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    found = park(book.rows().where(F.size("spans") > 0).dropDuplicates(["blob"]).toDF("__blob", "__spans"), "found")
+    out = docs.join(checked_broadcast(found), blob_id(docs["text"]) == F.col("__blob"), "left")
+    held = F.col("__spans").isNotNull()
+    new = F.when(held, redact(docs["text"], F.col("__spans"), mark)).otherwise(docs["text"])
+    columns = {"text": new, "n_chars": F.when(held, F.length(new).cast("long")).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {"text": new}
+    return out.select([columns.get(c, docs[c]).alias(c) for c in docs.columns])

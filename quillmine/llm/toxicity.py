@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import blocks, park, texts
 
-BITS = 20
+BITS = 18
 GRAMS = (3, 4, 5, 6, 7, 8)
 #: Labelled texts of each class that the fit uses at most.
-SAMPLE = 4000
-TOP = 16384
+SAMPLE = 2000
+TOP = 4096
 THRESHOLD = 0.7
 #: How far the intercept leans from the classes' shares in the labels (0) to equal shares (1).
 LEAN = 0.75
@@ -125,19 +125,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             part = at[k : k + (1 << 16)]
             yield pa.record_batch([pa.array(part), pa.array(seen[0, part]), pa.array(seen[1, part])], ["bucket", "no", "yes"])
 
-    # 2**BITS rows at most reach the driver
-    seen = rows.mapInArrow(count, "bucket long, no long, yes long").groupBy("bucket").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).toPandas()
+    seen = park(rows.mapInArrow(count, "bucket long, no long, yes long").groupBy("bucket").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")), "buckets")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = counts[1] / total
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
-    no, yes, n0, n1 = seen["no"].to_numpy(float), seen["yes"].to_numpy(float), sizes[0], sizes[1]
-    both = no + yes
-    chance = both * n1 / (n0 + n1)
-    strength = (yes - chance) ** 2 / (chance * (1 - both / (n0 + n1 + 1)) + 1)
-    best = np.lexsort((seen["bucket"].to_numpy(), -strength))[:TOP]
-    bucket = seen["bucket"].to_numpy()[best]
-    ratio = np.log((yes[best] + 1) / (yes.sum() + len(both))) - np.log((no[best] + 1) / (no.sum() + len(both)))
+    n0, n1 = sizes[0], sizes[1]
+    sums = seen.agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"), F.count("*").alias("buckets")).first()
+    both = F.col("no") + F.col("yes")
+    chance = both * (n1 / (n0 + n1))
+    strength = F.pow(F.col("yes") - chance, 2) / (chance * (1 - both / (n0 + n1 + 1)) + 1)
+    best = seen.orderBy(F.desc(strength), "bucket").limit(TOP).collect()
+    bucket, no, yes = (np.array([r[c] for r in best], t) for c, t in (("bucket", np.int64), ("no", float), ("yes", float)))
+    ratio = np.log((yes + 1) / (sums["yes"] + sums["buckets"])) - np.log((no + 1) / (sums["no"] + sums["buckets"]))
     place = np.full(1 << BITS, -1, np.int32)
     place[bucket] = np.arange(len(bucket))
 
@@ -153,12 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # 2 * sample rows of TOP small numbers at most
     sampled = rows.mapInArrow(reduce, "label int, features array<int>").toPandas()
-    features = [np.asarray(x, np.int64) for x in sampled["features"]]
-    row = np.repeat(np.arange(len(features)), [len(x) for x in features])
-    column = np.concatenate(features) if features else np.zeros(0, np.int64)
-    # rows in a fixed order, so that sums do not depend on where tasks ran
+    row = np.repeat(np.arange(len(sampled), dtype=np.int32), [len(x) for x in sampled["features"]])
+    column = np.concatenate([np.asarray(x, np.int32) for x in sampled["features"]])
     label = sampled["label"].to_numpy(float)
-    weights, bias = logistic(row, column, ratio[column], label, len(bucket))
+    weights, bias = logistic(row, column, ratio.astype(np.float32)[column], label, len(bucket))
     bias += (1 - LEAN) * np.log(counts[1] / counts[0]) - np.log(n1 / n0)
     full = np.zeros(1 << BITS)
     full[bucket] = weights * ratio
