@@ -39,7 +39,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TTL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.TTL_DAYS.items())
-OBS = f"""log AS (SELECT user_id AS id, count(*) AS n, max(epoch(ts))::BIGINT AS last FROM events GROUP BY 1),
+OBS = f"""log AS (SELECT user_id AS id, count(*) AS n, floor(max(epoch(ts)))::BIGINT AS last FROM events GROUP BY 1),
 b AS (SELECT doc_id AS id, text, lang, source, last, {list(TYPES)!r}[doc_id % 10 + 1] AS type, {NOW} - (doc_id * 7919 % 200) * 86400 - (doc_id % 24) * 3600 AS created_at_epoch, coalesce(n % 7, 0) AS access_count FROM documents LEFT JOIN log ON doc_id = id),
 obs AS (SELECT id, type, created_at_epoch, access_count, CASE WHEN access_count > 0 THEN last END AS last_accessed_epoch, type IN {rules.IMMUNE_TYPES!r} AS decay_immune,
 created_at_epoch + CASE type {_TTL} END * 86400 AS expires_at_epoch, false AS archived, 1.0::DOUBLE AS relevance_score, substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS content, source AS project_root,
