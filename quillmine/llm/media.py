@@ -7,7 +7,7 @@ for every block: packing and unpacking work on whole arrays. The stream is frame
 
 Reading: the index gives the frames (without one, the movi list is walked); their DC images are decoded, this writer's
 by arrays, other baseline frames block by block. A cut is a step of the luma histogram above an adaptive threshold:
-the mean and deviation of the steps before it. Clips are timed rows between cuts.
+the mean and deviation of the steps before it in the same shot. Clips are timed rows between cuts.
 
 Cases: null and empty texts are 64 zero bytes; equal texts give equal files; an empty table gives an empty result;
 bytes that are no AVI file raise ValueError in decode() and give no clip rows in clips(). Further columns pass by.
@@ -263,7 +263,8 @@ def cuts(images: list[np.ndarray]) -> list[int]:
     steps = [0.5 * float(np.abs(a - b).sum()) for a, b in zip(histograms, histograms[1:])]
     found = []
     for k, step in enumerate(steps):
-        before = np.asarray(steps[max(0, k - WINDOW) : k] or [0.0])
+        shot = found[-1] if found else 0  # steps of this shot only
+        before = np.asarray(steps[max(shot, k - WINDOW) : k] or [0.0])
         if step > FLOOR and step > before.mean() + SIGMAS * before.std():
             found.append(k + 1)
     return found

@@ -96,8 +96,8 @@ class BlobLedger:
         held = unseen.where(F.col("holder").isNotNull()).select(F.col("holder").alias("path"), F.col("blob").alias("want"))
         texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text"))
         one = texts.join(held, "path").withColumn("blob", blob_id(F.col("text"))).where("blob = want")
-        # a path with several versions, or the same one repeated, must not scan a blob twice
-        self._append(find(one.select("blob", "text"), self.rules))
+        # a path may have several versions, and rows may repeat
+        self._append(find(one.select("blob", "text"), self.rules).dropDuplicates(["blob"]))
         stray = unseen.where(F.col("holder").isNull()).select("blob")
         if not stray.isEmpty():
             lost = versions.where(F.col("path").isNull()).select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))

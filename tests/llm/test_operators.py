@@ -1,0 +1,234 @@
+"""Every operator against a plain version on hard rows, and on an empty table."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillmine.llm import components, decontam, media, mixing, phrases, secrets, simhash, suffixes, token_scan, toxicity, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows(df):
+    return df.toPandas()
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
+
+
+def test_phrases(hard, nothing):
+    docs = texts(hard)
+    seen, gone = {}, {}
+    for i in sorted(docs):
+        w = WORD.findall(docs[i])
+        cover = np.zeros(len(w) + 1, int)
+        for k in range(len(w) - 19):
+            if seen.setdefault(tuple(w[k : k + 20]), (i, k)) != (i, k):
+                cover[k : k + 20] = 1
+        gone[i] = (len(w), int(cover[: len(w)].sum()), hashlib.sha256(" ".join(x for x, c in zip(w, cover) if not c).encode()).hexdigest())
+    out = rows(phrases.remove_repeats(hard))
+    assert len(out) == hard.count() and out.n_removed.sum() > 0
+    assert all(tuple(r)[1:4] == gone[r.doc_id] for r in out.itertuples(index=False))
+    assert rows(phrases.remove_repeats(nothing)).empty
+
+
+def test_suffixes(hard, nothing):
+    unique = hard.dropDuplicates(["doc_id"])
+    docs = {i: t.encode() for i, t in texts(unique).items()}
+    count = Counter(b[k : k + 200] for b in docs.values() for k in range(len(b) - 199))
+    out = rows(suffixes.remove_repeats(unique)).set_index("doc_id")
+    assert out.n_removed.sum() > 0
+    for i, b in docs.items():
+        cover = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                cover[k : k + 200] = 1
+        kept = bytes(x for x, c in zip(b, cover) if not c)
+        spans = int((np.diff(cover[: len(b)], prepend=0) == 1).sum())
+        r = out.loc[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(cover[: len(b)].sum()), spans, hashlib.sha256(kept).hexdigest())
+    assert rows(suffixes.remove_repeats(nothing)).empty
+
+
+def test_loser_tree_sorts_and_knows_prefixes():
+    rng = np.random.default_rng(1)
+    runs = [suffixes.Run([(bytes(rng.integers(97, 99, rng.integers(0, 12)).tolist()), b"", k, 1, 0, 0) for k in range(n)]) for n in (5, 1, 9, 3, 0, 7) if n]
+    runs = [suffixes.Run.unpack(r.pack()) for r in runs]
+    got = list(suffixes.merge(runs))
+    order = [runs[r].entries[k][0] for r, k, _ in got]
+    assert order == sorted(e[0] for r in runs for e in r.entries)
+    assert [h for _, _, h in got][1:] == [suffixes.common(a, b) for a, b in zip(order, order[1:])]
+
+
+def plain_fingerprint(text):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    shingles = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_roots(values, threshold):
+    root = {v: v for v in values}
+    while True:
+        new = {v: min([root[v], *(root[u] for u in values if (u ^ v).bit_count() <= threshold)]) for v in values}
+        if new == root:
+            return root
+        root = new
+
+
+def test_simhash(hard, nothing):
+    fp = {i: plain_fingerprint(t) for i, t in texts(hard).items()}
+    root = plain_roots(sorted(set(fp.values())), 2)
+    least = {}
+    for i, f in fp.items():
+        least[root[f]] = min(i, least.get(root[f], i))
+    out = rows(simhash.classes(hard))
+    assert len(out) == hard.count()
+    assert all(r.fp & (1 << 64) - 1 == fp[r.doc_id] and r.component_id == least[root[fp[r.doc_id]]] for r in out.itertuples())
+    kept = rows(simhash.keep_one(hard))
+    assert sorted(kept.doc_id) == sorted(set(least.values())) and list(kept.columns) == hard.columns
+    assert rows(simhash.classes(nothing)).empty and rows(simhash.keep_one(nothing)).empty
+
+
+@pytest.mark.parametrize("crowd", [4, 512])
+def test_simhash_links_of_crowds(spark, crowd):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    values = set(base)
+    for b in base[:6]:
+        now = b
+        for _ in range(60):
+            now ^= 1 << int(rng.integers(64))
+            values.add(now)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), 2, crowd)
+    roots = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    mine = {v[0]: roots.get(v[0], v[0]) for v in signed}
+    plain = plain_roots(sorted(values), 2)
+    groups = lambda of: {frozenset(k for k in of if of[k] == r) for r in set(of.values())}
+    unsigned = {k & (1 << 64) - 1: v for k, v in mine.items()}
+    assert groups(unsigned) == groups(plain)
+
+
+def test_anchor_within_radius():
+    x = np.random.default_rng(0).integers(0, 1 << 63, 2000, dtype=np.uint64)
+    a = simhash.anchors(x)
+    assert np.bitwise_count(a ^ x).max() <= 5 and (simhash.anchors(a) == a).all()
+
+
+def test_secrets(spark, hard, nothing):
+    patterns = [("assign", re.compile(secrets.RULES[0].pattern), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
+    found = secrets.scan_secrets(hard.select(F.col("doc_id").alias("path"), "text")).withColumn("line", secrets.joined_spans(F.col("spans")))
+    got = rows(found)
+    assert len(got) == hard.count()
+    for i, t in texts(hard).items():
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(patterns) for m in p.finditer(t) if len(m[g]) >= n)
+        assert set(got[got.path == i].line) == {",".join(f"{patterns[k][0]}:{a}:{b}" for a, k, b in spans)}
+    assert rows(secrets.scan_secrets(nothing.select(F.col("doc_id").alias("path"), "text"))).empty
+    masked = texts(secrets.mask(hard))
+    assert masked[10] == "[secret] [secret] [secret] token: short".replace("[secret] [", '[secret]" [', 1) and masked[7] == texts(hard)[7]
+    assert secrets.mask(hard).columns == hard.columns
+
+
+def test_ledger_scans_only_what_is_new(spark, hard, tmp_path):
+    book = secrets.BlobLedger(spark, f"file://{tmp_path}/ledger")
+    book.scan(hard.select(F.col("doc_id").alias("path"), "text"))
+    n = book.rows().count()
+    book.scan(hard.select((F.col("doc_id") + 100).alias("path"), "text"))
+    assert book.rows().count() == n == hard.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
+def test_decontamination(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    swapped = item.replace("five", "FÜNF").replace("ten", "zehn")
+    docs = spark.createDataFrame([(1, f"a b {item.upper()} c"), (2, f"x {swapped}, y"), (3, " ".join(item.split()[:7])), (4, None), (5, ""), (None, item), (1, f"a b {item.upper()} c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, None), (9, "too short")], "item_id long, text string")
+    out = rows(decontam.overlaps(docs, bench))
+    assert sorted(out.doc_id.fillna(-1)) == [-1, 1, 2] and set(out.item_id) == {7}
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [3, 4, 5]
+    assert rows(decontam.overlaps(docs, bench.limit(0))).empty and rows(decontam.overlaps(docs.limit(0), bench)).empty
+
+
+def test_mixing(hard, nothing):
+    out = rows(mixing.mix_sizes(hard))
+    sizes = out.groupby(["source_size", "target"])["size"].sum()
+    assert len(out) == hard.count() and abs(sum(t for _, t in sizes.index) - out["size"].sum()) < 1e-6
+    assert (out.taken <= 3 * out["size"]).all() and (out.target <= 3 * out.source_size + 1e-9).all()
+    assert set(mixing.mix(hard).columns) == set(hard.columns)
+    assert rows(mixing.mix_sizes(nothing)).empty and rows(mixing.mix(nothing)).empty
+
+
+def test_token_scan(hard, nothing):
+    import tiktoken
+
+    table = token_scan.ranks(token_scan.VOCABULARY)
+    enc = tiktoken.Encoding("plain", pat_str=token_scan.PATTERN, mergeable_ranks=table, special_tokens={})
+    docs = hard.union(hard.limit(1).withColumn("text", F.lit("a<|endoftext|>b")))
+    want = sorted((r["doc_id"], len(enc.encode_ordinary(r["text"] or ""))) for r in docs.collect())
+    for block in (17, 1 << 20):
+        assert sorted(map(tuple, token_scan.count_tokens(docs, block=block).collect())) == want
+    assert rows(token_scan.count_tokens(nothing)).empty
+
+
+def test_media(hard, nothing):
+    out = rows(media.read_media(media.store_texts(hard)))
+    docs = {i: t.encode() for i, t in texts(hard).items()}
+    for r in out.itertuples():
+        payload = docs[r.doc_id].ljust(max(64, -(-len(docs[r.doc_id]) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert rows(media.read_media(media.store_texts(nothing))).empty
+    assert media.clips(media.store_texts(hard)).where("first_frame = 0").count() == hard.count()
+
+
+def test_frames_read_without_the_fast_path_and_without_the_index(monkeypatch):
+    payload = bytes(range(256)) * 20
+    data = media.encode(payload)
+    got, images, _ = media.decode(data)
+    assert got == payload
+    assert media.decode(data[: data.rindex(b"idx1")])[0] == payload
+    a, b = media.parse(data)["frames"][0]
+    monkeypatch.setattr(media, "_TABLES", b"none")
+    assert (media.dc_image(data[a:b]) == images[0]).all()
+    with pytest.raises(ValueError):
+        media.decode(b"RIFF\0\0\0\0WAVE")
+
+
+def test_cuts():
+    dark, light = np.zeros((8, 8), int), np.full((8, 8), 200)
+    assert media.cuts([dark, dark, dark, light, light, dark]) == [3, 5] and media.cuts([dark]) == []
+
+
+def test_warc(spark):
+    pages = spark.createDataFrame([(1, "http://a/ b", "same"), (2, None, "same"), (3, "http://c", "other é"), (4, "u", None), (5, "u", ""), (6, "v", "x" * 400_000), (None, "n", "same"), (3, "http://c", "other é")], "page_id long, url string, html string")
+    index = warc.write_archives(pages, frame=1000)
+    out = rows(warc.read_archives(index))
+    key = lambda r: (-1 if r[0] != r[0] else int(r[0]), r[1], None if r[2] != r[2] else int(r[2]))
+    got = sorted(map(key, zip(out.page_id, out.record_type, out.refers_to)), key=repr)
+    want = [(1, "revisit", 2), (2, "response", None), (3, "response", None), (3, "response", None), (4, "revisit", 5), (5, "response", None), (6, "response", None), (-1, "revisit", 2)]
+    assert got == sorted(want, key=repr)
+    assert out[out.page_id == 3].payload_digest.iloc[0] == warc.base32_sha1("other é".encode())
+    header, payload = warc.read_record(index, 1)
+    assert payload == b"same" and header["warc-target-uri"] == "http://a/%20b"
+    assert warc.read_record(index, 99) is None and rows(warc.read_archives(warc.write_archives(pages.limit(0)))).empty
+
+
+def test_toxicity(spark, nothing):
+    bad = [(k, f"plain text number {k} you stupid scum", 1) for k in range(60)]
+    good = [(k + 100, f"plain text number {k} about the weather", 0) for k in range(60)]
+    docs = spark.createDataFrame([(i, t, "z") for i, t, _ in bad + good] + [(300, None, "z"), (301, "", "z")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in bad + good] + [(None, 1), (999, 0), (300, None)], "doc_id long, toxic int")
+    out = rows(toxicity.classify(docs, labels)).set_index("doc_id")
+    assert (out.loc[[i for i, _, _ in bad]].predicted == 1).all() and (out.loc[[i for i, _, _ in good]].predicted == 0).all()
+    assert out.score.between(0, 1).all() and out.score[300] == out.score[301]
+    assert all(out.held_out[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in out.index)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 62
+    assert rows(toxicity.classify(docs.limit(0), labels)).empty
+    assert (rows(toxicity.classify(docs, labels.where("toxic = 0"))).score < 1e-9).all()
