@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, memory_queries, search_queries
+from . import code_queries, graph_queries, memory_queries, relational_queries, search_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (memory_queries, search_queries, graph_queries)
+_MODULES = (memory_queries, search_queries, graph_queries, code_queries, relational_queries)
 QUERIES: dict[str, Query] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
