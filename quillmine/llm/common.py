@@ -106,10 +106,10 @@ def joined(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     if not len(starts):
         return b""
     lengths = ends - starts
-    keep = np.zeros(len(flat) + 1, np.int32)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, ends, -1)
-    body = flat[np.cumsum(keep[:-1]) > 0] if len(flat) else flat
+    keep = np.zeros(len(flat) + 1, np.int8)
+    keep[starts] += 1
+    keep[ends] -= 1
+    body = flat[np.cumsum(keep[:-1], dtype=np.int8) > 0]
     out = np.full(int(lengths.sum()) + len(starts) - 1, 0x20, np.uint8)
     place = np.ones(len(out), bool)
     place[(np.cumsum(lengths) + np.arange(len(starts)))[:-1]] = False

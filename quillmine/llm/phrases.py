@@ -16,6 +16,7 @@ keep a null doc_id; an empty table gives an empty result. Further columns are no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import sha256
 
 import ahocorasick
@@ -37,8 +38,20 @@ class Block:
     def __init__(self, flat: np.ndarray, offsets: np.ndarray):
         self.flat = flat
         self.starts, self.ends, self.first = word_bounds(flat, offsets)
-        self.words = ranges(prefix(flat.astype(np.uint64) + np.uint64(1), BASES[0]), self.starts, self.ends, BASES[0])
-        self.phrase = sliding(prefix(self.words, BASES[1]), PHRASE, BASES[1])
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        return ranges(prefix(self.flat.astype(np.uint64) + np.uint64(1), BASES[0]), self.starts, self.ends, BASES[0])
+
+    @cached_property
+    def phrase(self) -> np.ndarray:
+        return sliding(prefix(self.words, BASES[1]), PHRASE, BASES[1])
+
+    def line(self, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words (those to keep) with one space around each, and where each starts and ends."""
+        starts, ends = (self.starts, self.ends) if keep is None else (self.starts[keep], self.ends[keep])
+        stop = np.cumsum(ends - starts + 1)
+        return b" " + joined(self.flat, starts, ends) + b" ", stop - (ends - starts), stop
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit hashes of the windows that start at the words at."""
@@ -60,26 +73,28 @@ class Block:
 def _candidates(block: Block, wanted: list[np.ndarray]) -> np.ndarray:
     """Words at which windows start that hold an occurrence of one of their own row's wanted phrases, located by an automaton."""
     automaton, located = ahocorasick.Automaton(), np.zeros(len(block.starts) + 1, np.int64)
-    for row, own in enumerate(wanted):
-        if len(own):
-            a, b = block.first[row], block.first[row + 1]
-            for k in a + np.flatnonzero(np.isin(block.phrase[a : max(a, b - PHRASE + 1)].view(np.int64), own)):
-                key = b" " + joined(block.flat[block.starts[k] : block.ends[k + PHRASE - 1]], block.starts[k : k + PHRASE] - block.starts[k], block.ends[k : k + PHRASE] - block.starts[k]) + b" "
-                automaton.add_word(key.decode("latin-1"), int(block.phrase[k].view(np.int64)))
-    if not len(automaton):
+    rows = [row for row, own in enumerate(wanted) if len(own)]
+    if not rows:
+        return np.zeros(0, np.int64)
+    line, begin, stop = block.line()
+    known = set()
+    for row in rows:
+        a, b = block.first[row], block.first[row + 1]
+        k = a + np.flatnonzero(np.isin(block.phrase[a : max(a, b - PHRASE + 1)].view(np.int64), wanted[row]))
+        for phrase, i, j in zip(block.phrase[k].view(np.int64).tolist(), begin[k].tolist(), stop[k + PHRASE - 1].tolist()):
+            if phrase not in known:
+                known.add(phrase)
+                automaton.add_word(line[i - 1 : j + 1].decode("latin-1"), phrase)
+    if not known:
         return np.zeros(0, np.int64)
     automaton.make_automaton()
-    length = PHRASE
-    for row, own in enumerate(wanted):
-        if len(own):
-            a, b = block.first[row], block.first[row + 1]
-            starts, ends = block.starts[a:b], block.ends[a:b]
-            base = starts[0]
-            line = b" " + joined(block.flat[base : ends[-1]], starts - base, ends - base) + b" "
-            mine = set(own.tolist())
-            last = [end for end, phrase in automaton.iter(line.decode("latin-1")) if phrase in mine]
-            stops = np.cumsum(ends - starts + 1)  # of each word, the place of the space behind it
-            located[a + np.searchsorted(stops, last) - length + 1] = 1
+    for row in rows:
+        a, b = block.first[row], block.first[row + 1]
+        if b > a:
+            from_ = int(begin[a]) - 1
+            mine = set(wanted[row].tolist())
+            last = [end for end, phrase in automaton.iter(line[from_ : stop[b - 1] + 1].decode("latin-1")) if phrase in mine]
+            located[np.searchsorted(stop, np.asarray(last, np.int64) + from_) - PHRASE + 1] = 1
     reach = np.concatenate([[0], np.cumsum(located)])
     row = np.repeat(np.arange(len(wanted)), np.diff(block.first))
     start = np.arange(len(block.starts))
@@ -140,20 +155,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for a, b in blocks(offsets):
                 own, firsts = _lists(batch.column("phrases")[a:b]), _lists(batch.column("earliest")[a:b])
                 block = Block(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at = _candidates(block, own)
-                kept_starts = [block.first[row] + x for row, x in enumerate(firsts)]
-                later = np.setdiff1d(at, np.concatenate(kept_starts) if kept_starts else at[:0])
-                step = np.zeros(len(block.starts) + 1, np.int64)
-                np.add.at(step, later, 1)
-                np.add.at(step, later + WINDOW, -1)
-                keep = np.cumsum(step[:-1]) == 0
+                keep = np.ones(len(block.starts), bool)
+                some = [row for row in range(b - a) if len(own[row])]
+                if some:  # hashes are needed for these rows only
+                    part = Block(np.concatenate([flat[offsets[a + r] : offsets[a + r + 1]] for r in some]), np.concatenate([[0], np.cumsum([offsets[a + r + 1] - offsets[a + r] for r in some])]))
+                    first = np.concatenate([part.first[n] + firsts[r] for n, r in enumerate(some)])
+                    later = np.setdiff1d(_candidates(part, [own[r] for r in some]), first)
+                    step = np.zeros(len(part.starts) + 1, np.int64)
+                    step[later] += 1
+                    step[later + WINDOW] -= 1
+                    gone = np.cumsum(step[:-1]) > 0
+                    for n, r in enumerate(some):
+                        keep[block.first[r] : block.first[r + 1]] = ~gone[part.first[n] : part.first[n + 1]]
+                line, begin, stop = block.line(keep)
+                left = np.concatenate([[0], np.cumsum(keep)])[block.first]
                 rows = []
                 for row in range(b - a):
-                    i, j = block.first[row], block.first[row + 1]
-                    mask = keep[i:j]
-                    base = block.starts[i] if j > i else 0
-                    line = joined(block.flat[base : block.ends[j - 1] if j > i else 0], block.starts[i:j][mask] - base, block.ends[i:j][mask] - base)
-                    rows.append((int(j - i), int(j - i - mask.sum()), sha256(line).hexdigest(), line))
+                    i, j, n = int(left[row]), int(left[row + 1]), int(block.first[row + 1] - block.first[row])
+                    kept = line[begin[i] : stop[j - 1]] if j > i else b""
+                    rows.append((n, n - (j - i), sha256(kept).hexdigest(), kept))
                 columns = list(zip(*rows))
                 yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
