@@ -4,7 +4,7 @@ A window is WINDOW consecutive words. Every window has a phrase, the PHRASE word
 have equal phrases. (1) The phrases of all documents are counted by hash; those that recur are confirmed and go back
 to the documents that hold them. (2) Each block of documents is a shard: the recurring phrases of its documents are
 compiled into an Aho-Corasick automaton, and the block's whole texts are streamed through it, which locates every
-occurrence. The windows around an occurrence are candidates; the earliest place of each (by 128-bit hash) is found by
+occurrence. The windows whose phrase occurs are candidates; the earliest place of each (by 128-bit hash) is found by
 a pre-aggregated minimum. (3) The texts are streamed again: candidates that are not earliest are removed.
 Shards follow the documents, so each text meets the automaton of its own shard only and the work grows with the input.
 
@@ -59,19 +59,23 @@ class Block:
         two = ranges(prefix(mix(self.words + np.uint64(7)), BASES[0]), at, at + WINDOW, BASES[0])
         return one.view(np.int64), two.view(np.int64)
 
-    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, word) of every window's phrase, each once."""
+    def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first word, word of its phrase) of every window."""
         least = minimizers(self.phrase, WINDOW - PHRASE + 1)
         row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[: len(least)]
-        whole = np.arange(len(least)) + WINDOW <= self.first[row + 1]
-        row, place = row[whole], least[whole]
+        start = np.flatnonzero(np.arange(len(least)) + WINDOW <= self.first[row + 1])
+        return row[start], start, least[start]
+
+    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, word) of every window's phrase, each once."""
+        row, _, place = self.anchored()
         new = np.ones(len(place), bool)
         new[1:] = place[1:] != place[:-1]
         return row[new], place[new]
 
 
 def _candidates(block: Block, wanted: list[np.ndarray]) -> np.ndarray:
-    """Words at which windows start that hold an occurrence of one of their own row's wanted phrases, located by an automaton."""
+    """Words at which windows start whose phrase is one of their row's wanted ones, located by an automaton."""
     automaton, located = ahocorasick.Automaton(), np.zeros(len(block.starts) + 1, np.int64)
     rows = [row for row, own in enumerate(wanted) if len(own)]
     if not rows:
@@ -95,11 +99,8 @@ def _candidates(block: Block, wanted: list[np.ndarray]) -> np.ndarray:
             mine = set(wanted[row].tolist())
             last = [end for end, phrase in automaton.iter(line[from_ : stop[b - 1] + 1].decode("latin-1")) if phrase in mine]
             located[np.searchsorted(stop, np.asarray(last, np.int64) + from_) - PHRASE + 1] = 1
-    reach = np.concatenate([[0], np.cumsum(located)])
-    row = np.repeat(np.arange(len(wanted)), np.diff(block.first))
-    start = np.arange(len(block.starts))
-    inside = start + WINDOW <= block.first[row + 1]
-    return start[inside][reach[start[inside] + WINDOW - PHRASE + 1] > reach[start[inside]]]
+    row, start, place = block.anchored()
+    return start[located[place] > 0]
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -140,11 +141,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 at = _candidates(block, own)
                 row = np.searchsorted(block.first, at, "right") - 1
                 one, two = block.windows(at)
+                # of equal windows in a document the first is enough
+                _, new = np.unique(mix(one.view(np.uint64) + np.uint64(1)) ^ two.view(np.uint64) ^ mix(row.astype(np.uint64)), return_index=True)
+                at, row, one, two = at[new], row[new], one[new], two[new]
                 yield pa.record_batch([pa.array(one), pa.array(two), pa.array(key[a:b][row]), pa.array((at - block.first[row]).astype(np.int32))], ["one", "two", "key", "start"])
 
     places = source.select("key", "text").join(wanted, "key").mapInArrow(locate, "one long, two long, key long, start int")
-    earliest = places.groupBy("one", "two").agg(F.min(F.struct("key", "start")).alias("at"))
-    earliest = park(earliest.groupBy(F.col("at.key").alias("key")).agg(F.collect_set("at.start").alias("earliest")), "earliest")
+    # a key has one start for each window, so the start of the least key is the earliest; plain columns keep the aggregation hashed
+    earliest = places.groupBy("one", "two").agg(F.min("key").alias("first"), F.min_by("start", "key").alias("start"))
+    earliest = park(earliest.groupBy(F.col("first").alias("key")).agg(F.collect_set("start").alias("earliest")), "earliest")
     sweep(docs.sparkSession)
     notes = wanted.join(earliest, "key", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
