@@ -102,7 +102,7 @@ class BlobLedger:
         if not stray.isEmpty():
             lost = versions.where(F.col("path").isNull()).select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
             self._append(find(lost.join(stray, "blob", "left_semi").dropDuplicates(["blob"]), self.rules))
-        return paths.join(self.rows().dropDuplicates(["blob"]), "blob").select("path", "blob", "spans")
+        return paths.join(self.rows(), "blob").select("path", "blob", "spans")
 
     def _append(self, found: DataFrame) -> None:
         found.select("blob", F.lit(self.version).alias("rule_version"), "spans").write.mode("append").parquet(self.path)
