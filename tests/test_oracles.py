@@ -1,8 +1,10 @@
 """Every query with SQL gives the rows that DuckDB gives on the same tables."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillmine.plans import registry
@@ -21,7 +23,12 @@ def duck():
 
 def canon(frame):
     frame = frame[sorted(frame.columns)]
-    cell = lambda v: "null" if v is None or v != v else (f"{v:.5g}" if isinstance(v, float) else str(v))
+
+    def cell(v):
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return "null"
+        return f"{float(v):.9g}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
+
     return list(frame.columns), sorted(tuple(cell(v) for v in row) for row in frame.itertuples(index=False))
 
 
