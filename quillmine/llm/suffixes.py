@@ -25,6 +25,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +73,12 @@ class Run:
         columns = list(zip(*self.entries))
         small = np.array([self.shared, list(map(len, columns[0])), list(map(len, columns[1])), columns[3], columns[4], columns[5]], np.uint8)
         tails = b"".join(e[0][s:] for e, s in zip(self.entries, self.shared))
-        return len(self.entries).to_bytes(4, "little") + small.tobytes() + np.array(columns[2], "<u4").tobytes() + tails + b"".join(columns[1])
+        data = len(self.entries).to_bytes(4, "little") + small.tobytes() + np.array(columns[2], "<u4").tobytes() + tails + b"".join(columns[1])
+        return zstandard.ZstdCompressor(level=1).compress(data)
 
     @classmethod
     def unpack(cls, data: bytes) -> Run:
+        data = zstandard.ZstdDecompressor().decompress(data)
         n = int.from_bytes(data[:4], "little")
         shared, size, left, copies, least, most = np.frombuffer(data, np.uint8, 6 * n, 4).reshape(6, n).tolist()
         number = np.frombuffer(data, "<u4", n, 4 + 6 * n).tolist()
