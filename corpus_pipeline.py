@@ -1,7 +1,7 @@
 """From raw documents to a training mix: every stage works on all that its predecessor kept.
 
 toxicity          rows that the classifier rejects go
-near_duplicates   one document of each SimHash class stays, the one of smallest doc_id
+near_duplicates   one document of each class of 5-word shingle Jaccard >= 0.8 stays, the one of smallest doc_id
 decontamination   rows that overlap a benchmark item go
 secrets           every secret is masked; no row goes
 mixing            rows are repeated to the sources' targets, numbered by copy_number
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmine.llm import decontam, mixing, secrets, simhash, toxicity
+from quillmine.llm import decontam, mixing, near, secrets, toxicity
 from quillmine.llm.common import park
 
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,8 +193,12 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one row of each class: that of the smallest doc_id, and one only if rows repeat it. Rows with a null doc_id cannot be told apart and stay."""
-    rows = park(classes(docs, threshold).where("doc_id IS NOT NULL"), "classes")
+    return keep_smallest(docs, classes(docs, threshold))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each class of found (doc_id, component_id): that of the smallest doc_id, and one only if rows repeat it. Rows with a null doc_id cannot be told apart and stay."""
+    rows = park(found.where("doc_id IS NOT NULL"), "classes")
     gone = park(rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     twice = park(rows.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__gone")).agg(F.count("*").alias("n")).where("n > 1").select("__gone"), "twice")
     out = docs.join(checked_broadcast(gone.unionByName(twice)), F.col("doc_id") == F.col("__gone"), "left_anti")
