@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import graph as G
 from .bindings import table
@@ -23,6 +24,19 @@ def edges(spark, d):
     return o.select(F.col("c").alias("src"), F.col("e").alias("dst")).distinct()
 
 
+#: A symbol depends on the next one if it follows so often.
+THETA = 2
+
+
+def whole(spark, d):
+    """The dependency graph of SURVEY §7.3 from whole tables: symbols to next symbols of a user (node 3k), and suppliers (3k + 1) to their parts (3k + 2)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).withColumn("next", F.lead("k").over(w))
+    symbols = e.where("k IS NOT NULL AND next IS NOT NULL").groupBy("k", "next").agg(F.count("*").alias("n")).where(F.col("n") >= THETA)
+    parts = table(spark, d, "lineitem").select((3 * F.col("l_suppkey") + 1).alias("src"), (3 * F.col("l_partkey") + 2).alias("dst")).distinct()
+    return symbols.select((3 * F.col("k")).alias("src"), (3 * F.col("next")).alias("dst")).unionByName(parts)
+
+
 def one(spark, node):
     return spark.createDataFrame([(node,)], "node long")
 
@@ -45,3 +59,23 @@ add("modularity", lambda s, d: G.modularity(edges(s, d), G.label_propagation(edg
 add("dependents_budget", lambda s, d: G.dependents(edges(s, d), 7, 20), f"WITH {_E} SELECT * FROM (SELECT src, sum(length(src::VARCHAR)) OVER (ORDER BY src)::BIGINT AS chars FROM ed WHERE dst = 7) WHERE chars <= 20")
 add("degrees", lambda s, d: G.degrees(edges(s, d)), f"WITH {_E} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM ed UNION ALL SELECT dst, 0, 1 FROM ed) GROUP BY 1")
 add("reverse_graph", lambda s, d: G.reverse(edges(s, d)), f"WITH {_E} SELECT dst AS src, src AS dst FROM ed")
+
+# The same over the whole tables; the queries above keep the small graph that their SQL names.
+add("dependencies_bfs_whole", lambda s, d: G.bfs(whole(s, d), one(s, 36)).select("node", "depth"))
+add("change_impact_whole", lambda s, d: G.change_impact(whole(s, d), one(s, 5)))
+add("call_chain_whole", lambda s, d: G.call_chain(whole(s, d), one(s, 36), 297))
+add("graph_components_whole", lambda s, d: G.components(whole(s, d)))
+add("import_cycles_whole", lambda s, d: G.cycles(whole(s, d)))
+add("random_walk_whole", lambda s, d: G.random_walk(whole(s, d), 3))
+add("label_propagation_whole", lambda s, d: G.label_propagation(G.cut(whole(s, d))))
+
+
+def modularity_whole(s, d):
+    e = G.cut(whole(s, d))
+    return G.modularity(e, G.label_propagation(e))
+
+
+add("modularity_whole", modularity_whole)
+add("dependents_budget_whole", lambda s, d: G.dependents(whole(s, d), 5, 20))
+add("degrees_whole", lambda s, d: G.degrees(whole(s, d)))
+add("reverse_graph_whole", lambda s, d: G.reverse(whole(s, d)))
