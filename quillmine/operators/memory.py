@@ -120,8 +120,8 @@ def title_pairs(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity) of rows (id, title) whose titles' token sets have Jaccard similarity of threshold or more.
 
     Prefix filter: tokens are ordered rarest first, and a pair that similar shares one of the first
-    size - ceil(threshold * size) + 1 tokens of both, so candidates come from an equi-join. Equal titles are one row
-    until the end and give their pairs by class.
+    size - ceil(threshold * size) + 1 tokens of both, so candidates come from an equi-join. Equal titles are one row,
+    that of smallest id; title_members names the rows it stands for.
     """
     named = rows.select("id", F.array_join(F.array_sort(space_tokens(F.col("title"))), " ").alias("name")).where("name <> ''")
     sets = named.groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "n", F.split("name", " ").alias("tokens"))
@@ -137,6 +137,23 @@ def title_pairs(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     return pairs.where(F.col("similarity") >= threshold).distinct()
 
 
+def title_members(rows: DataFrame) -> DataFrame:
+    """(id, representative, n) of every row (id, title): the smallest id with the same token set, and how many rows have it. A title without tokens is like no other: n is 1."""
+    named = rows.select("id", F.array_join(F.array_sort(space_tokens(F.col("title"))), " ").alias("name"))
+    sets = named.where("name <> ''").groupBy("name").agg(F.min("id").alias("representative"), F.count("*").alias("n"))
+    return named.join(sets, "name", "left").select("id", F.coalesce("representative", "id").alias("representative"), F.coalesce("n", F.lit(1)).alias("n"))
+
+
+def title_links(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(id, representative, n, links) of every row: links counts the other rows of similarity threshold or more, equal titles among them."""
+    members = title_members(rows)
+    pairs = title_pairs(rows, threshold)
+    sizes = members.where("id = representative").select(F.col("id").alias("b"), F.col("n").alias("m"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    more = both.join(sizes, "b").groupBy(F.col("a").alias("representative")).agg(F.sum("m").alias("m"))
+    return members.join(more, "representative", "left").select("id", "representative", "n", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+
+
 def timeline(obs: DataFrame, anchor_id: int, hours: int = 24) -> DataFrame:
     """Rows within hours of the anchor row."""
     at = F.broadcast(obs.where(F.col("id") == anchor_id).select(F.col("created_at_epoch").alias("anchor")).limit(1))

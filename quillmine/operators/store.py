@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import rules
 from ..functions.columns import content_hash, dot, jaccard, pick, space_tokens, strip_private, tokens
 from . import graph
-from .memory import title_pairs
+from .memory import title_members, title_pairs
 
 VERSION = 1
 
@@ -83,10 +83,12 @@ def hash_(t: int, b: int, k: int) -> int:
 
 
 def title_clusters(rows: DataFrame, threshold: float = 0.4, least: int = 3) -> DataFrame:
-    """(id, cluster) of single-link clusters of least titles or more."""
+    """(id, cluster) of single-link clusters of least titles or more; rows of equal titles are members of their own."""
     pairs = title_pairs(rows, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    members = graph.components(pairs).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    return members.withColumn("n", F.count("*").over(Window.partitionBy("cluster"))).where(F.col("n") >= least).select("id", "cluster")
+    linked = graph.components(pairs).select(F.col("node").alias("representative"), "component")
+    members = title_members(rows).join(linked, "representative", "left").select("id", F.coalesce("component", "representative").alias("cluster"))
+    large = members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return members.join(large, "cluster").select("id", "cluster")
 
 
 def distill(rows: DataFrame, clusters: DataFrame, share: float = 0.7) -> DataFrame:

@@ -70,6 +70,7 @@ on_obs("hash_duplicates", M.hash_duplicates, f"SELECT h AS content_hash, min(id)
 on_obs("dedup_sweep", M.dedup_sweep, f"SELECT id, kept_id FROM (SELECT id, min(id) OVER (PARTITION BY project_root, h) AS kept_id FROM (SELECT id, project_root, {HASH} AS h FROM obs) WHERE h IS NOT NULL) WHERE id <> kept_id")
 on_obs("title_near_duplicates", M.title_pairs, f"""SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM (SELECT min(id) AS id, t FROM (SELECT id, list_sort({TOK}) AS t FROM obs) WHERE len(t) > 0 GROUP BY t) a
 JOIN (SELECT min(id) AS id, t FROM (SELECT id, list_sort({TOK}) AS t FROM obs) WHERE len(t) > 0 GROUP BY t) b ON a.id < b.id AND a.t[1] <= b.t[len(b.t)] AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t) WHERE len(list_intersect(a.t, b.t)) >= 0.7 * len(list_distinct(list_concat(a.t, b.t)))""")
+add("title_near_duplicate_links", lambda spark, d: M.title_links(observations(spark, d).select("id", "title")))
 on_obs("timeline", lambda o: M.timeline(o, 42, 48), "SELECT o.id, o.type, o.created_at_epoch - a.created_at_epoch AS offset_s FROM obs o, (SELECT created_at_epoch FROM obs WHERE id = 42) a WHERE abs(o.created_at_epoch - a.created_at_epoch) <= 172800")
 on_obs("observations_by_file", lambda o: M.by_file(o, "en/src1.py"), "SELECT id, file_path, importance, created_at_epoch FROM obs WHERE file_path = 'en/src1.py' OR file_path LIKE '%/en/src1.py'")
 on_obs("auto_links", M.symbol_links, "SELECT hub AS source_id, id AS target_id FROM (SELECT id, min(id) OVER (PARTITION BY project_root, symbol) AS hub FROM obs) WHERE id <> hub")
