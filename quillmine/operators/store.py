@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions.columns import content_hash, dot, jaccard, pick, space_tokens, strip_private, tokens
-from . import graph
+from . import dense, graph
 from .memory import title_members, title_pairs
 
 VERSION = 1
@@ -65,21 +65,12 @@ def front_matter(files: DataFrame) -> DataFrame:
     return files.select("path", F.coalesce(F.trim(F.try_element_at(fields, F.lit("type"))), F.lit("note")).alias("type"), F.trim(F.try_element_at(fields, F.lit("name"))).alias("title"), F.regexp_replace(F.regexp_replace("text", r"(?s)\A---\n.*?\n---\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
-def vector_clusters(vectors: DataFrame, least: float = 0.9, bits: int = 6, tables: int = 8) -> DataFrame:
-    """(id, cluster) of rows (id, embedding) joined by pairs of cosine least or more. Pairs meet in a table of sign bits: a bucket is split by length of list only through the join, never collected."""
-    width = vectors.select(F.size("embedding")).first()[0]
-    planes = lambda t, b: F.array(*[F.lit(1.0 if (hash_(t, b, k) & 1) else -1.0) for k in range(width)])
-    key = lambda t: F.concat(F.lit(f"{t}:"), *[F.when(dot(F.col("embedding"), planes(t, b)) > 0, "1").otherwise("0") for b in range(bits)])
-    keyed = vectors.select("id", "embedding", F.explode(F.array(*[key(t) for t in range(tables)])).alias("bucket"))
-    a, b = keyed.toDF("a", "ea", "bucket"), keyed.toDF("b", "eb", "bucket")
-    pairs = a.join(b, "bucket").where("a < b").where(dot(F.col("ea"), F.col("eb")) >= least).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    return graph.components(pairs).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-
-
-def hash_(t: int, b: int, k: int) -> int:
-    import zlib
-
-    return zlib.crc32(f"{t}/{b}/{k}".encode()) >> 7
+def vector_clusters(vectors: DataFrame, least: float = 0.9, bits: int = 6, tables: int = 8, singles: bool = False) -> DataFrame:
+    """(id, cluster) of rows (id, embedding) joined by pairs of cosine least or more, and with singles every other row as its own cluster. All pairs are compared, block by block (bits and tables are no longer used)."""
+    found = graph.components(graph.cut(dense.near(vectors, least))).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    if not singles:
+        return found
+    return vectors.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def title_clusters(rows: DataFrame, threshold: float = 0.4, least: int = 3) -> DataFrame:

@@ -32,7 +32,7 @@ add("update_observations", lambda s, d: W.update(observations(s, d).select("id",
 add("front_matter", lambda s, d: W.front_matter(s.createDataFrame([("a.md", "---\ntype: warning\nname: Be careful\n---\nBody\n"), ("b.md", "plain")], "path string, text string")).select("path", "type", F.coalesce("title", F.lit("")).alias("title"), "body"), "path, type, title, body", [("a.md", "warning", "Be careful", "Body"), ("b.md", "note", "", "plain")])
 add("title_clusters", lambda s, d: W.title_clusters(observations(s, d).select("id", "title"), 0.7, 2))
 add("distill", lambda s, d: W.distill(s.createDataFrame([(1, "never commit secrets a"), (2, "never commit secrets b"), (3, "never commit secrets c")], "id long, title string"), s.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, cluster long")), "cluster, members, tokens", [(1, 3, "commit never secrets")])
-add("vector_clusters", lambda s, d: W.vector_clusters(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")))
+add("vector_clusters", lambda s, d: W.vector_clusters(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), singles=True))
 add("reasoning_search", lambda s, d: W.goal_search(observations(s, d).select("id", F.col("title").alias("goal")), "the the for of and that thion", 0.05), sql=f"""WITH {OBS}, t AS (SELECT id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9_]{{3,}}')) AS t, ['the', 'for', 'and', 'that', 'thion'] AS q FROM obs)
 SELECT * FROM (SELECT id, round(len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))), 6) AS similarity FROM t WHERE len(t) > 0) WHERE similarity >= 0.05""")
 add("symbol_value", lambda s, d: observations(s, d).select("id", W.symbol_value("the for", F.col("id") % 5, (F.lit(NOW) - F.col("created_at_epoch")) / 86400, F.col("access_count"), F.col("title")).alias("value")), sql=f"""WITH {OBS}, t AS (SELECT *, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t, ['the', 'for'] AS q FROM obs)
