@@ -34,21 +34,29 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 50) -> DataFrame:
-    """(node, depth, parent) of what seeds (node) reach within depth steps; the parent is the smallest of the last level."""
+#: Rounds after which a loop is taken not to end.
+ROUNDS = 10_000
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, depth, parent) of what seeds (node) reach, within depth steps if given; the parent is the smallest of the last level."""
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     seen = cut(seeds.select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).distinct())
     level = seen
-    for d in range(1, depth + 1):
+    for d in range(1, (ROUNDS if depth is None else depth) + 1):
         step = level.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         level = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent"))
         if level.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(level)
+        if d % 16 == 0:
+            seen = cut(seen)
+    if depth is None:
+        raise RuntimeError(f"no end after {ROUNDS} rounds")
     return seen
 
 
-def change_impact(edges: DataFrame, node: DataFrame, depth: int = 50) -> DataFrame:
+def change_impact(edges: DataFrame, node: DataFrame, depth: int | None = None) -> DataFrame:
     """Everything that depends on node, with confidence 0.6 ** (depth - 1), 0.05 at least."""
     out = bfs(reverse(edges), node, depth).where("depth > 0")
     return out.select("node", "depth", F.round(F.greatest(F.lit(0.05), F.pow(F.lit(0.6), F.col("depth") - 1)), 6).alias("confidence"))
@@ -79,15 +87,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
-def cycles(edges: DataFrame, depth: int = 30) -> DataFrame:
-    """(node, cycle): strongly connected components of two nodes or more, named by their smallest; forward and backward colouring."""
+def cycles(edges: DataFrame, loops: bool = False) -> DataFrame:
+    """(node, cycle): strongly connected components of two nodes or more, named by their smallest, and with loops the nodes that only have an edge to themselves; forward and backward colouring."""
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    found = []
-    for _ in range(depth):
+    alone = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("cycle")).distinct()
+    found = None
+    for k in range(ROUNDS):
         left = _trim(left)
         if left.isEmpty():
             break
-        fore = _colour(left)
+        fore = _colour(left, k % 2 == 0)
         inside = left.join(fore.toDF("src", "cs"), "src").join(fore.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst", "cs")
         back = fore.where("node = colour").select("node", F.col("node").alias("cycle"))
         level, members = back, cut(back)
@@ -98,16 +107,18 @@ def cycles(edges: DataFrame, depth: int = 30) -> DataFrame:
                 break
             members = members.unionByName(level)
         members = cut(members)
-        found.append(members)
+        found = members if found is None else found.unionByName(members)
+        if k % 16 == 15:
+            found = cut(found)
         gone = members.select("node")
         left = cut(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
-    if not found:
-        return left.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    else:
+        raise RuntimeError(f"no end after {ROUNDS} rounds")
+    if found is None:
+        return alone if loops else alone.limit(0)
     size = F.count("*").over(Window.partitionBy("cycle"))
-    return out.withColumn("n", size).where("n > 1").select("node", F.min("node").over(Window.partitionBy("cycle")).alias("cycle"))
+    out = found.withColumn("n", size).where("n > 1").select("node", F.min("node").over(Window.partitionBy("cycle")).alias("cycle"))
+    return out.unionByName(alone.join(out.select("node"), "node", "left_anti")) if loops else out
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -119,12 +130,13 @@ def _trim(edges: DataFrame) -> DataFrame:
             return edges
 
 
-def _colour(edges: DataFrame) -> DataFrame:
-    """(node, colour): the largest node from which each is reached."""
+def _colour(edges: DataFrame, least: bool) -> DataFrame:
+    """(node, colour): the smallest or the largest node from which each is reached. Rounds take turns: chains of components whose ids rise or fall come off at once in one of them."""
+    pick, of = (F.least, F.min) if least else (F.greatest, F.max)
     now = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
     while True:
-        step = edges.join(now.toDF("src", "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("c"))
-        after = cut(now.join(step, "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour")))
+        step = edges.join(now.toDF("src", "c"), "src").groupBy(F.col("dst").alias("node")).agg(of("c").alias("c"))
+        after = cut(now.join(step, "node", "left").select("node", pick("colour", F.coalesce("c", "colour")).alias("colour")))
         if after.join(now.toDF("node", "old"), "node").where("colour <> old").isEmpty():
             return after
         now = after

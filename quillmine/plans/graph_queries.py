@@ -65,7 +65,7 @@ add("dependencies_bfs_whole", lambda s, d: G.bfs(whole(s, d), one(s, 36)).select
 add("change_impact_whole", lambda s, d: G.change_impact(whole(s, d), one(s, 5)))
 add("call_chain_whole", lambda s, d: G.call_chain(whole(s, d), one(s, 36), 297))
 add("graph_components_whole", lambda s, d: G.components(whole(s, d)))
-add("import_cycles_whole", lambda s, d: G.cycles(whole(s, d)))
+add("import_cycles_whole", lambda s, d: G.cycles(whole(s, d), loops=True))
 add("random_walk_whole", lambda s, d: G.random_walk(whole(s, d), 3))
 add("label_propagation_whole", lambda s, d: G.label_propagation(G.cut(whole(s, d))))
 
