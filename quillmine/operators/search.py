@@ -38,6 +38,31 @@ def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("id", F.round(dot(F.col("embedding"), q), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def bm25_each(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query, id, score, place): the best limit rows of docs (id, text) for every row of queries (query, text), scored as bm25 does."""
+    wanted = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    rows = docs.select("id", tokens(F.col("text")).alias("t"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_dl"))
+    tf = rows.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    parts = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("id", "term", part.alias("part"))
+    found = parts.join(wanted, "term").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= limit)
+
+
+def rrf_each(lists: list[DataFrame], limit: int, k: int = RRF_K) -> DataFrame:
+    """(query, id, score): ranked lists (query, id, place) fused for every query; a query that a list lacks gets nothing from it."""
+    both = lists[0].select("query", "id", "place")
+    for x in lists[1:]:
+        both = both.unionByName(x.select("query", "id", "place"))
+    out = both.groupBy("query", "id").agg(F.round(F.sum(1.0 / (k + F.col("place"))), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return out.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
 def rrf(lists: list[DataFrame], k: int = RRF_K, limit: int = 20) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (id, score), each already cut to its top rows."""
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))

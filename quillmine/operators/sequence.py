@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import dot
+from . import dense
+from .graph import cut
 
 
 def transitions(calls: DataFrame) -> DataFrame:
@@ -100,6 +102,17 @@ def similar_sessions(signature: DataFrame, session: int, least: float = 0.5, k:
     return out.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "session").limit(k)
 
 
+def similar_each(signature: DataFrame, sessions: Column, least: float = 0.5, k: int = 3) -> DataFrame:
+    """(query, session, similarity): similar_sessions for every session that the condition holds for. The signature has few dimensions, so rows become dense vectors."""
+    names = sorted(r["dim"] for r in signature.select("dim").distinct().collect())
+    parts = [F.coalesce(F.max(F.when(F.col("dim") == n, F.col("value"))), F.lit(0.0)) for n in names]
+    if not names:
+        return signature.select(F.col("session").alias("query"), "session", F.col("value").alias("similarity")).limit(0)
+    vectors = cut(signature.groupBy("session").agg(F.array(*parts).alias("embedding")).withColumnRenamed("session", "id"))
+    found = dense.top(vectors, vectors.where(sessions), k, unit=True, itself=False, least=least)
+    return found.select("query", F.col("id").alias("session"), F.col("score").alias("similarity"))
+
+
 def lattice(calls: DataFrame, outcome: Column) -> DataFrame:
     """Beta(1, 1) posteriors by state: mean and trials."""
     out = calls.groupBy("state").agg((1 + F.count_if(outcome)).alias("alpha"), (1 + F.count_if(~outcome)).alias("beta"))

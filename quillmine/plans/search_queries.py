@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import dense
 from ..operators import search as S
 from ..operators import sequence as Q
 from .bindings import table
@@ -45,6 +46,20 @@ add("hybrid_search", lambda s, d: S.hybrid(docs(s, d), vectors(s, d), *query_of(
     SELECT id, round(sum(1.0::DOUBLE / (60 + p)), 6) AS score FROM (FROM b UNION ALL FROM v) GROUP BY id ORDER BY score DESC, id LIMIT 20""")
 
 
+# The same for every row whose id 50 divides, against all rows; the queries above keep the one query that their SQL names.
+def bm25_each(s, d, limit=40):
+    return S.bm25_each(docs(s, d), table(s, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query"), "text"), limit)
+
+
+def knn_each(s, d, k=40):
+    return dense.top(vectors(s, d), vectors(s, d).where("id % 50 = 0"), k)
+
+
+add("bm25_search_each", lambda s, d: bm25_each(s, d).drop("place"))
+add("knn_search_each", lambda s, d: knn_each(s, d).drop("place"))
+add("hybrid_search_each", lambda s, d: S.rrf_each([bm25_each(s, d), knn_each(s, d)], 20))
+
+
 def files(spark, d):
     return table(spark, d, "documents").select(F.format_string("doc/%06d", "doc_id").alias("path"), "text")
 
@@ -90,6 +105,7 @@ UNION ALL SELECT session, 'bucket:' || bucket, round(n / max(n) OVER (PARTITION
 sig = lambda s, d: Q.session_signature(calls(s, d), ["view", "click"])
 add("session_signature", sig, f"WITH {_SG} SELECT * FROM sg")
 add("similar_sessions", lambda s, d: Q.similar_sessions(sig(s, d), 1), f"WITH {_SG}, nm AS (SELECT session, sqrt(sum(value * value)) AS norm FROM sg GROUP BY 1) SELECT x.session, round(sum(x.value * y.value) / (any_value(a.norm) * any_value(b.norm)), 6) AS similarity FROM sg x JOIN sg y ON x.dim = y.dim AND y.session = 1 AND x.session <> 1 JOIN nm a ON a.session = x.session JOIN nm b ON b.session = 1 GROUP BY 1 HAVING similarity >= 0.5 ORDER BY 2 DESC, 1 LIMIT 3")
+add("similar_sessions_each", lambda s, d: Q.similar_each(sig(s, d), F.col("id") % 50 == 0))
 add("lattice_stats", lambda s, d: Q.lattice(calls(s, d), F.col("value") > 100), "SELECT event_type AS state, round((1 + count(*) FILTER (value > 100)) / (2 + count(*)), 6)::DOUBLE AS mean, count(*) AS trials FROM events GROUP BY 1")
 
 
