@@ -42,10 +42,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def park(df: DataFrame, name: str) -> DataFrame:
+def park(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -132,13 +132,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what park() wrote once nothing reads it any more, and let Spark drop the shuffle files of ended jobs."""
     for df in tables:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            remove_folder(df.sparkSession, file.rsplit("/", 1)[0])
     if tables:
         sweep(tables[0].sparkSession)
 

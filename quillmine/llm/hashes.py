@@ -60,8 +60,14 @@ def window_minimum(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For every run of width hashes, the place of the least (by its upper bits), the leftmost of equals. Empty if there are fewer."""
+    """For every run of width hashes, the place of the least (by its upper bits), the leftmost of equals. Empty if there are fewer.
+
+    A place is packed into the INDEX_BITS lower bits; longer arrays are taken in pieces that overlap by width - 1."""
+    most = 1 << INDEX_BITS
+    if len(hashes) > most:
+        step = most - width + 1
+        return np.concatenate([at + minimizers(hashes[at : at + most], width) for at in range(0, len(hashes) - width + 1, step)])
     if len(hashes) < width:
         return np.zeros(0, np.int64)
-    low = np.uint64((1 << INDEX_BITS) - 1)
+    low = np.uint64(most - 1)
     return (window_minimum((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), width) & low).astype(np.int64)

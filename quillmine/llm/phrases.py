@@ -1,20 +1,24 @@
 """Substring dedup by repeated-phrase automata.
 
 A window is WINDOW consecutive words. Every window has a phrase, the PHRASE words of least hash in it, so equal windows
-have equal phrases. (1) The phrases of all documents are counted by hash; those that recur are confirmed and go back
-to the documents that hold them. (2) Each block of documents is a shard: the recurring phrases of its documents are
-compiled into an Aho-Corasick automaton, and the block's whole texts are streamed through it, which locates every
-occurrence. The windows whose phrase occurs are candidates; the earliest place of each (by 128-bit hash) is found by
-a pre-aggregated minimum. (3) The texts are streamed again: candidates that are not earliest are removed.
-Shards follow the documents, so each text meets the automaton of its own shard only and the work grows with the input.
-
-Cases: null and empty texts have no words; texts of fewer than WINDOW words lose none; doc_id is a key, and rows
-that repeat it must be equal and all get that document's result; rows with a null doc_id come after all others and
-keep a null doc_id; an empty table gives an empty result. Further columns are not read.
+have equal phrases. (1) Texts are laid out in shards; of equal texts only the first is looked at, as every window of
+its copies starts earlier there. (2) Phrases are counted by hash; where a hash recurs, the shard's texts give the
+passages themselves, and a passage whose text is found twice is confirmed. (3) Each shard has the confirmed passages
+of its documents, compiled into Aho-Corasick automata of at most PASSAGES each, and all documents of the shard are streamed through them.
+Their hits, and nothing else, give the places. (4) Windows whose phrase stands at such a place are candidates; the
+earliest place of each (by 128-bit hash) is found by a pre-aggregated minimum. (5) The texts are read once more:
+candidates that are not earliest are removed.
+A shard's automata hold only what its own documents repeat, so work grows with the input; no step exchanges a text.
+
+Cases: null and empty texts have no words; texts of fewer than WINDOW words lose none; rows with a null doc_id come
+after all others, in an order of their own (by text), and keep a null doc_id; of rows that are equal, or have equal
+texts and no doc_id, one comes first and the others lose every window; rows that share a doc_id with different texts
+count as one document; an empty table gives an empty result. doc_id must be an integer. Further columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 from hashlib import sha256
@@ -25,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, joined, park, row_key, sweep, texts, word_bounds
+from .common import discard, joined, remove_folder, sweep, texts, word_bounds
 from .hashes import BASES, minimizers, mix, prefix, ranges, sliding
+from .shards import Notes, chosen, firsts, lay_out, pieces, recurring, ship
 
 WINDOW = 20
 PHRASE = 8
-
+#: Passages in one automaton (about 50 nodes each).
+PASSAGES = 40_000
+#: An item about words of a row: row << ROW_BITS | word << 5 | windows that start from there on.
+ROW_BITS = 45
 
 class Block:
     """Words of a block of texts, with phrase and window hashes at every word."""
@@ -74,113 +82,152 @@ class Block:
         return row[new], place[new]
 
 
-def _candidates(block: Block, wanted: list[np.ndarray]) -> np.ndarray:
-    """Words at which windows start whose phrase is one of their row's wanted ones, located by an automaton."""
-    automaton, located = ahocorasick.Automaton(), np.zeros(len(block.starts) + 1, np.int64)
-    rows = [row for row, own in enumerate(wanted) if len(own)]
-    if not rows:
-        return np.zeros(0, np.int64)
-    line, begin, stop = block.line()
-    known = set()
-    for row in rows:
-        a, b = block.first[row], block.first[row + 1]
-        k = a + np.flatnonzero(np.isin(block.phrase[a : max(a, b - PHRASE + 1)].view(np.int64), wanted[row]))
-        for phrase, i, j in zip(block.phrase[k].view(np.int64).tolist(), begin[k].tolist(), stop[k + PHRASE - 1].tolist()):
-            if phrase not in known:
-                known.add(phrase)
-                automaton.add_word(line[i - 1 : j + 1].decode("latin-1"), phrase)
-    if not known:
-        return np.zeros(0, np.int64)
-    automaton.make_automaton()
-    for row in rows:
-        a, b = block.first[row], block.first[row + 1]
-        if b > a:
-            from_ = int(begin[a]) - 1
-            mine = set(wanted[row].tolist())
-            last = [end for end, phrase in automaton.iter(line[from_ : stop[b - 1] + 1].decode("latin-1")) if phrase in mine]
-            located[np.searchsorted(stop, np.asarray(last, np.int64) + from_) - PHRASE + 1] = 1
-    row, start, place = block.anchored()
-    return start[located[place] > 0]
-
-
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in (v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in column)]
-
-
-def recurring_phrases(docs: DataFrame) -> DataFrame:
-    """(key, phrases) of the documents (key, text) that hold a recurring phrase, written."""
+def automata(passages: list[bytes]) -> Iterator[ahocorasick.Automaton]:
+    """Passages (words with a space around each), compiled PASSAGES at a time."""
+    for at in range(0, len(passages), PASSAGES):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for passage in passages[at : at + PASSAGES]:
+            automaton.add_word(passage.decode("latin-1"))
+        automaton.make_automaton()
+        yield automaton
+
+
+def occurrences(block: Block, passages: list[bytes]) -> np.ndarray:
+    """Which words of the block start a passage."""
+    line, _, stop = block.line()
+    stream, located = line.decode("latin-1"), np.zeros(len(block.starts) + 1, bool)
+    for automaton in automata(passages):
+        last = np.fromiter((end for end, _ in automaton.iter(stream)), np.int64)
+        located[np.searchsorted(stop, last) - PHRASE + 1] = True
+    return located
+
+
+def confirmed(laid: DataFrame, first: str) -> str:
+    """Shipped: the passages of each shard that are found twice, in whatever shards."""
+    phrase = lambda flat, offsets: (lambda b: b.phrase[b.chosen()[1]])(Block(flat, offsets))
+    again = recurring(laid, first, phrase)
+    sweep(laid.sparkSession)
+    wanted = ship(again.select("shard", "item"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offsets = texts(batch.column("text"))
-            key = batch.column("key").to_numpy()
-            for a, b in blocks(offsets):
-                block = Block(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                row, place = block.chosen()
-                yield pa.record_batch([pa.array(block.phrase[place].view(np.int64)), pa.array(key[a:b][row])], ["phrase", "key"])
-
-    chosen = park(docs.mapInArrow(run, "phrase long, key long"), "chosen")
-    again = chosen.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase")
-    out = park(chosen.join(again, "phrase").groupBy("key").agg(F.collect_set("phrase").alias("phrases")), "phrases")
-    discard(chosen)
+        own, hashes = Notes(first), Notes(wanted)
+        for shard, piece in pieces(batches):
+            if not len(some := hashes.longs(shard)):
+                continue
+            block = Block(*texts(chosen(piece, own.longs(shard)).column("text")))
+            place = block.chosen()[1]
+            place = place[np.isin(block.phrase[place].view(np.int64), some)]
+            line, begin, stop = block.line()
+            found = Counter(line[i - 1 : j + 1] for i, j in zip(begin[place].tolist(), stop[place + PHRASE - 1].tolist()))
+            yield pa.record_batch([pa.array([shard] * len(found), pa.int64()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["shard", "item", "n"])
+
+    passages = laid.select("shard", "row", "text").mapInArrow(run, "shard long, item binary, n long")
+    twice = passages.groupBy("item").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards")).where("n > 1")
+    out = ship(twice.select(F.explode("shards").alias("shard"), "item"), "passages")
+    discard(again)
+    remove_folder(laid.sparkSession, wanted)
     return out
 
 
+def located(laid: DataFrame, first: str, passages: str) -> str:
+    """Shipped: the runs of candidate windows of each shard, from the automata's hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = Notes(first), Notes(passages)
+        for shard, piece in pieces(batches):
+            if (some := known.of(shard)) is None:
+                continue
+            part = chosen(piece, own.longs(shard))
+            block = Block(*texts(part.column("text")))
+            hits = occurrences(block, some.to_pylist())
+            row, start, place = block.anchored()
+            at = np.flatnonzero(hits[place])
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(start[at]) > 1) | (np.diff(place[at]) != 0) | (np.diff(row[at]) != 0)
+            head = np.flatnonzero(new)
+            n = np.diff(np.append(head, len(at)))
+            row, start = row[at[head]], start[at[head]]
+            item = (part.column("row").to_numpy()[row].astype(np.int64) << ROW_BITS) | (start - block.first[row]) << 5 | n
+            yield pa.record_batch([pa.array(np.full(len(item), shard)), pa.array(item)], ["shard", "item"])
+
+    return ship(laid.select("shard", "row", "text").mapInArrow(run, "shard long, item long"), "runs")
+
+
+def spread(items: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in rows, start) of every candidate window of runs; rows (ascending) are those of a piece, runs of others are left out."""
+    place = np.searchsorted(rows, items >> ROW_BITS)
+    items, place = (x[np.append(rows, -1)[place] == items >> ROW_BITS] for x in (items, place))
+    n = items & 31
+    start = (items >> 5 & (1 << ROW_BITS - 5) - 1).repeat(n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return place.repeat(n), start
+
+
+def earliest(laid: DataFrame, first: str, runs: str) -> str:
+    """Shipped: (row, starts) of the windows that start nowhere earlier, among the candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, mine = Notes(first), Notes(runs)
+        for shard, piece in pieces(batches):
+            if not len(items := mine.longs(shard)):
+                continue
+            part = chosen(piece, own.longs(shard))
+            block = Block(*texts(part.column("text")))
+            row, start = spread(items, part.column("row").to_numpy())
+            key = part.column("key").to_numpy()[row]
+            one, two = block.windows(block.first[row] + start)
+            # of equal windows of a piece the first is enough
+            order = np.lexsort((start, key))
+            _, new = np.unique((mix(one.view(np.uint64) + np.uint64(1)) ^ two.view(np.uint64))[order], return_index=True)
+            kept = order[new]
+            yield pa.record_batch([pa.array(x[kept]) for x in (one, two, key, start.astype(np.int32))], ["one", "two", "key", "start"])
+
+    places = laid.select("shard", "row", "key", "text").mapInArrow(run, "one long, two long, key long, start int")
+    # a document has one start for each window, so the start of the least key is the earliest; plain columns keep the aggregation hashed
+    best = places.groupBy("one", "two").agg(F.min("key").alias("first"), F.min_by("start", "key").alias("start"))
+    best = best.groupBy(F.col("first").alias("key")).agg(F.collect_set("start").alias("starts"))
+    where = laid.groupBy("d1", "d2").agg(F.min(F.struct("key", "shard", "row")).alias("least")).select("least.*")
+    return ship(where.join(best, "key").select("shard", F.struct("row", "starts").alias("item")), "earliest")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of docs (doc_id, text); kept is the text that is left."""
-    source = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    wanted = recurring_phrases(source.select("key", "text"))
+    laid = lay_out(docs)
+    first = firsts(laid)
+    passages = confirmed(laid, first)
     sweep(docs.sparkSession)
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offsets = texts(batch.column("text"))
-            key = batch.column("key").to_numpy()
-            for a, b in blocks(offsets):
-                own = _lists(batch.column("phrases")[a:b])
-                block = Block(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at = _candidates(block, own)
-                row = np.searchsorted(block.first, at, "right") - 1
-                one, two = block.windows(at)
-                # of equal windows in a document the first is enough
-                _, new = np.unique(mix(one.view(np.uint64) + np.uint64(1)) ^ two.view(np.uint64) ^ mix(row.astype(np.uint64)), return_index=True)
-                at, row, one, two = at[new], row[new], one[new], two[new]
-                yield pa.record_batch([pa.array(one), pa.array(two), pa.array(key[a:b][row]), pa.array((at - block.first[row]).astype(np.int32))], ["one", "two", "key", "start"])
-
-    places = source.select("key", "text").join(wanted, "key").mapInArrow(locate, "one long, two long, key long, start int")
-    # a key has one start for each window, so the start of the least key is the earliest; plain columns keep the aggregation hashed
-    earliest = places.groupBy("one", "two").agg(F.min("key").alias("first"), F.min_by("start", "key").alias("start"))
-    earliest = park(earliest.groupBy(F.col("first").alias("key")).agg(F.collect_set("start").alias("earliest")), "earliest")
+    runs = located(laid, first, passages)
+    remove_folder(docs.sparkSession, passages)
+    sweep(docs.sparkSession)
+    winners = earliest(laid, first, runs)
     sweep(docs.sparkSession)
-    notes = wanted.join(earliest, "key", "left")
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offsets = texts(batch.column("text"))
-            for a, b in blocks(offsets):
-                own, firsts = _lists(batch.column("phrases")[a:b]), _lists(batch.column("earliest")[a:b])
-                block = Block(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                keep = np.ones(len(block.starts), bool)
-                some = [row for row in range(b - a) if len(own[row])]
-                if some:  # hashes are needed for these rows only
-                    part = Block(np.concatenate([flat[offsets[a + r] : offsets[a + r + 1]] for r in some]), np.concatenate([[0], np.cumsum([offsets[a + r + 1] - offsets[a + r] for r in some])]))
-                    first = np.concatenate([part.first[n] + firsts[r] for n, r in enumerate(some)])
-                    later = np.setdiff1d(_candidates(part, [own[r] for r in some]), first)
-                    step = np.zeros(len(part.starts) + 1, np.int64)
-                    step[later] += 1
-                    step[later + WINDOW] -= 1
-                    gone = np.cumsum(step[:-1]) > 0
-                    for n, r in enumerate(some):
-                        keep[block.first[r] : block.first[r + 1]] = ~gone[part.first[n] : part.first[n + 1]]
-                line, begin, stop = block.line(keep)
-                left = np.concatenate([[0], np.cumsum(keep)])[block.first]
-                rows = []
-                for row in range(b - a):
-                    i, j, n = int(left[row]), int(left[row + 1]), int(block.first[row + 1] - block.first[row])
-                    kept = line[begin[i] : stop[j - 1]] if j > i else b""
-                    rows.append((n, n - (j - i), sha256(kept).hexdigest(), kept))
-                columns = list(zip(*rows))
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return source.join(notes, "key", "left").select("doc_id", "text", "phrases", "earliest").mapInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+        own, mine, best = Notes(first), Notes(runs), Notes(winners)
+        for shard, piece in pieces(batches):
+            rows = piece.column("row").to_numpy()
+            block = Block(*texts(piece.column("text")))
+            step = np.zeros(len(block.starts) + WINDOW + 1, np.int32)
+            if len(items := mine.longs(shard)):
+                row, start = spread(items, rows)
+                at = block.first[row] + start
+                if (won := best.of(shard)) is not None:
+                    won_row = np.repeat(won.field("row").to_numpy(), won.field("starts").value_lengths().to_numpy())
+                    place = np.searchsorted(rows, won_row)
+                    here = np.append(rows, -1)[place] == won_row
+                    at = np.setdiff1d(at, block.first[place[here]] + won.field("starts").flatten().to_numpy()[here])
+                step[at] += 1
+                step[at + WINDOW] -= 1
+            keep = np.cumsum(step)[: len(block.starts)] == 0
+            size = np.diff(block.first)
+            copy = ~np.isin(rows, own.longs(shard) >> 1) & (size >= WINDOW)
+            keep &= ~np.repeat(copy, size)
+            line, begin, stop = block.line(keep)
+            left = np.concatenate([[0], np.cumsum(keep)])[block.first]
+            kept = [line[begin[i] : stop[j - 1]] if j > i else b"" for i, j in zip(left[:-1].tolist(), left[1:].tolist())]
+            yield pa.record_batch(
+                [piece.column("doc_id"), pa.array(size), pa.array(size - np.diff(left)), pa.array([sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return laid.select("doc_id", "shard", "row", "text").mapInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
