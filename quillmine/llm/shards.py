@@ -120,14 +120,8 @@ def chosen(piece: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
     return piece.filter(pa.array(np.isin(piece.column("row").to_numpy(), first >> 1)))
 
 
-def recurring(laid: DataFrame, first: str, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], hot: int = 1 << 62) -> DataFrame:
-    """Written: (shard, item, hot) of the hashes (of first texts, flat and offsets) that occur twice or more; hot if more than hot times."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Notes(first)
-        for shard, piece in pieces(batches):
-            found, n = np.unique(hashes(*texts(chosen(piece, own.longs(shard)).column("text"))), return_counts=True)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.full(len(found), shard)), pa.array(n.astype(np.int32))], ["hash", "shard", "n"])
+def doubles(counts: DataFrame, hot: int) -> DataFrame:
+    """(shard, item, hot) for the rows of counts (hash, shard, n) whose hash has n of two or more in all."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -156,5 +150,17 @@ def recurring(laid: DataFrame, first: str, hashes: Callable[[np.ndarray, np.ndar
         if len(held[0]):
             yield out(*held)
 
+    return counts.repartition("hash").sortWithinPartitions("hash").mapInArrow(select, "shard long, item long, hot boolean")
+
+
+def recurring(laid: DataFrame, first: str, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], hot: int = 1 << 62) -> DataFrame:
+    """Written: (shard, item, hot) of the hashes (of first texts, flat and offsets) that occur twice or more; hot if more than hot times."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Notes(first)
+        for shard, piece in pieces(batches):
+            found, n = np.unique(hashes(*texts(chosen(piece, own.longs(shard)).column("text"))), return_counts=True)
+            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.full(len(found), shard)), pa.array(n.astype(np.int32))], ["hash", "shard", "n"])
+
     counts = laid.select("shard", "row", "text").mapInArrow(count, "hash long, shard long, n int")
-    return park(counts.repartition("hash").sortWithinPartitions("hash").mapInArrow(select, "shard long, item long, hot boolean"), "recurring", compression="zstd")
+    return park(doubles(counts, hot), "recurring", compression="zstd")

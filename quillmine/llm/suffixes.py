@@ -1,24 +1,28 @@
 """Suffix-array dedup by a common-prefix-aware distributed merge sort.
 
 A string of LENGTH bytes that occurs twice has the same anchor in both places: the GRAM bytes of least hash in it.
-(1) The anchors' hashes of all documents are counted; only anchors that recur can lie in a repeated string.
-(2) For these, the suffixes that start at anchors are sorted per task into runs, equal contexts counted once, and
-exchanged front-coded: of each suffix the common prefix with the one before, and what follows it. A bucket holds all
-suffixes of an anchor. (3) A bucket's runs are merged by a loser tree whose nodes keep each suffix's common prefix
-with the last winner: a longer one wins without a look at the text, and equal ones are compared behind it only. The
-merged order and its common prefixes give the classes of equal right contexts at every depth, sorted left contexts
-those to the left; a string that starts j bytes before its anchor repeats where both classes at its depths hold two
-places. (4) The texts are read once more and the covered bytes go.
-
-Cases: null and empty texts have no bytes; texts shorter than LENGTH lose none; doc_id is a key, and rows that
-repeat it must be equal (their own strings then repeat); rows with a null doc_id keep it; an empty table gives an
-empty result. Further columns are not read.
+(1) Texts are laid out in shards, and of equal texts only the first is looked at: its copies lose every string. The
+anchors' hashes are counted; only anchors that recur can lie in a repeated string. (2) For these, the suffixes that
+start at anchors are sorted per task into runs, equal contexts counted once, and exchanged front-coded: of each
+suffix the common prefix with the one before, and what follows it. The exchange deals by range of the suffixes' first
+GRAM bytes between sampled splitters, so all suffixes of an anchor meet and the buckets follow each other in order.
+(3) A bucket's runs are merged by a loser tree whose nodes keep each suffix's common prefix with the last winner: a
+longer one wins without a look at the text, and equal ones are compared behind it only. The merged order and its
+common prefixes give the classes of equal right contexts at every depth, sorted left contexts those to the left; a
+string that starts j bytes before its anchor repeats where both classes at its depths hold two places. (4) An anchor
+found more than HOT times would put all its contexts into one bucket; its strings are counted instead one by one, by
+128-bit hash, pre-aggregated. (5) The texts are read once more and the covered bytes go. No step exchanges a text.
+
+Cases: null and empty texts have no bytes; texts shorter than LENGTH lose none; rows that repeat each other, with or
+without a doc_id, lose every byte if they are that long; an empty table gives an empty result. doc_id, which must be
+an integer, is only passed on. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import itertools
 import uuid
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
@@ -29,20 +33,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, park, row_key, sweep, texts
-from .hashes import BASES, minimizers, prefix, sliding
+from .common import discard, park, remove_folder, sweep, texts
+from .hashes import BASES, minimizers, mix, prefix, ranges, sliding
+from .shards import Notes, chosen, firsts, lay_out, pieces, recurring, ship
 
 LENGTH = 200
 GRAM = 64
 #: Bytes of contexts that a task holds before it writes its runs.
 HELD = 48 << 20
+#: Places from which on an anchor's strings are counted one by one, and (shard, anchor) pairs for which there is a bucket.
+HOT, PER_BUCKET = 4096, 20_000
+#: One text in EVERY is looked at for splitters; they decide how even the buckets are, not the result.
+EVERY, SPLIT_SAMPLE = 16, 100_000
+#: A place is row << ROW_BITS | byte.
+ROW_BITS = 45
 _REACH = LENGTH - GRAM
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in (v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in column)]
-
-
 def anchors(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, first, last, hash) of the anchors of all strings of LENGTH bytes in a block; strings first..last (by start) have that anchor."""
     grams = sliding(prefix(flat.astype(np.uint64) + np.uint64(1), BASES[0]), GRAM, BASES[0])
@@ -175,83 +182,83 @@ def repeated(runs: list[Run]) -> Iterator[tuple[int, int, int, int]]:
         yield order[busy[k]][0], entries[k][2], -(b - 1), LENGTH - a
 
 
-def recurring_anchors(docs: DataFrame) -> DataFrame:
-    """(key, grams) of the documents (key, text) that hold an anchor found twice, written."""
+def recurring_rows(piece: pa.RecordBatch, first: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, bytes, list[int], list[int], list[int]]]:
+    """(row, text, places, first and last string) of the wanted anchors, for each first text of a piece that has any."""
+    part = chosen(piece, first)
+    flat, offsets = texts(part.column("text"))
+    row, place, since, until, gram = anchors(flat, offsets)
+    keep = np.flatnonzero(np.isin(gram, wanted))
+    cut = np.searchsorted(row[keep], np.arange(part.num_rows + 1))
+    numbers = part.column("row").to_pylist()
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        m, base = keep[cut[k] : cut[k + 1]], offsets[k]
+        yield numbers[k], flat[base : offsets[k + 1]].tobytes(), (place[m] - base).tolist(), (since[m] - base).tolist(), (until[m] - base).tolist()
+
+
+def splitters(laid: DataFrame, first: str, grams: str, buckets: int) -> list[bytes]:
+    """Sorted first bytes of sampled suffixes, fewer than buckets: at most SPLIT_SAMPLE rows of GRAM bytes reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offsets = texts(batch.column("text"))
-            key = batch.column("key").to_numpy()
-            for a, b in blocks(offsets):
-                row, _, _, _, gram = anchors(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.record_batch([pa.array(gram), pa.array(key[a:b][row])], ["gram", "key"])
-
-    chosen = park(docs.mapInArrow(run, "gram long, key long"), "anchors")
-    again = chosen.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    out = park(chosen.join(again, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams")), "grams")
-    discard(chosen)
-    return out
+        own, known = Notes(first), Notes(grams)
+        for shard, piece in pieces(batches):
+            if len(some := known.longs(shard)):
+                heads = [text[p : p + GRAM] for _, text, place, _, _ in recurring_rows(piece, own.longs(shard), some) for p in place]
+                yield pa.record_batch([pa.array(heads, pa.binary())], ["head"])
+
+    some = laid.where(F.pmod(F.xxhash64("d1"), F.lit(EVERY)) == 0).select("shard", "row", "text").mapInArrow(run, "head binary")
+    heads = sorted(bytes(r["head"]) for r in some.distinct().orderBy(F.xxhash64("head")).limit(min(SPLIT_SAMPLE, 32 * buckets)).collect())
+    return sorted({heads[len(heads) * k // buckets] for k in range(1, buckets)}) if heads else []
 
 
-def sorted_runs(docs: DataFrame, buckets: int) -> DataFrame:
-    """For docs (key, text, grams): rows with a run (bucket, run, packed) and rows with places (run, number, key, at)."""
-    names = ["bucket", "run", "packed", "number", "key", "at"]
+def sorted_runs(laid: DataFrame, first: str, grams: str, cuts: list[bytes]) -> DataFrame:
+    """Rows with a run (bucket, run, packed) and rows with places (run, number, shard, at), for the anchors grams (shipped)."""
+    names = ["bucket", "run", "packed", "number", "shard", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[bytes, bytes], list] = {}
+        own, known = Notes(first), Notes(grams)
+        seen: dict[tuple[bytes, bytes], tuple[int, int, list]] = {}
         weight = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal weight
             mine = uuid.uuid4().int >> 65
             dealt = defaultdict(list)
-            for number, ((suffix, left), (bucket, least, most, places)) in enumerate(seen.items()):
-                dealt[bucket].append((suffix, left, number, min(2, len(places)), least, most))
+            for number, ((suffix, left), (least, most, places)) in enumerate(seen.items()):
+                dealt[bisect_right(cuts, suffix[:GRAM])].append((suffix, left, number, min(2, len(places)), least, most))
             for bucket, entries in dealt.items():
                 yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([mine], pa.int64()), pa.array([Run(entries).pack()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
-            number = np.repeat(np.arange(len(seen)), [len(v[3]) for v in seen.values()])
-            at = np.array([p for v in seen.values() for p in v[3]], np.int64).reshape(-1, 2)
+            number = np.repeat(np.arange(len(seen)), [len(v[2]) for v in seen.values()])
+            at = np.array([p for v in seen.values() for p in v[2]], np.int64).reshape(-1, 2)
             n = len(number)
             if n:
                 yield pa.record_batch([pa.nulls(n, pa.int32()), pa.array(np.full(n, mine)), pa.nulls(n, pa.binary()), pa.array(number), pa.array(at[:, 0].copy()), pa.array(at[:, 1].copy())], names)
             seen.clear()
             weight = 0
 
-        for batch in batches:
-            flat, offsets = texts(batch.column("text"))
-            keys, grams = batch.column("key").to_pylist(), _lists(batch.column("grams"))
-            for a, b in blocks(offsets):
-                part, edges = flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                raw = part.tobytes()
-                row, place, first, last, gram = anchors(part, edges)
-                cut = np.searchsorted(row, np.arange(b - a + 1))
-                for k in range(b - a):
-                    i, j = cut[k], cut[k + 1]
-                    start, end = int(edges[k]), int(edges[k + 1])
-                    for m in (i + np.flatnonzero(np.isin(gram[i:j], grams[a + k]))).tolist():
-                        p = int(place[m])
-                        name = (raw[p : min(p + LENGTH, end)], raw[max(start, p - _REACH) : p])
-                        entry = seen.get(name)
-                        if entry is None:
-                            entry = seen[name] = (int(gram[m]) % buckets, p - int(last[m]), p - int(first[m]), [])
-                            weight += len(name[0]) + len(name[1]) + 300
-                        entry[3].append((keys[a + k], p - start))
-                        weight += 64
+        for shard, piece in pieces(batches):
+            if not len(some := known.longs(shard)):
+                continue
+            for row, text, place, since, until in recurring_rows(piece, own.longs(shard), some):
+                for p, a, b in zip(place, since, until):
+                    name = (text[p : p + LENGTH], text[max(0, p - _REACH) : p])
+                    entry = seen.get(name)
+                    if entry is None:
+                        entry = seen[name] = (p - b, p - a, [])
+                        weight += len(name[0]) + len(name[1]) + 300
+                    entry[2].append((shard, row << ROW_BITS | p))
+                    weight += 64
                 if weight > HELD:
                     yield from flush()
         yield from flush()
 
-    return docs.select("key", "text", "grams").mapInArrow(run, "bucket int, run long, packed binary, number long, key long, at long")
+    return laid.select("shard", "row", "text").mapInArrow(run, "bucket int, run long, packed binary, number long, shard long, at long")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: binary) of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    source = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
-    wanted = recurring_anchors(source.select("key", "text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = park(sorted_runs(source.select("key", "text").join(wanted, "key"), buckets), "runs")
-    sweep(spark)
+def merged_spans(laid: DataFrame, first: str, grams: str, buckets: int) -> str:
+    """Shipped: (row, since, until) of the repeated strings at the anchors grams, found by merging sorted runs."""
+    cuts = splitters(laid, first, grams, buckets)
+    runs = park(sorted_runs(laid, first, grams, cuts), "runs", compression="zstd")
+    sweep(laid.sparkSession)
 
     def merged(table: pa.Table) -> pa.Table:
         ids = table.column("run").to_pylist()
@@ -260,28 +267,96 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.table({"run": pa.array([ids[r] for r in columns[0]], pa.int64()), "number": pa.array(columns[1], pa.int64()), "since": pa.array(columns[2], pa.int64()), "until": pa.array(columns[3], pa.int64())})
 
     found = runs.where("packed IS NOT NULL").select("bucket", "run", "packed").groupBy("bucket").applyInArrow(merged, "run long, number long, since long, until long")
-    spans = runs.where("packed IS NULL").select("run", "number", "key", "at").join(found, ["run", "number"])
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct((F.col("at") + F.col("since")).alias("since"), (F.col("at") + F.col("until")).alias("until"))).alias("spans"))
-    spans = park(spans.select("key", F.col("spans.since").alias("since"), F.col("spans.until").alias("until")), "spans")
+    spans = runs.where("packed IS NULL").select("run", "number", "shard", "at").join(found, ["run", "number"])
+    place = F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    item = F.struct(F.shiftright("at", ROW_BITS).alias("row"), (place + F.col("since")).alias("since"), (place + F.col("until")).alias("until"))
+    out = ship(spans.select("shard", item.alias("item")), "spans")
     discard(runs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return out
+
+
+def strings(piece: pa.RecordBatch, first: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, and two hashes) of every string whose anchor is one of wanted."""
+    out = []
+    for row, text, _, since, until in recurring_rows(piece, first, wanted):
+        flat = np.frombuffer(text, np.uint8)
+        start = np.concatenate([np.arange(a, b + 1) for a, b in zip(since, until)])
+        one = ranges(prefix(flat.astype(np.uint64) + np.uint64(1), BASES[1]), start, start + LENGTH, BASES[1])
+        two = ranges(prefix(mix(flat.astype(np.uint64) + np.uint64(7)), BASES[2]), start, start + LENGTH, BASES[2])
+        out.append((np.full(len(start), row), start, one.view(np.int64), two.view(np.int64)))
+    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.int64),) * 4
+
+
+def counted_strings(laid: DataFrame, first: str, grams: str) -> str:
+    """Shipped: the hashes (one, two) of the strings at the anchors grams that are found twice, for each shard that holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = Notes(first), Notes(grams)
+        for shard, piece in pieces(batches):
+            if len(some := known.longs(shard)):
+                _, _, one, two = strings(piece, own.longs(shard), some)
+                pair, n = np.unique(np.stack([one, two]), axis=1, return_counts=True)
+                yield pa.record_batch([pa.array(pair[0].copy()), pa.array(pair[1].copy()), pa.array(np.full(len(n), shard)), pa.array(n)], ["one", "two", "shard", "n"])
+
+    seen = laid.select("shard", "row", "text").mapInArrow(run, "one long, two long, shard long, n long")
+    twice = seen.groupBy("one", "two").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards")).where("n > 1")
+    return ship(twice.select(F.explode("shards").alias("shard"), F.struct("one", "two").alias("item")), "strings")
+
+
+def member(one: np.ndarray, two: np.ndarray, of: pa.Array) -> np.ndarray:
+    """Which pairs are among the structs (one, two)."""
+    pair = np.stack([np.concatenate([of.field("one").to_numpy(), one]), np.concatenate([of.field("two").to_numpy(), two])])
+    _, name = np.unique(pair, axis=1, return_inverse=True)
+    return np.isin(name[len(of) :], name[: len(of)])
+
+
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: binary) of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    laid = lay_out(docs)
+    first = firsts(laid)
+    again = recurring(laid, first, lambda flat, offsets: anchors(flat, offsets)[4].view(np.uint64), hot)
+    sweep(spark)
+    pairs = {r["hot"]: r["n"] for r in again.groupBy("hot").agg(F.count("*").alias("n")).collect()}
+    grams = ship(again.where("NOT hot").select("shard", "item"), "grams")
+    crowded = ship(again.where("hot").select("shard", "item"), "crowded") if pairs.get(True) else None
+    discard(again)
+    spans = merged_spans(laid, first, grams, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.get(False, 0) // PER_BUCKET))
+    remove_folder(spark, grams)
+    sweep(spark)
+    twice = counted_strings(laid, first, crowded) if crowded else None
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offsets = texts(batch.column("text"))
-            rows = []
-            for k, (since, until) in enumerate(zip(_lists(batch.column("since")), _lists(batch.column("until")))):
-                own = flat[offsets[k] : offsets[k + 1]]
-                if not len(since):
-                    rows.append((len(own), 0, 0, sha256(own.tobytes()).hexdigest(), own.tobytes()))
-                    continue
-                step = np.zeros(len(own) + 1, np.int64)
-                np.add.at(step, since, 1)
-                np.add.at(step, until, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                kept = own[~gone].tobytes()
-                rows.append((len(own), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return source.join(spans, "key", "left").select("doc_id", "text", "since", "until").mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        own, mine = Notes(first), Notes(spans)
+        known, sure = (Notes(crowded), Notes(twice)) if crowded else (None, None)
+        for shard, piece in pieces(batches):
+            rows, first_ = piece.column("row").to_numpy(), own.longs(shard)
+            flat, offsets = texts(piece.column("text"))
+            raw, size = flat.tobytes(), np.diff(offsets)
+            step = np.zeros(len(flat) + 1, np.int32)
+
+            def cover(row: np.ndarray, since: np.ndarray, until: np.ndarray) -> None:
+                place = np.searchsorted(rows, row)
+                here = np.append(rows, -1)[place] == row  # a batch's end may have cut the shard
+                np.add.at(step, offsets[place[here]] + since[here], 1)
+                np.add.at(step, offsets[place[here]] + until[here], -1)
+
+            if (found := mine.of(shard)) is not None:
+                cover(*(found.field(c).to_numpy() for c in ("row", "since", "until")))
+            if crowded and (found := sure.of(shard)) is not None:
+                row, start, one, two = strings(piece, first_, known.longs(shard))
+                keep = member(one, two, found)
+                cover(row[keep], start[keep], start[keep] + LENGTH)
+            whole = ~np.isin(rows, first_[first_ % 2 == 0] >> 1) & (size >= LENGTH)
+            gone = (np.cumsum(step[:-1]) > 0) | np.repeat(whole, size)
+            before = np.concatenate([[False], gone[:-1]]) if len(gone) else gone
+            before[offsets[:-1][size > 0]] = False
+            removed, heads = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, gone & ~before))
+            kept = [raw[a:b] if not n else b"" if n == b - a else flat[a:b][~gone[a:b]].tobytes() for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), np.diff(removed).tolist())]
+            yield pa.record_batch(
+                [piece.column("doc_id"), pa.array(size), pa.array(np.diff(removed)), pa.array(np.diff(heads)), pa.array([sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return laid.select("doc_id", "shard", "row", "text").mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

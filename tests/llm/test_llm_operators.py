@@ -10,7 +10,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillmine.llm import components, decontam, media, mixing, phrases, secrets, simhash, suffixes, token_scan, toxicity, warc
+from quillmine.llm import components, decontam, hashes, media, mixing, phrases, secrets, shards, simhash, suffixes, token_scan, toxicity, warc
+from quillmine.llm.common import row_key
+
+from tests.llm.conftest import passage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -23,37 +26,77 @@ def texts(df):
     return {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
 
 
-def test_phrases(hard, nothing):
-    docs = texts(hard)
-    seen, gone = {}, {}
-    for i in sorted(docs):
-        w = WORD.findall(docs[i])
+def test_phrases(spark, hard, nothing, monkeypatch):
+    docs = many_repeats(spark, hard)
+    # doc_id, then (rows without one, by their key; equal rows in any order) the row's key
+    keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()
+    seen, want = {}, []
+    for n, (i, text, _) in enumerate(sorted(keyed, key=lambda r: r["k"])):
+        w = WORD.findall(text or "")
         cover = np.zeros(len(w) + 1, int)
         for k in range(len(w) - 19):
-            if seen.setdefault(tuple(w[k : k + 20]), (i, k)) != (i, k):
+            if seen.setdefault(tuple(w[k : k + 20]), (n, k)) != (n, k):
                 cover[k : k + 20] = 1
-        gone[i] = (len(w), int(cover[: len(w)].sum()), hashlib.sha256(" ".join(x for x, c in zip(w, cover) if not c).encode()).hexdigest())
-    out = rows(phrases.remove_repeats(hard))
-    assert len(out) == hard.count() and out.n_removed.sum() > 0
-    assert all(tuple(r)[1:4] == gone[r.doc_id] for r in out.itertuples(index=False))
+        want.append((str(i), len(w), int(cover[: len(w)].sum()), hashlib.sha256(" ".join(x for x, c in zip(w, cover) if not c).encode()).hexdigest()))
+    out = phrases.remove_repeats(docs).collect()
+    assert sorted((str(r[0]), *r[1:4]) for r in out) == sorted(want) and sum(r[2] for r in out) > 0
     assert rows(phrases.remove_repeats(nothing)).empty
 
 
-def test_suffixes(hard, nothing):
-    unique = hard.dropDuplicates(["doc_id"])
-    docs = {i: t.encode() for i, t in texts(unique).items()}
-    count = Counter(b[k : k + 200] for b in docs.values() for k in range(len(b) - 199))
-    out = rows(suffixes.remove_repeats(unique)).set_index("doc_id")
-    assert out.n_removed.sum() > 0
-    for i, b in docs.items():
+def test_automata_of_few_passages_find_all_places(monkeypatch):
+    line = " ".join(f"w{k % 37}" for k in range(400)).encode()
+    block = phrases.Block(np.frombuffer(line, np.uint8), np.array([0, len(line)]))
+    words = line.split()
+    some = [b" " + b" ".join(words[k : k + phrases.PHRASE]) + b" " for k in range(0, 37, 3)]
+    monkeypatch.setattr(phrases, "PASSAGES", 4)
+    want = [b" " + b" ".join(words[k : k + phrases.PHRASE]) + b" " in some for k in range(400)]
+    assert phrases.occurrences(block, some)[:400].tolist() == want
+
+
+def test_minimizers_of_long_arrays(monkeypatch):
+    x = np.random.default_rng(5).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    monkeypatch.setattr(hashes, "INDEX_BITS", 8)
+    upper = x >> np.uint64(8)
+    assert hashes.minimizers(x, 13).tolist() == [k + int(np.argmin(upper[k : k + 13])) for k in range(len(x) - 12)]
+
+
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_recurring_hashes_across_batches(spark, hot):
+    n = Counter(h for k in range(60) for h in {k % 7, 7 + k % 3, k + 100, 5})
+    counts = [(h, k, 1) for k in range(60) for h in {k % 7, 7 + k % 3, k + 100, 5}]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        out = shards.doubles(spark.createDataFrame(counts, "hash long, shard long, n int"), hot).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["item"], r["shard"]) for r in out) == sorted((h, s) for h, s, _ in counts if n[h] > 1)
+    assert all(r["hot"] == (n[r["item"]] > hot) for r in out)
+
+
+def many_repeats(spark, hard):
+    """hard, rows without a doc_id that repeat each other and others, and a passage in many contexts."""
+    base = hard.select("doc_id", "text", "key")
+    p = passage(60)
+    extra = [(None, p, "k"), (None, p, "k"), (None, "x " + p, "k"), (None, None, "k")] + [(100 + k, f"begin{k} " * 40 + p + f" end{k}" * 40, "k") for k in range(12)]
+    return base.union(spark.createDataFrame(extra, base.schema)).repartition(3)
+
+
+@pytest.mark.parametrize("hot", [4, suffixes.HOT])
+def test_suffixes(spark, hard, nothing, hot):
+    docs = many_repeats(spark, hard)
+    all_ = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    count = Counter(b[k : k + 200] for _, b in all_ for k in range(len(b) - 199))
+    want = []
+    for i, b in all_:
         cover = np.zeros(len(b) + 1, int)
         for k in range(len(b) - 199):
             if count[b[k : k + 200]] > 1:
                 cover[k : k + 200] = 1
         kept = bytes(x for x, c in zip(b, cover) if not c)
         spans = int((np.diff(cover[: len(b)], prepend=0) == 1).sum())
-        r = out.loc[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(cover[: len(b)].sum()), spans, hashlib.sha256(kept).hexdigest())
+        want.append((str(i), len(b), int(cover[: len(b)].sum()), spans, hashlib.sha256(kept).hexdigest()))
+    out = suffixes.remove_repeats(docs, hot).collect()
+    assert sorted((str(r[0]), *r[1:5]) for r in out) == sorted(want) and sum(r[2] for r in out) > 0
     assert rows(suffixes.remove_repeats(nothing)).empty
 
 
