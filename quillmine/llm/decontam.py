@@ -1,14 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Words are maximal runs of letters and digits, lower-cased. A seed is the hash of the words that a mask keeps of SPAN
-consecutive words; the masks ignore fixed positions, so a substitution there leaves the seed alone. Seeds of the
-benchmark are joined with the seeds at every position of every document. Around each hit the two word rows are laid
-on that diagonal, and the overlap counts if some stretch of LEAST words (all words of a shorter item) agrees in
-SHARE of its positions.
-
-Cases: null and empty texts have no seeds; items of fewer than SPAN words have none and are never found; repeated
-rows of documents give one result row for each doc_id and item; an empty table gives an empty result; the ids may
-be null. Further columns are not read.
+Words are maximal runs of letters and digits, lower-cased. A seed is the hash of the words that a mask keeps of those
+it spans; a mask ignores the other positions, so a substitution there leaves the seed alone. Which masks an item needs
+depends on its length: those of FAMILIES keep a seed whatever words an overlap that counts may have replaced. Seeds
+of the benchmark are joined with the seeds at every position of every document, under the masks that the benchmark
+needs. Around each hit the two word rows are laid on that diagonal, and the overlap counts if some stretch of LEAST
+words (all words of a shorter item) agrees in SHARE of its positions. Seeds that are too many to broadcast are joined
+by a shuffle in which documents' seeds are salted, so that a passage found everywhere does not meet in one task.
+
+Cases: null and empty texts have no seeds; items of fewer than SHORTEST words are no passages and are never found;
+repeated rows of documents give one result row for each doc_id and item; an empty table gives an empty result; the
+ids may be null. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -16,34 +18,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, let, park
+from .common import checked_broadcast, let, measured_bytes, park
 
-#: Positions that each mask keeps, of SPAN. Whatever two of LEAST words are replaced, one mask still hits.
-MASKS = ((0, 1, 2, 3, 7), (0, 2, 5, 6, 7))
-SPAN = 8
+#: Positions that each mask keeps.
+MASKS = ((0, 1, 2, 3, 7), (0, 2, 5, 6, 7), (0, 1, 3, 4), (0, 1, 2), (0, 1, 3))
+#: (fewest words, masks) of items, longest first. Every replacement of words that SHARE allows leaves one of the masks a seed.
+FAMILIES = ((12, (0, 1)), (10, (0, 1, 2)), (8, (2,)), (5, (3, 4)))
+SHORTEST = FAMILIES[-1][0]
 LEAST = 13
 SHARE = 0.8
-#: Up to so many benchmark seeds (20 bytes each) are broadcast; beyond, the join is shuffled.
-SEED_ROWS = 2_000_000
+#: Benchmark seeds up to so many bytes are broadcast; beyond, the join is shuffled, documents' seeds dealt in SALTS ways.
+SEED_BYTES = 64 << 20
+SALTS = 16
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def seeds(words: Column) -> Column:
-    """Hashes at every position under every mask: position p under mask m is element m * positions + p."""
-    n = F.size(words) - SPAN + 1
-    masked = lambda k, mask: lambda i: F.xxhash64(F.lit(k), *[F.get(words, i + (o - 1)) for o in mask])
-    rows = [F.transform(F.sequence(F.lit(1), n), masked(k, mask)) for k, mask in enumerate(MASKS)]
-    return F.when(n > 0, F.concat(*rows)).otherwise(F.array().cast("array<bigint>"))
+def seeds(words: Column, masks: list[int]) -> Column:
+    """(mask, at, seed) at every position under the given masks."""
 
+    def under(k: int) -> Column:
+        n = F.size(words) - MASKS[k][-1]
+        seed = lambda i: F.struct(F.lit(k).alias("mask"), (i - 1).alias("at"), F.xxhash64(F.lit(k), *[F.get(words, i + (o - 1)) for o in MASKS[k]]).alias("seed"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), seed)).otherwise(F.array().cast("array<struct<mask:int,at:int,seed:bigint>>"))
 
-def placed(table: DataFrame, key: str) -> DataFrame:
-    """(key, at, seed) for every seed; the words stay behind, as each row would carry all of them."""
-    rows = table.select(key, let(tokens(F.col("text")), seeds).alias("seeds"))
-    rows = rows.select(key, F.size("seeds").alias("n"), F.posexplode("seeds").alias("at", "seed"))
-    return rows.select(key, (F.col("at") % (F.col("n") / len(MASKS)).cast("int")).alias("at"), "seed")
+    return F.concat(*map(under, masks))
+
+
+def placed(table: DataFrame, key: str, masks: list[int]) -> DataFrame:
+    """(key, mask, at, seed, n) for every seed, n the words of the row; the words stay behind, as each row would carry all of them."""
+    found = lambda words: F.struct(seeds(words, masks).alias("seeds"), F.size(words).alias("n"))
+    rows = table.select(key, let(tokens(F.col("text")), found).alias("found"))
+    return rows.select(key, "found.n", F.inline("found.seeds"))
+
+
+def needed() -> Column:
+    """Whether an item of n words needs the mask."""
+    out = F.when(F.lit(False), False)
+    for words, masks in FAMILIES:
+        out = out.when(F.col("n") >= words, F.col("mask").isin(list(masks)))
+    return F.coalesce(out, F.lit(False))
 
 
 def agreement(ours: Column, theirs: Column, shift: Column) -> Column:
@@ -63,10 +79,17 @@ def best_stretch(equal: Column, least: int = LEAST) -> Column:
     return F.aggregate(rest, F.struct(first.alias("now"), first.alias("most")), step, lambda a: a["most"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, seed_bytes: int = SEED_BYTES) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, agreeing (most words in a stretch), matched (words on the diagonal), item_words."""
-    items = park(placed(benchmark.select("item_id", "text"), "item_id").withColumnRenamed("at", "item_at"), "seeds")
-    pairs = placed(docs.select("doc_id", "text"), "doc_id").join(checked_broadcast(items, SEED_ROWS), "seed")
+    items = placed(benchmark.select("item_id", "text"), "item_id", list(range(len(MASKS)))).where(needed())
+    items = park(items.select("item_id", "mask", F.col("at").alias("item_at"), "seed"), "seeds")
+    masks = sorted(r["mask"] for r in items.select("mask").distinct().collect()) or [0]  # a few numbers
+    ours = placed(docs.select("doc_id", "text"), "doc_id", masks).select("doc_id", "at", "seed")
+    if measured_bytes(items) <= seed_bytes:
+        pairs = ours.join(F.broadcast(items), "seed")
+    else:
+        salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = ours.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
     pairs = park(pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
     here = pairs.select(F.col("doc_id").alias("__doc"), F.col("item_id").alias("__item"), "shift")
     hits = docs.select("doc_id", "text").join(checked_broadcast(here), F.col("doc_id").eqNullSafe(F.col("__doc")))
