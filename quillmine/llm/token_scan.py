@@ -14,6 +14,7 @@ any number of blocks; repeated rows are counted each; an empty table gives an em
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +33,21 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 BLOCK = 1 << 20
 
 
+#: White space so long that the pattern's matcher would run out of stack on it.
+_LONG = re.compile(r"[^\S\x1c-\x1f]{%d,}" % (1 << 15))
+
+
+def cut(text: str) -> Iterator[str]:
+    """text in parts that give the pieces of the whole: white space before a word is one piece but for its last character, which goes with what follows. At the end of a text it is one piece as it is."""
+    at = 0
+    for found in _LONG.finditer(text):
+        if found.end() < len(text):
+            yield text[at : found.start()]
+            yield text[found.start() : found.end() - 1]
+            at = found.end() - 1
+    yield text[at:]
+
+
 def ranks(path: str) -> dict[bytes, int]:
     """The vocabulary file's tokens (base64) and ids; read by the driver."""
     with open(path, "rb") as lines:
@@ -61,7 +77,7 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
         for batch in batches:
             out = out or system.open_output_stream(path, compression=None)
             for text in batch.column("text"):
-                ids = encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(width)
+                ids = np.concatenate([encoding.encode_to_numpy(part, disallowed_special=()) for part in cut(text.as_py() or "")]).astype(width)
                 out.write(ids.tobytes() + end.tobytes())
                 written += len(ids) + 1
             n = batch.num_rows
