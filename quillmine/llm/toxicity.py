@@ -1,13 +1,13 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
-A text is seen as its UTF-8 bytes with ASCII letters lower-cased and white space made one byte; n-grams of 3 to 8
-bytes are hashed into 2**BITS buckets, and a feature is present or absent. On a bounded sample of labelled texts
+A text is seen as its code points in lower case (Unicode), white space made a blank; n-grams of 3 to 8 code points
+are hashed into 2**BITS buckets, and a feature is present or absent. On a bounded sample of labelled texts
 (SAMPLE of each class, picked by hash) each bucket gets the log ratio of its smoothed frequencies in the two classes;
 the TOP buckets by chi-square carry weight, and a logistic regression is fitted on presence times ratio. Scoring
 covers every whole text and ships only the weights (2**BITS floats).
 
 Cases: null and empty texts have no n-grams and get the score of the intercept alone; labels that are null, or ids
-without a document, are not used; with labels of one class only the score is that class's share, without any 0.0;
+without a document, are not used, nor is a document that is labelled both 0 and 1; with labels of one class only the score is that class's share, without any 0.0;
 repeated documents get equal scores; an empty table gives an empty result. Further columns are not read.
 """
 
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,18 +33,23 @@ THRESHOLD = 0.7
 #: How far the intercept leans from the classes' shares in the labels (0) to equal shares (1).
 LEAN = 0.75
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_FOLD[[9, 10, 11, 12, 13]] = 32
-
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def grams(flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def codes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last, code points, n+1 offsets) of blocks of texts, in lower case and with blanks for white space; null counts as empty."""
+    _, offsets = texts(column)
+    for a, b in blocks(offsets):
+        part = pc.utf8_lower(pc.fill_null(column[a:b], ""))
+        flat = np.frombuffer("".join(part.to_pylist()).encode("utf-32-le"), np.uint32)
+        flat = np.where((flat >= 9) & (flat <= 13), np.uint32(32), flat)
+        yield a, b, flat, np.concatenate([[0], np.cumsum(pc.utf8_length(part).to_numpy(zero_copy_only=False), dtype=np.int64)])
+
+
+def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n: the bucket at every place, and how many places of each row hold a whole n-gram."""
-    data = _FOLD[flat].astype(np.uint32)
     value = np.zeros(len(data), np.uint32)
     lengths = np.diff(offsets)
     for n in range(1, max(GRAMS) + 1):
@@ -72,11 +78,10 @@ class Model:
     intercept: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        flat, offsets = texts(column)
         wanted = self.weights != 0
-        out = np.full(len(offsets) - 1, self.intercept)
-        for a, b in blocks(offsets):
-            keys = present(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], wanted)
+        out = np.full(len(column), self.intercept)
+        for a, b, flat, offsets in codes(column):
+            keys = present(flat, offsets, wanted)
             out[a:b] += np.bincount(keys >> BITS, self.weights[keys & ((1 << BITS) - 1)], b - a)
         return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
 
@@ -100,7 +105,8 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labels (doc_id, label 0 or 1) and the texts of docs."""
-    labels = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.max("label").alias("most"))
+    labels = labels.where("label = most").select("doc_id", "label")
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
@@ -108,16 +114,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))) if 0 < share < 1 else (700.0 if share else -700.0))
     order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
     picked = labels.where("label = 0").orderBy(*order).limit(sample).union(labels.where("label = 1").orderBy(*order).limit(sample))
-    picked = F.broadcast(park(picked.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__id"), "picked"))  # 2 * sample rows at most
+    picked = F.broadcast(park(picked.withColumnRenamed("doc_id", "__id"), "picked"))  # 2 * sample rows at most
     rows = park(docs.join(picked, docs["doc_id"] == F.col("__id")).select("text", "label").repartition(8), "sample")
 
     def count(batches):
         seen = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            flat, offsets = texts(batch.column("text"))
             label = batch.column("label").to_numpy(zero_copy_only=False)
-            for a, b in blocks(offsets):
-                keys = present(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b, flat, offsets in codes(batch.column("text")):
+                keys = present(flat, offsets)
                 for k in (0, 1):
                     seen[k] += np.bincount((keys & ((1 << BITS) - 1))[label[a:b][keys >> BITS] == k], minlength=1 << BITS)
         at = np.flatnonzero(seen.sum(0))
@@ -143,10 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def reduce(batches):
         for batch in batches:
-            flat, offsets = texts(batch.column("text"))
             chosen = []
-            for a, b in blocks(offsets):
-                keys = present(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], place >= 0)
+            for a, b, flat, offsets in codes(batch.column("text")):
+                keys = present(flat, offsets, place >= 0)
                 cut = np.searchsorted(keys >> BITS, np.arange(b - a + 1))
                 chosen += [place[keys[cut[i] : cut[i + 1]] & ((1 << BITS) - 1)].tolist() for i in range(b - a)]
             yield pa.record_batch([batch.column("label"), pa.array(chosen, pa.list_(pa.int32()))], ["label", "features"])
