@@ -84,9 +84,9 @@ class BlobLedger:
             spark.createDataFrame([], self.SCHEMA).write.parquet(path)
 
     def rows(self) -> DataFrame:
-        """What was found under these rules, one row for each blob."""
+        """What was found under these rules, one row for each blob: scans that ran at the same time may have written one twice."""
         rows = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("rule_version") == self.version)
-        return rows.select("blob", "spans")
+        return rows.select("blob", "spans").dropDuplicates(["blob"])
 
     def scan(self, versions: DataFrame) -> DataFrame:
         """Scan the blobs of versions (path, text) that the ledger lacks; returns (path, blob, spans) for all versions."""
@@ -102,7 +102,8 @@ class BlobLedger:
         if not stray.isEmpty():
             lost = versions.where(F.col("path").isNull()).select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
             self._append(find(lost.join(stray, "blob", "left_semi").dropDuplicates(["blob"]), self.rules))
-        return paths.join(self.rows(), "blob").select("path", "blob", "spans")
+        known = park(self.rows().join(paths.select("blob"), "blob", "left_semi"), "known")  # a plain scan, so that AQE can split a hot blob's paths
+        return paths.join(known, "blob").select("path", "blob", "spans")
 
     def _append(self, found: DataFrame) -> None:
         found.select("blob", F.lit(self.version).alias("rule_version"), "spans").write.mode("append").parquet(self.path)
