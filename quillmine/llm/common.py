@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
 #: Words are maximal runs of anything but these; all are one byte in UTF-8, so texts can be cut as bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A side may be broadcast up to this many rows, counted before the join; every such side has narrow rows.
-BROADCAST_ROWS = 200_000
+#: A side may be broadcast up to this many bytes, measured before the join.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that one vectorised pass works on; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -49,9 +50,18 @@ def park(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(parked: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """parked with a broadcast hint if it has at most limit rows (counted now); else as it is, for a shuffled join."""
-    return F.broadcast(parked) if parked.count() <= limit else parked
+def measured_bytes(parked: DataFrame) -> int:
+    """About what the rows of parked take in memory: 16 bytes a row, 8 a number, text and nested values by their written length."""
+    size = F.lit(16)
+    for field in parked.schema:
+        plain = isinstance(field.dataType, (NumericType, BooleanType, DatetimeType))
+        size = size + (F.lit(8) if plain else F.lit(8) + F.coalesce(F.octet_length(F.col(f"`{field.name}`").cast("string")), F.lit(0)))
+    return parked.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
+def checked_broadcast(parked: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """parked with a broadcast hint if it takes at most limit bytes (measured now); else as it is, for a shuffled join."""
+    return F.broadcast(parked) if measured_bytes(parked) <= limit else parked
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

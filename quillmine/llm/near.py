@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from . import simhash
 from .common import blocks, checked_broadcast, park, texts, word_bounds
 from .components import components, forest
 from .hashes import BASES, prefix, ranges, sliding
@@ -215,6 +216,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -
     return rows.select("doc_id", "node").join(labelled.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
+def joint_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id): classes that fingerprints within their threshold and similar sets make together."""
+    by_bits = simhash.classes(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id")
+    found = park(by_bits.unionByName(classes(docs)), "found")
+    roots = park(components(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))), "joint")
+    return by_bits.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id. Rows with a null doc_id stay."""
     return keep_smallest(docs, classes(docs, threshold))
+
+
+def keep_one_jointly(docs: DataFrame) -> DataFrame:
+    """keep_one() for the joint classes."""
+    return keep_smallest(docs, joint_classes(docs))

@@ -44,21 +44,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: From the definition: words that agree on a diagonal, and the best stretch there; no seeds.
 OP4_SQL = r"""
 WITH b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
-bp AS (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM b WHERE len(w) >= 8),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8),
-bs AS (SELECT item_id, p, 'a ' || concat_ws(' ', w[p], w[p+1], w[p+2], w[p+3], w[p+7]) AS s FROM bp
-       UNION ALL SELECT item_id, p, 'b ' || concat_ws(' ', w[p], w[p+2], w[p+5], w[p+6], w[p+7]) FROM bp),
-ds AS (SELECT doc_id, p, 'a ' || concat_ws(' ', w[p], w[p+1], w[p+2], w[p+3], w[p+7]) AS s FROM dp
-       UNION ALL SELECT doc_id, p, 'b ' || concat_ws(' ', w[p], w[p+2], w[p+5], w[p+6], w[p+7]) FROM dp),
-hit AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (s)),
-laid AS (SELECT h.doc_id, h.item_id, h.shift, len(b.w) AS n,
-         list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN i + h.shift >= 1 AND d.w[i + h.shift] = b.w[i] THEN 1 ELSE 0 END) AS eq
-         FROM hit h JOIN d USING (doc_id) JOIN b USING (item_id)),
-best AS (SELECT doc_id, item_id, n, list_sum(eq) AS matched,
-         list_max(list_transform(range(0, n - least(n, 13) + 1), lambda k: list_sum(eq[k + 1 : k + least(n, 13)]))) AS agreeing FROM laid)
+bp AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM b WHERE len(w) >= 5),
+dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+laid AS (SELECT doc_id, item_id, n, dp.p - bp.p AS shift, list(bp.p) AS hit FROM dp JOIN bp USING (word)
+         GROUP BY doc_id, item_id, n, shift HAVING count(*) >= ceil(least(n, 13) * 0.8)),
+best AS (SELECT doc_id, item_id, n, len(hit) AS matched,
+         list_max(list_transform(range(1, n - least(n, 13) + 2), lambda k: len(list_filter(hit, lambda x: x >= k AND x < k + least(n, 13))))) AS agreeing FROM laid)
 SELECT doc_id, item_id, CAST(max(agreeing) AS INTEGER) AS agreeing, CAST(max(matched) AS INTEGER) AS matched, CAST(any_value(n) AS INTEGER) AS item_words
 FROM best WHERE agreeing >= ceil(least(n, 13) * 0.8) GROUP BY doc_id, item_id
 """

@@ -2,7 +2,6 @@
 
 import random
 
-import corpus_pipeline
 from quillmine.llm import near
 
 
@@ -41,5 +40,5 @@ def test_classes_are_those_of_all_pairs(spark):
     want = brute(rows)
     for crowd in (2, 16):
         assert {r["doc_id"]: r["component_id"] for r in near.classes(docs, crowd=crowd).collect()} == want
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    kept = near.keep_one(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
