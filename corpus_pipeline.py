@@ -1,10 +1,16 @@
 """From raw documents to a training mix: every stage works on all that its predecessor kept.
 
 toxicity          rows that the classifier rejects go
-near_duplicates   one document of each class of 5-word shingle Jaccard >= 0.8 stays, the one of smallest doc_id
+near_duplicates   one document of each class stays, the one of smallest doc_id; fingerprints within two bits (SimHash)
+                  and 5-word shingle sets of Jaccard >= 0.8, which two bits mostly miss, both link documents
 decontamination   rows that overlap a benchmark item go
 secrets           every secret is masked; no row goes
 mixing            rows are repeated to the sources' targets, numbered by copy_number
+
+Cases, for every stage: null and empty texts are texts without words (judged by the classifier's intercept, one class
+of duplicates, no overlap, no secret, size 0); rows without a doc_id cannot be told apart and stay through
+near_duplicates, the other stages treat them like any other; of rows that repeat a doc_id near_duplicates keeps one;
+very long texts are read whole; an empty table passes as an empty table; further columns pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.keep_one(docs)
+    return near.keep_one_jointly(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +49,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The classifier and the fingerprints have no SQL form; tests hold every stage against a plain version.
+#: The classifier and the fingerprints have no SQL form; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
