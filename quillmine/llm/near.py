@@ -4,7 +4,8 @@ Texts are folded and split as for the fingerprints; a text of fewer words is one
 empty set. Shingles are 64-bit hashes. Equal sets are one node before anything else. Prefix filter: shingles have one
 order, and two sets that similar share one of the first size - ceil(THRESHOLD * size) + 1 of both, so candidates
 meet at a shingle. Any order is exact; shingles that a sample of documents shows to be common come last, so that a
-common passage brings few candidates. Candidates of fitting sizes are verified on their whole sets. A shingle with
+common passage brings few candidates. Candidates of fitting sizes are verified on their whole sets, as 32-bit hashes
+(two shingles of a pair that share one, about once in 10,000 pairs, count as one shingle). A shingle with
 more than CROWD nodes is first linked to one of them; members that are not in one component then are compared there
 in blocks, and only a forest of their links leaves.
 
@@ -21,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from . import simhash
-from .common import blocks, checked_broadcast, park, texts, word_bounds
+from .common import blocks, checked_broadcast, discard, park, sweep, texts, word_bounds
 from .components import components, forest
 from .hashes import BASES, prefix, ranges, sliding
 from .simhash import _LOWER, keep_smallest
@@ -67,15 +68,15 @@ def head(shingles: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarr
 
 
 def _sketch(docs: DataFrame, common: np.ndarray | None, threshold: float) -> DataFrame:
-    """(doc_id, node, n, shingles): the head of each set, or the whole set if common is None."""
-    schema = docs.select("doc_id").schema.add("node", "long").add("n", "integer").add("shingles", ArrayType(LongType()))
+    """(doc_id, node, n, shingles): the head of each set, or the whole set, as upper halves of the hashes, if common is None."""
+    schema = docs.select("doc_id").schema.add("node", "long").add("n", "integer").add("shingles", ArrayType(LongType() if common is not None else IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(shingle_sets(batch.column(1)))
-            kept = [(x if common is None else head(x, common, threshold)).view(np.int64) for x in rows]
+            kept = [np.unique(x >> np.uint64(32)).astype(np.uint32).view(np.int32) if common is None else head(x, common, threshold).view(np.int64) for x in rows]
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([np.zeros(0, np.int64), *kept])))
+            lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([np.zeros(0, np.int32 if common is None else np.int64), *kept])))
             columns = [batch.column(0), pa.array([node(x) for x in rows], pa.int64()), pa.array([len(x) for x in rows], pa.int32()), lists]
             yield pa.record_batch(columns, ["doc_id", "node", "n", "shingles"])
 
@@ -84,7 +85,7 @@ def _sketch(docs: DataFrame, common: np.ndarray | None, threshold: float) -> Dat
 
 def _common(docs: DataFrame) -> np.ndarray:
     """Sorted: shingles that many documents of a sample hold, at most COMMON. They decide on the order only."""
-    some = _sketch(docs.where(F.xxhash64("doc_id") % EVERY == 0), None, 1.0).select(F.explode("shingles").alias("shingle"))
+    some = _sketch(docs.where(F.xxhash64("doc_id") % EVERY == 0), np.zeros(0, np.uint64), 0.0).select(F.explode("shingles").alias("shingle"))
     often = some.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(COMMON)
     return np.sort(np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64))
 
@@ -184,32 +185,45 @@ def _crowds(members: DataFrame, threshold: float) -> DataFrame:
     return members.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of sets of threshold or more; rows is the sketch of docs."""
-    met = park(_meet(rows.select(F.explode("shingles").alias("shingle"), "node", "n"), threshold, crowd), "met")
-    pairs = park(met.where("kind = 0").select("a", "b").distinct(), "pairs")
-    crowds = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"))
+def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, known: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of sets of threshold or more, and of known (doc_id, component_id); rows is the sketch of docs. Pairs that known joins already are not verified."""
+    met = park(_meet(rows.select(F.explode("shingles").alias("shingle"), "node", "n"), threshold, crowd), "met", compression="zstd")
+    pairs = met.where("kind = 0").select("a", "b").distinct()
+    given = None
+    if known is not None:
+        named = park(rows.select("doc_id", "node").join(known.select("doc_id", "component_id").distinct(), "doc_id").select("node", "component_id").distinct(), "named")
+        given = named.select(F.col("node").alias("a"), F.xxhash64(F.lit("class"), F.col("component_id")).alias("b"))
+        one = named.groupBy("node").agg(F.min("component_id").alias("c"))
+        pairs = pairs.join(one.toDF("a", "ca"), "a", "left").join(one.toDF("b", "cb"), "b", "left").where("NOT (ca <=> cb) OR ca IS NULL").select("a", "b")
+    pairs = park(pairs, "pairs")
+    crowds = park(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node")), "crowds")
+    discard(met)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
     holders = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
     holders = checked_broadcast(park(holders.select("doc_id").distinct(), "holders"))
-    sets = park(_sketch(docs.join(holders, "doc_id", "left_semi"), None, threshold).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = park(_sketch(docs.join(holders, "doc_id", "left_semi"), None, threshold).select("node", "shingles").dropDuplicates(["node"]), "sets", compression="zstd")
+    sweep(docs.sparkSession)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("same"))
     edges = park(both.where(F.col("same") >= F.lit(threshold) * (F.col("n") - F.col("same")) - 1e-9).select("a", "b"), "edges")
+    edges = edges if given is None else edges.unionByName(given)
+    sweep(docs.sparkSession)
     if crowds.isEmpty():
         return edges
     roots = park(components(edges).withColumnRenamed("node", "__node"), "first")
     members = crowds.join(roots, F.col("node") == F.col("__node"), "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
     apart = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     members = park(members.join(apart, "shingle", "left_semi"), "members")
-    return edges.unionByName(park(_crowds(members.join(sets, "node"), threshold), "crowds"))
+    found = park(_crowds(members.join(sets, "node"), threshold), "crowded")
+    discard(sets)
+    return edges.unionByName(found)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, component_id) for every row of docs with a doc_id."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id) for every row of docs with a doc_id; known (doc_id, component_id) joins rows beforehand."""
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = park(_sketch(docs, _common(docs), threshold), "sketch")
-    roots = park(components(links(docs, rows, threshold, crowd)), "roots")
+    rows = park(_sketch(docs, _common(docs), threshold), "sketch", compression="zstd")
+    roots = park(components(links(docs, rows, threshold, crowd, known)), "roots")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = park(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "labelled")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -218,10 +232,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -
 
 def joint_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): classes that fingerprints within their threshold and similar sets make together."""
-    by_bits = simhash.classes(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id")
-    found = park(by_bits.unionByName(classes(docs)), "found")
-    roots = park(components(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))), "joint")
-    return by_bits.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    by_bits = park(simhash.classes(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "bits")
+    sweep(docs.sparkSession)
+    return classes(docs, known=by_bits)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
