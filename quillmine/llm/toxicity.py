@@ -30,6 +30,8 @@ GRAMS = (3, 4, 5, 6, 7, 8)
 SAMPLE = 2000
 TOP = 4096
 THRESHOLD = 0.7
+#: Bytes of text in one vectorised pass; each n-gram of it takes some 60 bytes meanwhile.
+PASS_BYTES = 1 << 18
 #: How far the intercept leans from the classes' shares in the labels (0) to equal shares (1).
 LEAN = 0.75
 
@@ -41,7 +43,7 @@ def held_out(doc_id: Column) -> Column:
 def codes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last, code points, n+1 offsets) of blocks of texts, in lower case and with blanks for white space; null counts as empty."""
     _, offsets = texts(column)
-    for a, b in blocks(offsets):
+    for a, b in blocks(offsets, PASS_BYTES):
         part = pc.utf8_lower(pc.fill_null(column[a:b], ""))
         flat = np.frombuffer("".join(part.to_pylist()).encode("utf-32-le"), np.uint32)
         flat = np.where((flat >= 9) & (flat <= 13), np.uint32(32), flat)
