@@ -203,9 +203,7 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd:
     holders = checked_broadcast(park(holders.select("doc_id").distinct(), "holders"))
     sets = park(_sketch(docs.join(holders, "doc_id", "left_semi"), None, threshold).select("node", "shingles").dropDuplicates(["node"]), "sets", compression="zstd")
     sweep(docs.sparkSession)
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("same"))
-    edges = park(both.where(F.col("same") >= F.lit(threshold) * (F.col("n") - F.col("same")) - 1e-9).select("a", "b"), "edges")
+    edges = _verified(pairs, sets, threshold)
     edges = edges if given is None else edges.unionByName(given)
     sweep(docs.sparkSession)
     if crowds.isEmpty():
@@ -214,9 +212,22 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd:
     members = crowds.join(roots, F.col("node") == F.col("__node"), "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
     apart = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     members = park(members.join(apart, "shingle", "left_semi"), "members")
-    found = park(_crowds(members.join(sets, "node"), threshold), "crowded")
+    sweep(docs.sparkSession)
+    # a set goes to every crowd it is in, so crowds are taken in as many slices as they hold sets more than once
+    slices = -(-members.count() // max(1, sets.count()))
+    for k in range(slices):
+        some = members.where(F.pmod(F.xxhash64("shingle"), F.lit(slices)) == k)
+        edges = edges.unionByName(park(_crowds(some.join(sets, "node"), threshold), "crowded"))
+        sweep(docs.sparkSession)
     discard(sets)
-    return edges.unionByName(found)
+    return edges
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) are similar enough, written."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("same"))
+    return park(both.where(F.col("same") >= F.lit(threshold) * (F.col("n") - F.col("same")) - 1e-9).select("a", "b"), "edges")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, known: DataFrame | None = None) -> DataFrame:
