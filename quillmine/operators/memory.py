@@ -65,8 +65,9 @@ def roi(obs: DataFrame, now: int) -> DataFrame:
 
 
 def roi_stats(obs: DataFrame, now: int) -> DataFrame:
-    """By type and in all (type null)."""
-    return roi(obs, now).rollup("type").agg(F.count("*").alias("n"), F.sum("tokens_stored").alias("tokens_stored"), F.round(F.avg("roi"), 4).alias("avg_roi"), F.count_if(F.col("roi") < 0).alias("negative"))
+    """By type and in all (type null). The mean is of whole thousandths, so it does not depend on the order of addition."""
+    mean = F.floor(F.sum(F.round(F.col("roi") * 1000).cast("long")) * F.lit(10.0) / F.count("*") + 0.5) / 10000
+    return roi(obs, now).rollup("type").agg(F.count("*").alias("n"), F.sum("tokens_stored").alias("tokens_stored"), mean.alias("avg_roi"), F.count_if(F.col("roi") < 0).alias("negative"))
 
 
 def promotions(obs: DataFrame, now: int) -> DataFrame:

@@ -12,26 +12,19 @@ K1, B, RRF_K = 1.2, 0.75, 60
 
 
 def bm25(docs: DataFrame, query: list[str], limit: int | None = None) -> DataFrame:
-    """(id, score) of docs (id, text) for query tokens. Only postings of query tokens leave the scan, and the statistics are one row."""
-    terms = [t for t in dict.fromkeys(query)]
-    toks = docs.select("id", tokens(F.col("text")).alias("t"))
-    counts = F.array(*[F.struct(F.lit(q).alias("term"), F.size(F.filter(F.col("t"), _equals(q))).alias("tf")) for q in terms])
-    rows = toks.select("id", F.size("t").alias("dl"), counts.alias("c"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col("c")[i]["tf"] > 0).alias(f"df{i}") for i in range(len(terms))])
-    idf = lambda i: F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
-    tf = lambda i: F.col("c")[i]["tf"]
-    parts = [F.when(tf(i) > 0, idf(i) * tf(i) * (K1 + 1) / (tf(i) + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))).otherwise(0.0) for i in range(len(terms))]
-    score = parts[0]
-    for p in parts[1:]:
-        score = score + p
-    hits = rows.where(F.exists("c", lambda x: x["tf"] > 0)).join(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))
+    """(id, score) of docs (id, text) for query tokens. Only tokens of the query leave the scan of each document; the statistics are one row a term."""
+    terms = list(dict.fromkeys(query))
+    rows = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.explode_outer("t").alias("term"))
+    stats = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    tf = rows.where(F.col("term").isin(terms)).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row for each query term, and one row
+    hits = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
     return hits.orderBy(F.desc("score"), "id").limit(limit) if limit else hits
 
 
-def _equals(q: str):
-    return lambda x: x == q
-
-
 def knn(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """(id, score): the k rows of (id, embedding) of largest dot product; unit vectors, so cosine."""
     q = F.array(*[F.lit(float(x)) for x in query])

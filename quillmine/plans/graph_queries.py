@@ -18,17 +18,11 @@ def add(name: str, query, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
-def edges(spark, d):
-    """Customers whose order follows another's by key, sparse and cyclic: src places order k, dst order k + 1, for keys that 17 divides."""
-    o = table(spark, d, "orders").where("o_orderkey % 17 = 0").select("o_orderkey", (F.col("o_custkey") % 400).alias("c"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 400).alias("e"))
-    return o.select(F.col("c").alias("src"), F.col("e").alias("dst")).distinct()
-
-
 #: A symbol depends on the next one if it follows so often.
 THETA = 2
 
 
-def whole(spark, d):
+def edges(spark, d):
     """The dependency graph of SURVEY §7.3 from whole tables: symbols to next symbols of a user (node 3k), and suppliers (3k + 1) to their parts (3k + 2)."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).withColumn("next", F.lead("k").over(w))
@@ -41,41 +35,32 @@ def one(spark, node):
     return spark.createDataFrame([(node,)], "node long")
 
 
-_E = "ed AS (SELECT DISTINCT o_custkey % 400 AS src, (o_custkey * 7 + o_orderkey % 3) % 400 AS dst FROM orders WHERE o_orderkey % 17 = 0)"
-_BFS = "WITH RECURSIVE {e}, r(node, depth) USING KEY (node) AS (SELECT {s}::BIGINT, 0 UNION SELECT dst, min(depth) + 1 FROM r JOIN ed ON src = node WHERE src <> dst AND dst NOT IN (SELECT node FROM recurring.r) GROUP BY dst)"
-_R = "ed AS (SELECT DISTINCT (o_custkey * 7 + o_orderkey % 3) % 400 AS src, o_custkey % 400 AS dst FROM orders WHERE o_orderkey % 17 = 0)"
-add("dependencies_bfs", lambda s, d: G.bfs(edges(s, d), one(s, 12)).select("node", "depth"), _BFS.format(e=_E, s=12) + " SELECT node, depth FROM r")
-add("change_impact", lambda s, d: G.change_impact(edges(s, d), one(s, 1)), _BFS.format(e=_R, s=1) + " SELECT node, depth, round(greatest(0.05::DOUBLE, pow(0.6::DOUBLE, depth - 1)), 6) AS confidence FROM r WHERE depth > 0")
-add("call_chain", lambda s, d: G.call_chain(edges(s, d), one(s, 12), 100))
-add("graph_components", lambda s, d: G.components(edges(s, d)), f"""WITH RECURSIVE {_E}, b AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), r(node, component) AS (SELECT src, src FROM b UNION SELECT b.dst, r.component FROM r JOIN b ON b.src = r.node) SELECT node, min(component) AS component FROM r GROUP BY 1""")
-add("import_cycles", lambda s, d: G.cycles(edges(s, d)), f"""WITH RECURSIVE {_E}, n AS (SELECT src, dst FROM ed WHERE src <> dst), r(a, b) AS (SELECT src, dst FROM n UNION SELECT r.a, n.dst FROM r JOIN n ON n.src = r.b) SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""")
+_E = """ev AS (SELECT k, lead(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM (SELECT user_id, ts, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
+ed AS MATERIALIZED (SELECT 3 * k AS src, 3 * next AS dst FROM ev WHERE k IS NOT NULL AND next IS NOT NULL GROUP BY k, next HAVING count(*) >= 2 UNION ALL SELECT DISTINCT 3 * l_suppkey + 1, 3 * l_partkey + 2 FROM lineitem)"""
+_BFS = "WITH RECURSIVE {e}, r(node, depth) USING KEY (node) AS (SELECT {s}::BIGINT, 0 UNION SELECT {b}, min(depth) + 1 FROM r JOIN ed ON {a} = node WHERE src <> dst AND {b} NOT IN (SELECT node FROM recurring.r) GROUP BY {b})"
+add("dependencies_bfs", lambda s, d: G.bfs(edges(s, d), one(s, 36)).select("node", "depth"), _BFS.format(e=_E, s=36, a="src", b="dst") + " SELECT node, depth FROM r")
+add("change_impact", lambda s, d: G.change_impact(edges(s, d), one(s, 5)), _BFS.format(e=_E, s=5, a="dst", b="src") + " SELECT node, depth, round(greatest(0.05::DOUBLE, pow(0.6::DOUBLE, depth - 1)), 6) AS confidence FROM r WHERE depth > 0")
+add("call_chain", lambda s, d: G.call_chain(edges(s, d), one(s, 36), 297))
+add("graph_components", lambda s, d: G.components(edges(s, d)),
+    f"""WITH RECURSIVE {_E}, b AS MATERIALIZED (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), r(node, component) USING KEY (node) AS (SELECT src, min(src) FROM b GROUP BY 1 UNION
+    SELECT b.dst, min(r.component) FROM r JOIN b ON b.src = r.node JOIN recurring.r o ON o.node = b.dst WHERE r.component < o.component GROUP BY 1) SELECT node, component FROM r""")
+add("import_cycles", lambda s, d: G.cycles(edges(s, d), loops=True),
+    f"""WITH RECURSIVE {_E}, n AS MATERIALIZED (SELECT src, dst FROM ed WHERE src <> dst AND dst IN (SELECT src FROM ed) AND src IN (SELECT dst FROM ed)), r(a, b) AS (SELECT src, dst FROM n UNION SELECT r.a, n.dst FROM r JOIN n ON n.src = r.b),
+    c AS (SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a) SELECT * FROM c UNION ALL SELECT DISTINCT src, src FROM ed WHERE src = dst AND src NOT IN (SELECT node FROM c)""")
 _RW = f"WITH {_E}, nd AS (SELECT src AS node FROM ed UNION SELECT dst FROM ed), dg AS (SELECT src, count(*) AS d FROM ed GROUP BY 1), s0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS score FROM nd)" + "".join(
-    f", s{i + 1} AS (SELECT node, coalesce(f, 0) + CASE WHEN node = 1 THEN 0.15 ELSE 0 END::DOUBLE AS score FROM nd LEFT JOIN (SELECT dst, sum(0.85::DOUBLE * score / d) AS f FROM ed JOIN dg USING (src) JOIN s{i} ON node = src GROUP BY 1) ON dst = node)" for i in range(10))
-add("random_walk", lambda s, d: G.random_walk(edges(s, d), 1), _RW + " SELECT node, round(score, 6) AS score FROM s10")
-_LP = f"WITH {_E}, b AS (SELECT src, dst FROM ed WHERE src <> dst UNION SELECT dst, src FROM ed WHERE src <> dst), l0 AS (SELECT DISTINCT src AS node, src AS label FROM b)" + "".join(
-    f", l{i + 1} AS MATERIALIZED (SELECT node, arg_max(label, n * 1000 - label) AS label FROM (SELECT src AS node, label, count(*) AS n FROM b JOIN l{i} ON node = dst GROUP BY ALL) GROUP BY 1)" for i in range(5))
-add("label_propagation", lambda s, d: G.label_propagation(edges(s, d)), _LP + " SELECT * FROM l5")
-add("modularity", lambda s, d: G.modularity(edges(s, d), G.label_propagation(edges(s, d))), _LP + ", m AS (SELECT count(*)::DOUBLE AS m2 FROM b) SELECT x.label, round(count(*) FILTER (x.label = y.label) / any_value(m2) - pow(count(*) / any_value(m2), 2), 6) AS q FROM b JOIN l5 x ON x.node = src JOIN l5 y ON y.node = dst, m GROUP BY 1")
-add("dependents_budget", lambda s, d: G.dependents(edges(s, d), 7, 20), f"WITH {_E} SELECT * FROM (SELECT src, sum(length(src::VARCHAR)) OVER (ORDER BY src)::BIGINT AS chars FROM ed WHERE dst = 7) WHERE chars <= 20")
-add("degrees", lambda s, d: G.degrees(edges(s, d)), f"WITH {_E} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM ed UNION ALL SELECT dst, 0, 1 FROM ed) GROUP BY 1")
-add("reverse_graph", lambda s, d: G.reverse(edges(s, d)), f"WITH {_E} SELECT dst AS src, src AS dst FROM ed")
-
-# The same over the whole tables; the queries above keep the small graph that their SQL names.
-add("dependencies_bfs_whole", lambda s, d: G.bfs(whole(s, d), one(s, 36)).select("node", "depth"))
-add("change_impact_whole", lambda s, d: G.change_impact(whole(s, d), one(s, 5)))
-add("call_chain_whole", lambda s, d: G.call_chain(whole(s, d), one(s, 36), 297))
-add("graph_components_whole", lambda s, d: G.components(whole(s, d)))
-add("import_cycles_whole", lambda s, d: G.cycles(whole(s, d), loops=True))
-add("random_walk_whole", lambda s, d: G.random_walk(whole(s, d), 3))
-add("label_propagation_whole", lambda s, d: G.label_propagation(G.cut(whole(s, d))))
+    f", s{i + 1} AS MATERIALIZED (SELECT node, coalesce(f, 0) + CASE WHEN node = 3 THEN 0.15 ELSE 0 END::DOUBLE AS score FROM nd LEFT JOIN (SELECT dst, sum(0.85::DOUBLE * score / d) AS f FROM ed JOIN dg USING (src) JOIN s{i} ON node = src GROUP BY 1) ON dst = node)" for i in range(10))
+add("random_walk", lambda s, d: G.random_walk(edges(s, d), 3), _RW + " SELECT node, round(score, 6) AS score FROM s10")
+_LP = f"WITH {_E}, b AS MATERIALIZED (SELECT src, dst FROM ed WHERE src <> dst UNION SELECT dst, src FROM ed WHERE src <> dst), l0 AS (SELECT DISTINCT src AS node, src AS label FROM b)" + "".join(
+    f", l{i + 1} AS MATERIALIZED (SELECT node, arg_max(label, n * 1000000000 - label) AS label FROM (SELECT src AS node, label, count(*) AS n FROM b JOIN l{i} ON node = dst GROUP BY ALL) GROUP BY 1)" for i in range(5))
+add("label_propagation", lambda s, d: G.label_propagation(G.cut(edges(s, d))), _LP + " SELECT * FROM l5")
 
 
-def modularity_whole(s, d):
-    e = G.cut(whole(s, d))
+def modularity(s, d):
+    e = G.cut(edges(s, d))
     return G.modularity(e, G.label_propagation(e))
 
 
-add("modularity_whole", modularity_whole)
-add("dependents_budget_whole", lambda s, d: G.dependents(whole(s, d), 5, 20))
-add("degrees_whole", lambda s, d: G.degrees(whole(s, d)))
-add("reverse_graph_whole", lambda s, d: G.reverse(whole(s, d)))
+add("modularity", modularity, _LP + ", m AS (SELECT count(*)::DOUBLE AS m2 FROM b) SELECT x.label, round(count(*) FILTER (x.label = y.label) / any_value(m2) - pow(count(*) / any_value(m2), 2), 6) AS q FROM b JOIN l5 x ON x.node = src JOIN l5 y ON y.node = dst, m GROUP BY 1")
+add("dependents_budget", lambda s, d: G.dependents(edges(s, d), 5, 20), f"WITH {_E} SELECT * FROM (SELECT src, sum(length(src::VARCHAR)) OVER (ORDER BY src)::BIGINT AS chars FROM ed WHERE dst = 5) WHERE chars <= 20")
+add("degrees", lambda s, d: G.degrees(edges(s, d)), f"WITH {_E} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM ed UNION ALL SELECT dst, 0, 1 FROM ed) GROUP BY 1")
+add("reverse_graph", lambda s, d: G.reverse(edges(s, d)), f"WITH {_E} SELECT dst AS src, src AS dst FROM ed")

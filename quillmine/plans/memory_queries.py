@@ -55,7 +55,7 @@ add(
 on_obs("decay_candidates", lambda o: M.decay_candidates(o, NOW), f"SELECT id, type, {REASON} AS reason FROM obs WHERE {REASON} IS NOT NULL")
 on_obs("decay_preview", lambda o: M.archive_preview(o, NOW), f"SELECT {REASON} AS reason, count(*) AS n, min(id) AS first_id FROM obs WHERE {REASON} IS NOT NULL GROUP BY 1")
 on_obs("observation_roi", lambda o: M.roi(o, NOW), ROI)
-on_obs("roi_stats", lambda o: M.roi_stats(o, NOW), f"SELECT type, count(*) AS n, sum(tokens_stored)::BIGINT AS tokens_stored, round(avg(roi), 4) AS avg_roi, count(*) FILTER (roi < 0) AS negative FROM ({ROI}) GROUP BY ROLLUP (type)")
+on_obs("roi_stats", lambda o: M.roi_stats(o, NOW), f"SELECT type, count(*) AS n, sum(tokens_stored)::BIGINT AS tokens_stored, floor(sum(round(roi * 1000)::BIGINT)::DOUBLE * 10.0 / count(*) + 0.5) / 10000 AS avg_roi, count(*) FILTER (roi < 0) AS negative FROM ({ROI}) GROUP BY ROLLUP (type)")
 on_obs("promotions", lambda o: M.promotions(o, NOW), f"SELECT id, type AS from_type, t AS to_type FROM obs JOIN (VALUES {', '.join(str(r) for r in rules.PROMOTIONS)}) r(k, n, t) ON type = k AND access_count >= n WHERE last_accessed_epoch >= {NOW - 30 * 86400}")
 add("validity", lambda spark, d: M.validity(table(spark, d, "labels").select(F.col("doc_id").alias("obs_id"), (F.col("quality") == 1).alias("ok"))),
     """WITH v AS (SELECT doc_id AS obs_id, 2 + count(*) FILTER (quality = 1) AS alpha, 1 + count(*) FILTER (quality <> 1) AS beta FROM labels GROUP BY 1),

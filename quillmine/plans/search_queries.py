@@ -28,25 +28,6 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-def query_of(spark, d) -> tuple[list[str], list[float]]:
-    """Tokens of benchmark item 0 and the vector of row 0: one row each."""
-    words = table(spark, d, "benchmark").where("item_id = 0").select(C.tokens(F.col("text")).alias("t")).first()["t"]
-    return words, list(vectors(spark, d).where("id = 0").first()["embedding"])
-
-
-_T = "regexp_extract_all(lower(text), '[a-z0-9_]{3,}')"
-_BM = f"""q AS (SELECT DISTINCT unnest({_T}) AS term FROM benchmark WHERE item_id = 0), dt AS (SELECT doc_id AS id, {_T} AS t FROM documents),
-st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM dt), tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM dt) JOIN q USING (term) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), bm AS (SELECT id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY id)"""
-_KN = "kn AS (SELECT e.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::DOUBLE * z.embedding[i]::DOUBLE)), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z)"
-add("bm25_search", lambda s, d: S.bm25(docs(s, d), query_of(s, d)[0], 40), f"WITH {_BM} SELECT id, score::DOUBLE AS score FROM bm ORDER BY score DESC, id LIMIT 40")
-add("knn_search", lambda s, d: S.knn(vectors(s, d), query_of(s, d)[1], 40), f"WITH {_KN} SELECT id, score FROM kn ORDER BY score DESC, id LIMIT 40")
-add("hybrid_search", lambda s, d: S.hybrid(docs(s, d), vectors(s, d), *query_of(s, d)),
-    f"""WITH {_BM}, {_KN}, b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS p FROM bm QUALIFY p <= 40), v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS p FROM kn QUALIFY p <= 40)
-    SELECT id, round(sum(1.0::DOUBLE / (60 + p)), 6) AS score FROM (FROM b UNION ALL FROM v) GROUP BY id ORDER BY score DESC, id LIMIT 20""")
-
-
-# The same for every row whose id 50 divides, against all rows; the queries above keep the one query that their SQL names.
 def bm25_each(s, d, limit=40):
     return S.bm25_each(docs(s, d), table(s, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query"), "text"), limit)
 
@@ -55,9 +36,21 @@ def knn_each(s, d, k=40):
     return dense.top(vectors(s, d), vectors(s, d).where("id % 50 = 0"), k)
 
 
-add("bm25_search_each", lambda s, d: bm25_each(s, d).drop("place"))
-add("knn_search_each", lambda s, d: knn_each(s, d).drop("place"))
-add("hybrid_search_each", lambda s, d: S.rrf_each([bm25_each(s, d), knn_each(s, d)], 20))
+# Queries of the searches: every row whose id 50 divides, against all rows.
+_T = "regexp_extract_all(lower(text), '[a-z0-9_]{3,}')"
+_BM = f"""q AS (SELECT item_id AS query, unnest(list_distinct({_T})) AS term FROM benchmark WHERE item_id % 50 = 0), dt AS (SELECT doc_id AS id, {_T} AS t FROM documents),
+st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM dt),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM dt) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bs AS (SELECT query, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6)::DOUBLE AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY query, id),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS p FROM bs QUALIFY p <= 40)"""
+_KN = """ks AS (SELECT z.vec_id AS query, e.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::DOUBLE * z.embedding[i]::DOUBLE)), 6) AS score FROM embeddings e, embeddings z WHERE z.vec_id % 50 = 0),
+kn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS p FROM ks QUALIFY p <= 40)"""
+add("bm25_search", lambda s, d: bm25_each(s, d).drop("place"), f"WITH {_BM} SELECT query, id, score FROM bm")
+add("knn_search", lambda s, d: knn_each(s, d).drop("place"), f"WITH {_KN} SELECT query, id, score FROM kn")
+add("hybrid_search", lambda s, d: S.rrf_each([bm25_each(s, d), knn_each(s, d)], 20),
+    f"""WITH {_BM}, {_KN}, f AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + p)), 6) AS score FROM (SELECT query, id, p FROM bm UNION ALL SELECT query, id, p FROM kn) GROUP BY query, id)
+    SELECT query, id, score FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 20""")
 
 
 def files(spark, d):
@@ -104,8 +97,7 @@ _SG = """sg AS (SELECT user_id AS session, 'tool:' || event_type AS dim, round(c
 UNION ALL SELECT session, 'bucket:' || bucket, round(n / max(n) OVER (PARTITION BY session), 6)::DOUBLE FROM (SELECT session, CAST('0x' || substr(md5(symbol), 1, 8) AS BIGINT) % 13 AS bucket, count(*) AS n FROM (SELECT DISTINCT user_id AS session, json_extract_string(props, '$.k') AS symbol FROM events) WHERE symbol IS NOT NULL GROUP BY ALL))"""
 sig = lambda s, d: Q.session_signature(calls(s, d), ["view", "click"])
 add("session_signature", sig, f"WITH {_SG} SELECT * FROM sg")
-add("similar_sessions", lambda s, d: Q.similar_sessions(sig(s, d), 1), f"WITH {_SG}, nm AS (SELECT session, sqrt(sum(value * value)) AS norm FROM sg GROUP BY 1) SELECT x.session, round(sum(x.value * y.value) / (any_value(a.norm) * any_value(b.norm)), 6) AS similarity FROM sg x JOIN sg y ON x.dim = y.dim AND y.session = 1 AND x.session <> 1 JOIN nm a ON a.session = x.session JOIN nm b ON b.session = 1 GROUP BY 1 HAVING similarity >= 0.5 ORDER BY 2 DESC, 1 LIMIT 3")
-add("similar_sessions_each", lambda s, d: Q.similar_each(sig(s, d), F.col("id") % 50 == 0))
+add("similar_sessions", lambda s, d: Q.similar_each(sig(s, d), F.col("id") % 50 == 0))
 add("lattice_stats", lambda s, d: Q.lattice(calls(s, d), F.col("value") > 100), "SELECT event_type AS state, round((1 + count(*) FILTER (value > 100)) / (2 + count(*)), 6)::DOUBLE AS mean, count(*) AS trials FROM events GROUP BY 1")
 
 

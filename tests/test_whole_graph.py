@@ -21,9 +21,9 @@ def plain():
     return {(3 * a, 3 * b) for (a, b), n in seen.items() if n >= Q.THETA} | {(3 * a + 1, 3 * b + 2) for a, b in zip(li["l_suppkey"], li["l_partkey"])}
 
 
-def test_graph_of_whole_tables(spark):
+def test_graph_of_tables(spark):
     want = plain()
-    assert sorted(map(tuple, Q.QUERIES["reverse_graph_whole"](spark, SF).collect())) == sorted((b, a) for a, b in want)
+    assert sorted(map(tuple, Q.QUERIES["reverse_graph"](spark, SF).collect())) == sorted((b, a) for a, b in want)
     nodes = {x for e in want for x in e}
     near = {x: set() for x in nodes}
     for a, b in want:
@@ -36,6 +36,6 @@ def test_graph_of_whole_tables(spark):
             if y not in label:
                 label[y] = x
                 stack += near[y]
-    assert {r["node"]: r["component"] for r in Q.QUERIES["graph_components_whole"](spark, SF).collect()} == label
-    impact = {r["node"]: r["depth"] for r in Q.QUERIES["change_impact_whole"](spark, SF).collect()}
+    assert {r["node"]: r["component"] for r in Q.QUERIES["graph_components"](spark, SF).collect()} == label
+    impact = {r["node"]: r["depth"] for r in Q.QUERIES["change_impact"](spark, SF).collect()}
     assert impact == {a: 1 for a, b in want if b == 5}
