@@ -34,6 +34,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Nodes at a shingle that are compared in pairs without ado.
 CROWD = 16
+#: Numbers in a dense block of the comparison of a crowd (4 bytes each).
+DENSE = 4 << 20
 #: One in so many documents is looked at for common shingles; those that so many of them hold are common, at most COMMON.
 EVERY, OFTEN, COMMON = 16, 4, 50_000
 
@@ -144,6 +146,7 @@ def _meet(keys: DataFrame, threshold: float, crowd: int) -> DataFrame:
 def _compare(sets: list[np.ndarray], roots: np.ndarray, threshold: float, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of sets of different roots that are similar enough."""
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat = flat.astype(np.int32)
     sizes = np.array([len(x) for x in sets])
     shared = np.bincount(flat, minlength=len(values)) > 1
     place = np.cumsum(shared) - 1
@@ -151,6 +154,8 @@ def _compare(sets: list[np.ndarray], roots: np.ndarray, threshold: float, block:
     column = place[flat[shared[flat]]]
     cut = np.searchsorted(row, np.arange(len(sets) + 1))
     width = int(shared.sum())
+    block = max(1, min(block, DENSE // max(1, width)))
+    del flat
 
     def dense(a: int, b: int) -> np.ndarray:
         out = np.zeros((b - a, width), np.float32)
