@@ -34,8 +34,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Nodes at a shingle that are compared in pairs without ado.
 CROWD = 16
-#: Numbers in a dense block of the comparison of a crowd (4 bytes each).
-DENSE = 4 << 20
 #: One in so many documents is looked at for common shingles; those that so many of them hold are common, at most COMMON.
 EVERY, OFTEN, COMMON = 16, 4, 50_000
 
@@ -143,35 +141,33 @@ def _meet(keys: DataFrame, threshold: float, crowd: int) -> DataFrame:
     return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
-def _compare(sets: list[np.ndarray], roots: np.ndarray, threshold: float, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of sets of different roots that are similar enough."""
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    flat = flat.astype(np.int32)
-    sizes = np.array([len(x) for x in sets])
-    shared = np.bincount(flat, minlength=len(values)) > 1
-    place = np.cumsum(shared) - 1
-    row = np.repeat(np.arange(len(sets)), sizes)[shared[flat]]
-    column = place[flat[shared[flat]]]
-    cut = np.searchsorted(row, np.arange(len(sets) + 1))
-    width = int(shared.sum())
-    block = max(1, min(block, DENSE // max(1, width)))
-    del flat
-
-    def dense(a: int, b: int) -> np.ndarray:
-        out = np.zeros((b - a, width), np.float32)
-        out[row[cut[a] : cut[b]] - a, column[cut[a] : cut[b]]] = 1
-        return out
-
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for a in range(0, len(sets), block):
-        b = min(a + block, len(sets))
-        left = dense(a, b)
-        for c in range(a, len(sets), block):
-            d = min(c + block, len(sets))
-            both = left @ (left if c == a else dense(c, d)).T
-            all_ = sizes[a:b, None] + sizes[None, c:d] - both
-            i, j = np.nonzero((both >= threshold * all_ - 1e-6) & (roots[a:b, None] != roots[None, c:d]))
-            found.append((i + a, j + c))
+def _compare(sets: list[np.ndarray], roots: np.ndarray, threshold: float, most: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of sets of different roots that are similar enough. Common values are counted from each value's holders, about most at a time."""
+    m, sizes = len(sets), np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(column)
+    keep = held[column] > 1
+    row, column = np.repeat(np.arange(m), sizes)[keep], column[keep]
+    holders = row[np.argsort(column, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.where(held > 1, held, 0))])
+    work = np.concatenate([[0], np.cumsum(held[column])])
+    cut = np.searchsorted(row, np.arange(m + 1))
+    found, a = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    while a < m:
+        b = max(a + 1, min(a + max(1, most // m), m, int(np.searchsorted(work[cut], work[cut[a]] + most, "right")) - 1))
+        both, at = np.zeros((b - a) * m, np.int64), int(cut[a])
+        while at < cut[b]:
+            to = max(at + 1, min(int(cut[b]), int(np.searchsorted(work, work[at] + most, "right")) - 1))
+            n = held[column[at:to]]
+            place = np.repeat(first[column[at:to]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both += np.bincount(np.repeat((row[at:to] - a) * m, n) + holders[place], minlength=len(both))
+            at = to
+        both = both.reshape(b - a, m)
+        all_ = sizes[a:b, None] + sizes[None, :] - both
+        i, j = np.nonzero((both >= threshold * all_ - 1e-6) & (roots[a:b, None] != roots[None, :]))
+        later = i + a < j
+        found.append((i[later] + a, j[later]))
+        a = b
     return tuple(np.concatenate(x) for x in zip(*found))
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quillmine.llm import near
 
 
@@ -42,3 +44,20 @@ def test_classes_are_those_of_all_pairs(spark):
         assert {r["doc_id"]: r["component_id"] for r in near.classes(docs, crowd=crowd).collect()} == want
     kept = near.keep_one(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_compare_in_small_steps():
+    r = random.Random(3)
+    base = [np.array(sorted(r.sample(range(300), 60))) for _ in range(5)]
+    sets = []
+    for k in range(40):
+        own = set(base[k % 5].tolist())
+        for x in r.sample(sorted(own), k % 7):
+            own.discard(x)
+        sets.append(np.array(sorted(own), np.int32))
+    sets[7] = np.zeros(0, np.int32)
+    roots = np.array([k // 2 for k in range(40)])
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if roots[i] != roots[j] and similar(set(sets[i].tolist()), set(sets[j].tolist()))}
+    for most in (10, 1000, 4 << 20):
+        assert set(zip(*(x.tolist() for x in near._compare(sets, roots, 0.8, most)))) == want
