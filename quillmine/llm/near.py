@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from . import simhash
-from .common import blocks, checked_broadcast, discard, park, sweep, texts, word_bounds
+from .common import blocks, checked_broadcast, discard, park, small_batches, sweep, texts, word_bounds
 from .components import components, forest
 from .hashes import BASES, prefix, ranges, sliding
 from .simhash import _LOWER, keep_smallest
@@ -218,7 +218,8 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd:
     slices = -(-members.count() // max(1, sets.count()))
     for k in range(slices):
         some = members.where(F.pmod(F.xxhash64("shingle"), F.lit(slices)) == k)
-        edges = edges.unionByName(park(_crowds(some.join(sets, "node"), threshold), "crowded"))
+        with small_batches(docs.sparkSession, 256):
+            edges = edges.unionByName(park(_crowds(some.join(sets, "node"), threshold), "crowded"))
         sweep(docs.sparkSession)
     discard(sets)
     return edges
