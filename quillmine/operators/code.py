@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,13 +98,17 @@ def config_duplicates(sections: DataFrame) -> DataFrame:
     return out.where((F.col("distance") == 0) | ((F.length("a") > 4) & (F.length("b") > 4) & (F.col("distance") > 0))).select("path", "a", "b", "distance")
 
 
+#: What credentials of known kinds start with.
+SECRET_PREFIXES = ("sk-", "sk_live_", "sk_test_", "ghp_", "gho_", "ghu_", "ghs_", "AKIA", "-----BEGIN", "xox", "xapp-", "eyJ")
+
+
 def config_secrets(lines: DataFrame) -> DataFrame:
     """(path, line_no, engine) of lines whose value looks secret: a known prefix, a suspicious key, credentials in a URL, or high entropy."""
     value = F.regexp_extract("line", "[=:]\\s*[\"']?([^\\s\"']+)", 1)
     key = F.lower(F.regexp_extract("line", "^\\s*([\\w.-]+)\\s*[=:]", 1))
     harmless = F.lower(value).rlike("^(|changeme|example|true|false|null|none|\\$\\{.*\\}|<.*>)$")
     engines = F.array(
-        F.when(value.rlike("^(AKIA|sk-|ghp_|xox[bp]-)"), "prefix"),
+        F.when(reduce(or_, (value.startswith(p) for p in SECRET_PREFIXES)), "prefix"),
         F.when(key.rlike("(password|secret|token|api_?key)"), "key"),
         F.when(value.rlike("^[a-z]+://[^/:@]+:[^/@]+@"), "url"),
         F.when((F.length(value) >= 16) & (entropy(value) > 4.5), "entropy"),

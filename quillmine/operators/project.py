@@ -124,7 +124,17 @@ def tool_router(query: str, tools: DataFrame, k: int = 5) -> DataFrame:
 
 
 #: Allocation rules for Java bodies, pattern, weight and reason.
-JAVA_RULES = ((r"new\s+\w+\s*[(\[]", 1.0, "allocation"), (r"\.stream\(\)", 2.0, "stream"), (r"String\.format", 2.0, "format"), (r"\+\s*\"", 0.5, "concatenation"))
+JAVA_RULES = (
+    (r"\bnew\s+[A-Z_][A-Za-z0-9_$.<>]*\s*\(", 5.0, "object construction"),
+    (r"\bnew\s+(?:ArrayList|LinkedList|HashMap|LinkedHashMap|ConcurrentHashMap|HashSet|LinkedHashSet|TreeMap|TreeSet|StringBuilder|StringBuffer|BigDecimal|BigInteger)(?:<[^>]*>)?\s*\(", 7.0, "collection/buffer construction"),
+    (r"\bnew\s+[A-Za-z_][A-Za-z0-9_$.<>?,\s]*\[", 4.0, "array allocation"),
+    (r"\bString\.format\s*\(|\.formatted\s*\(", 6.0, "string formatting"),
+    (r"\.(?:stream|parallelStream)\s*\(|\bCollectors\.", 5.0, "stream pipeline"),
+    (r"\bOptional\.(?:of|ofNullable|empty)\s*\(", 4.0, "optional wrapper"),
+    (r"\b(?:Integer|Long|Double|Float|Short|Byte|Boolean|Character)\.valueOf\s*\(", 3.0, "boxing helper"),
+    (r"\bPattern\.compile\s*\(", 5.0, "regex compilation"),
+    (r"\bnew\s+[A-Z][A-Za-z0-9_]*(?:Exception|Error)\s*\(", 4.0, "exception allocation"),
+)
 
 
 def java_hotspots(bodies: DataFrame) -> DataFrame:

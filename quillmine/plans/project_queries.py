@@ -41,7 +41,7 @@ add("impacted_tests", lambda s, d: P.impacted_tests(frame(s, [("test_x", "x"), (
 add("context_pack", lambda s, d: P.context_pack(frame(s, [(1, 10.0, 50), (2, 9.0, 20), (3, 5.0, 60), (4, 1.0, 30)], "id long, value double, cost long"), 100), "place, id", [(0, 2), (1, 1), (2, 4)])
 add("backward_slice", lambda s, d: P.backward_slice(frame(s, [(1, "def f(a):\n    b = a + 1\n    c = 5\n    if b:\n        d = b * 2\n    e = c\n    return d\n", "d", 7)], "id long, source string, variable string, line int")), "id, line", [(1, 2), (1, 4), (1, 5), (1, 7)])
 add("tool_router", lambda s, d: P.tool_router("find dead code", frame(s, [("a", "Find dead code in a project"), ("b", "find files"), ("c", "other")], "name string, doc string"), 2), "name, score", [("a", 1.0), ("b", 0.333333)])
-add("java_hotspots", lambda s, d: P.java_hotspots(frame(s, [("K.a", 'new Foo(); x.stream(); String s = a + "b";'), ("K.b", "return 1;")], "qualified_name string, body string")), "qualified_name, score", [("K.a", 3.5)])
+add("java_hotspots", lambda s, d: P.java_hotspots(frame(s, [("K.a", 'new Foo(); x.stream(); String s = a + "b";'), ("K.b", "return 1;"), ("K.c", "new ArrayList<String>(); new int[3]; String.format(x); Optional.of(x); Integer.valueOf(x); Pattern.compile(x); throw new FooException(x);")], "qualified_name string, body string")), "qualified_name, score", [("K.a", 10.0), ("K.c", 43.0)])
 add("docker_analysis", lambda s, d: P.docker_report(frame(s, [("Dockerfile", 1, "FROM a:latest"), ("Dockerfile", 2, "FROM b AS c"), ("Dockerfile", 3, "FROM d:1"), ("Dockerfile", 4, "RUN x")], "path string, line_no int, line string")), "path, line_no, issue", [("Dockerfile", 1, "latest"), ("Dockerfile", 2, "untagged")])
 add("config_orphans", lambda s, d: P.config_orphans(frame(s, [("HOST",), ("UNUSED",)], "key string"), frame(s, [("os.getenv('HOST')",), ("process.env.GHOST",)], "line string")), "key, kind", [("UNUSED", "orphan"), ("GHOST", "ghost")])
 SQLS = [("m", "m/1.sql", "CREATE TABLE a (id INT PRIMARY KEY, n VARCHAR(10)); CREATE TABLE b (x INT);"), ("m", "m/2.sql", "ALTER TABLE a ADD COLUMN t TEXT; -- note\nDROP TABLE b; ALTER TABLE a DROP COLUMN n;")]
