@@ -6,8 +6,10 @@ order, and two sets that similar share one of the first size - ceil(THRESHOLD *
 meet at a shingle. Any order is exact; shingles that a sample of documents shows to be common come last, so that a
 common passage brings few candidates. Candidates of fitting sizes are verified on their whole sets, as 32-bit hashes
 (two shingles of a pair that share one, about once in 10,000 pairs, count as one shingle). A shingle with
-more than CROWD nodes is first linked to one of them; members that are not in one component then are compared there
-in blocks, and only a forest of their links leaves.
+more than CROWD nodes is first linked to one of them, while they stream by; shingles that the sample shows to be held
+by more than SALT documents are dealt over several tasks, each with a node of its own to link to. Where members are not
+in one component then, those outside the largest one are compared with all, in blocks of at most about ROWS sets and
+VALUES values; two blocks meet in one task, and only a forest of their links leaves.
 
 Cases: null and empty texts are one class; repeated rows share their class; rows with a null doc_id are not looked
 at; an empty table gives an empty result.
@@ -36,6 +38,10 @@ THRESHOLD = 0.8
 CROWD = 16
 #: One in so many documents is looked at for common shingles; those that so many of them hold are common, at most COMMON.
 EVERY, OFTEN, COMMON = 16, 4, 50_000
+#: Nodes of a common shingle that meet in one task.
+SALT = 4096
+#: Sets, and values of sets, in a block of a crowd.
+ROWS, VALUES = 2048, 1 << 20
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -83,11 +89,12 @@ def _sketch(docs: DataFrame, common: np.ndarray | None, threshold: float) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _common(docs: DataFrame) -> np.ndarray:
-    """Sorted: shingles that many documents of a sample hold, at most COMMON. They decide on the order only."""
+def _common(docs: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Sorted: shingles that many documents of a sample hold, at most COMMON. They decide on the order only. And those among them for several tasks, with their number."""
     some = _sketch(docs.where(F.xxhash64("doc_id") % EVERY == 0), np.zeros(0, np.uint64), 0.0).select(F.explode("shingles").alias("shingle"))
-    often = some.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(COMMON)
-    return np.sort(np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64))
+    often = some.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    hot = [(r["shingle"], -(-r["n"] * EVERY // SALT)) for r in often if r["n"] * EVERY > SALT]
+    return np.sort(np.array([r["shingle"] for r in often], np.int64).view(np.uint64)), hot
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -115,35 +122,78 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
+def _keys(rows: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """(shingle, salt, node, n) of the sketch; salt is -1 but for hot (shingle, number of tasks), at most COMMON of them. Equal sets at a hot shingle are one row before they meet."""
+    keys = rows.select(F.explode("shingles").alias("shingle"), "node", "n")
+    if not hot:
+        return keys.select("shingle", F.lit(-1).alias("salt"), "node", "n")
+    wide = F.broadcast(rows.sparkSession.createDataFrame(hot, "shingle long, salts int"))
+    cold = keys.join(wide, "shingle", "left_anti").select("shingle", F.lit(-1).alias("salt"), "node", "n")
+    salted = keys.distinct().join(wide, "shingle").select("shingle", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "n")
+    return cold.unionByName(salted)
+
+
 def _meet(keys: DataFrame, threshold: float, crowd: int) -> DataFrame:
-    """(kind, a, b) for keys (shingle, node, n): kind 0 is a candidate pair, kind 1 a (shingle, node) of a crowd."""
+    """(kind, a, b) for keys (shingle, salt, node, n): kind 0 is a candidate pair, kind 1 a (shingle, node) of a crowd, kind 2 a (shingle, node) that one task of a hot shingle linked its members to. At most crowd nodes of a shingle are held."""
+
+    def pairs(nodes: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        fit = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+        return 0, np.minimum(nodes[i], nodes[j])[fit], np.maximum(nodes[i], nodes[j])[fit]
+
+    def batch_of(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        kind = np.concatenate([np.full(len(a), k, np.int32) for k, a, _ in found])
+        return pa.record_batch([pa.array(kind), *(pa.array(np.concatenate([x[c] for x in found])) for c in (1, 2))], ["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            nodes, at = np.unique(group["node"].to_numpy(), return_index=True)
-            n = group["n"].to_numpy()[at]
-            m = len(nodes)
-            if m < 2:
+        none = np.zeros(0, np.int64)
+        key, last, centre, nodes, sizes = None, None, None, none, none
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if m <= crowd:
-                i, j = np.triu_indices(m, 1)
-            else:
-                middle = int(np.argsort(n, kind="stable")[m // 2])
-                i, j = np.full(m - 1, middle), np.delete(np.arange(m), middle)
-            fit = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-            a, b = np.minimum(nodes[i], nodes[j])[fit], np.maximum(nodes[i], nodes[j])[fit]
-            yield pa.record_batch([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
-            if m > crowd:
-                shingle = np.full(m, group["shingle"][0].as_py(), np.int64)
-                yield pa.record_batch([pa.array(np.ones(m, np.int32)), pa.array(shingle), pa.array(nodes)], ["kind", "a", "b"])
-
-    dealt = keys.repartition("shingle").sortWithinPartitions("shingle")
+            shingle, salt, node, n = (batch.column(c).to_numpy() for c in ("shingle", "salt", "node", "n"))
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(shingle) != 0) | (np.diff(salt) != 0)) + 1, [len(node)]])
+            length = np.diff(edges)
+            length[[0, -1]] = 2
+            found = []
+            for k in np.flatnonzero((length > 1) | (salt[edges[:-1]] >= 0)):
+                part, at = np.unique(node[edges[k] : edges[k + 1]], return_index=True)
+                size = n[edges[k] : edges[k + 1]][at]
+                now = (shingle[edges[k]], salt[edges[k]])
+                if now != key:
+                    if centre is None and len(nodes) > 1:
+                        found.append(pairs(nodes, sizes, *np.triu_indices(len(nodes), 1)))
+                    key, last, centre, nodes, sizes = now, None, None, none, none
+                if last is not None and part[0] == last:
+                    part, size = part[1:], size[1:]
+                    if not len(part):
+                        continue
+                last = part[-1]
+                nodes, sizes = np.concatenate([nodes, part]), np.concatenate([sizes, size])
+                if len(nodes) <= crowd and now[1] < 0:
+                    continue
+                found.append((1, np.full(len(nodes), now[0], np.int64), nodes))
+                if centre is None:
+                    middle = int(np.argsort(sizes, kind="stable")[len(nodes) // 2])
+                    centre = nodes[middle], sizes[middle]
+                    nodes, sizes = np.delete(nodes, middle), np.delete(sizes, middle)
+                    if now[1] >= 0:
+                        found.append((2, np.array([now[0]], np.int64), np.array([centre[0]], np.int64)))
+                m = len(nodes)
+                found.append(pairs(np.append(nodes, centre[0]), np.append(sizes, centre[1]), np.arange(m), np.full(m, m)))
+                nodes, sizes = none, none
+            if found:
+                yield batch_of(found)
+        if centre is None and len(nodes) > 1:
+            yield batch_of([pairs(nodes, sizes, *np.triu_indices(len(nodes), 1))])
+
+    dealt = keys.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node")
     return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
-def _compare(sets: list[np.ndarray], roots: np.ndarray, threshold: float, most: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of sets of different roots that are similar enough. Common values are counted from each value's holders, about most at a time."""
+def _compare(sets: list[np.ndarray], roots: np.ndarray, threshold: float, most: int = 4 << 20, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of sets of different roots that are similar enough, i among the first left (all if None). Common values are counted from each value's holders, about most at a time."""
     m, sizes = len(sets), np.array([len(x) for x in sets])
+    left = m if left is None else left
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     held = np.bincount(column)
     keep = held[column] > 1
@@ -153,8 +203,8 @@ def _compare(sets: list[np.ndarray], roots: np.ndarray, threshold: float, most:
     work = np.concatenate([[0], np.cumsum(held[column])])
     cut = np.searchsorted(row, np.arange(m + 1))
     found, a = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-    while a < m:
-        b = max(a + 1, min(a + max(1, most // m), m, int(np.searchsorted(work[cut], work[cut[a]] + most, "right")) - 1))
+    while a < left:
+        b = max(a + 1, min(a + max(1, most // m), left, int(np.searchsorted(work[cut], work[cut[a]] + most, "right")) - 1))
         both, at = np.zeros((b - a) * m, np.int64), int(cut[a])
         while at < cut[b]:
             to = max(at + 1, min(int(cut[b]), int(np.searchsorted(work, work[at] + most, "right")) - 1))
@@ -171,14 +221,34 @@ def _compare(sets: list[np.ndarray], roots: np.ndarray, threshold: float, most:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _deal(members: DataFrame) -> DataFrame:
+    """(shingle, node, root, first): members (shingle, node, root, n) of crowds of several roots, dealt to pairs of blocks, whose number takes the place of the shingle.
+
+    The largest root of a crowd has blocks of its own and its members need not meet each other; every other block meets
+    all blocks, as the first of the pair or not, and looks within itself where it is the first.
+    """
+    per = members.groupBy("shingle", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    per = per.groupBy("shingle").agg(F.count("*").alias("roots"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "n", "root")).alias("top"))
+    number = lambda rows, n: F.greatest(F.ceil(rows / F.lit(ROWS)), F.ceil(n / F.lit(VALUES)), F.lit(1)).cast("int")
+    top = number(F.col("top.rows"), F.col("top.n"))
+    rest = number(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n"))
+    laid = per.where("roots > 1").select("shingle", F.col("top.root").alias("top"), top.alias("tops"), rest.alias("rests"))
+    own = F.when(F.expr("root = top"), F.col("rests") + F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rests")))
+    met = members.join(laid, "shingle").withColumn("own", own.cast("int"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, IF(root = top, rests, rests + tops) - 1)"))).where("own <> other")
+    return met.select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("shingle"), "node", "root", F.expr("own < other").alias("first"))
+
+
 def _crowds(members: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) among members (shingle, node, root, shingles) of one shingle that no component holds together yet."""
+    """Edges (a, b) among members (shingle, node, root, first, shingles) of two blocks that no component holds together yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            nodes, roots = group["node"].to_numpy(), group["root"].to_numpy()
-            sets = [np.asarray(x) for x in group["shingles"].to_numpy()]
-            i, j = _compare(sets, roots, threshold)
+            first = np.asarray(group["first"].to_pylist(), bool)
+            order = np.argsort(~first, kind="stable")
+            nodes, roots = group["node"].to_numpy()[order], group["root"].to_numpy()[order]
+            sets = group["shingles"].to_numpy()
+            i, j = _compare([np.asarray(sets[k]) for k in order], roots, threshold, left=int(first.sum()))
             if len(i):
                 a, b = forest(nodes[i], nodes[j])
                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
@@ -186,10 +256,12 @@ def _crowds(members: DataFrame, threshold: float) -> DataFrame:
     return members.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, known: DataFrame | None = None) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, known: DataFrame | None = None, hot: list[tuple[int, int]] = []) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets of threshold or more, and of known (doc_id, component_id); rows is the sketch of docs. Pairs that known joins already are not verified."""
-    met = park(_meet(rows.select(F.explode("shingles").alias("shingle"), "node", "n"), threshold, crowd), "met", compression="zstd")
-    pairs = met.where("kind = 0").select("a", "b").distinct()
+    met = park(_meet(_keys(rows, hot), threshold, crowd), "met", compression="zstd")
+    centres = met.where("kind = 2").select("a", "b")
+    centres = centres.join(centres.groupBy("a").agg(F.min("b").alias("low")), "a").where("b <> low").select(F.col("low").alias("a"), "b")
+    pairs = met.where("kind = 0").select("a", "b").unionByName(centres).distinct()
     given = None
     if known is not None:
         named = park(rows.select("doc_id", "node").join(known.select("doc_id", "component_id").distinct(), "doc_id").select("node", "component_id").distinct(), "named")
@@ -210,11 +282,11 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd:
     if crowds.isEmpty():
         return edges
     roots = park(components(edges).withColumnRenamed("node", "__node"), "first")
-    members = crowds.join(roots, F.col("node") == F.col("__node"), "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
-    apart = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    members = park(members.join(apart, "shingle", "left_semi"), "members")
+    sized = sets.select("node", F.size("shingles").alias("n"))
+    members = crowds.join(sized, "node").join(roots, F.col("node") == F.col("__node"), "left")
+    members = park(_deal(park(members.select("shingle", "node", F.coalesce("root", "node").alias("root"), "n"), "crowded")), "members")
     sweep(docs.sparkSession)
-    # a set goes to every crowd it is in, so crowds are taken in as many slices as they hold sets more than once
+    # a set goes to every pair of blocks it is in, so these are taken in as many slices as they hold sets more than once
     slices = -(-members.count() // max(1, sets.count()))
     for k in range(slices):
         some = members.where(F.pmod(F.xxhash64("shingle"), F.lit(slices)) == k)
@@ -235,8 +307,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id) for every row of docs with a doc_id; known (doc_id, component_id) joins rows beforehand."""
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = park(_sketch(docs, _common(docs), threshold), "sketch", compression="zstd")
-    roots = park(components(links(docs, rows, threshold, crowd, known)), "roots")
+    common, hot = _common(docs)
+    rows = park(_sketch(docs, common, threshold), "sketch", compression="zstd")
+    roots = park(components(links(docs, rows, threshold, crowd, known, hot)), "roots")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = park(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "labelled")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

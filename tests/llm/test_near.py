@@ -36,12 +36,17 @@ def corpus():
     return rows
 
 
-def test_classes_are_those_of_all_pairs(spark):
+def test_classes_are_those_of_all_pairs(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     for crowd in (2, 16):
         assert {r["doc_id"]: r["component_id"] for r in near.classes(docs, crowd=crowd).collect()} == want
+    monkeypatch.setattr(near, "EVERY", 1)
+    for salt, size, values in ((4, 3, 900),):
+        for name, value in (("SALT", salt), ("ROWS", size), ("VALUES", values)):
+            monkeypatch.setattr(near, name, value)
+        assert {r["doc_id"]: r["component_id"] for r in near.classes(docs, crowd=2).collect()} == want
     kept = near.keep_one(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
@@ -59,5 +64,7 @@ def test_compare_in_small_steps():
     roots = np.array([k // 2 for k in range(40)])
     similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if roots[i] != roots[j] and similar(set(sets[i].tolist()), set(sets[j].tolist()))}
+    for left in (0, 1, 13, 40):
+        assert set(zip(*(x.tolist() for x in near._compare(sets, roots, 0.8, 1000, left)))) == {x for x in want if x[0] < left}
     for most in (10, 1000, 4 << 20):
         assert set(zip(*(x.tolist() for x in near._compare(sets, roots, 0.8, most)))) == want
