@@ -134,7 +134,7 @@ def _keys(rows: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
 
 
 def _meet(keys: DataFrame, threshold: float, crowd: int) -> DataFrame:
-    """(kind, a, b) for keys (shingle, salt, node, n): kind 0 is a candidate pair, kind 1 a (shingle, node) of a crowd, kind 2 a (shingle, node) that one task of a hot shingle linked its members to. At most crowd nodes of a shingle are held."""
+    """(kind, a, b) for keys (shingle, salt, node, n): kind 0 is a candidate pair, kind 1 a (shingle, node) of a crowd, kind 2 a (shingle, node) that one task of a hot shingle linked its members to. At most crowd nodes of a shingle and those of a batch are held."""
 
     def pairs(nodes: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         fit = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
