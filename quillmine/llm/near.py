@@ -4,12 +4,16 @@ Texts are folded and split as for the fingerprints; a text of fewer words is one
 empty set. Shingles are 64-bit hashes. Equal sets are one node before anything else. Prefix filter: shingles have one
 order, and two sets that similar share one of the first size - ceil(THRESHOLD * size) + 1 of both, so candidates
 meet at a shingle. Any order is exact; shingles that a sample of documents shows to be common come last, so that a
-common passage brings few candidates. Candidates of fitting sizes are verified on their whole sets, as 32-bit hashes
-(two shingles of a pair that share one, about once in 10,000 pairs, count as one shingle). A shingle with
+common passage brings few candidates. Each set has a bitmap of the parities of its shingles by their lower bits, at
+least as wide as the set is large; two bitmaps, the wider one folded, differ in no more bits than the sets differ in
+shingles, so candidates that differ in too many bits are told apart exactly, without their sets. The rest, of fitting
+sizes, are verified on their whole sets, as 32-bit hashes (two shingles of a pair that share one, about once in
+10,000 pairs, count as one shingle). A shingle with
 more than CROWD nodes is first linked to one of them, while they stream by; shingles that the sample shows to be held
 by more than SALT documents are dealt over several tasks, each with a node of its own to link to. Where members are not
 in one component then, those outside the largest one are compared with all, in blocks of at most about ROWS sets and
-VALUES values; two blocks meet in one task, and only a forest of their links leaves.
+VALUES values; two blocks meet in one task, first by bitmaps, then those that have a possible partner by their sets,
+and only a forest of their links leaves.
 
 Cases: null and empty texts are one class; repeated rows share their class; rows with a null doc_id are not looked
 at; an empty table gives an empty result.
@@ -42,6 +46,8 @@ EVERY, OFTEN, COMMON = 16, 4, 50_000
 SALT = 4096
 #: Sets, and values of sets, in a block of a crowd.
 ROWS, VALUES = 2048, 1 << 20
+#: Bits of the smallest bitmap.
+BITS = 1024
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -73,9 +79,39 @@ def head(shingles: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarr
     return np.concatenate([shingles[~last], shingles[last]])[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """The parity of the number of shingles with each value of their lower bits."""
+    width = max(BITS, 1 << max(0, len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits bitmaps i and j (places, pair by pair) differ, the wider one folded: at most as many as shingles are in one of the two sets only."""
+    width = np.array([len(x) // 8 for x in bits], np.int64)
+    narrow, out = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(narrow):
+        at = np.flatnonzero(narrow == w)
+        used = np.unique(np.concatenate([i[at], j[at]]))
+        words = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, w)) for k in used])
+        a, b = np.searchsorted(used, i[at]), np.searchsorted(used, j[at])
+        step = max(1, (1 << 21) // int(w))
+        for k in range(0, len(at), step):
+            out[at[k : k + step]] = np.bitwise_count(words[a[k : k + step]] ^ words[b[k : k + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _possible(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets i and j of n shingles may be similar enough, by sizes and bitmaps; true of every pair that is."""
+    out = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+    i, j = i[out], j[out]
+    out[out] = _apart(bits, i, j) <= (1 - threshold) / (1 + threshold) * (n[i] + n[j]) + 1e-6
+    return out
+
+
 def _sketch(docs: DataFrame, common: np.ndarray | None, threshold: float) -> DataFrame:
-    """(doc_id, node, n, shingles): the head of each set, or the whole set, as upper halves of the hashes, if common is None."""
-    schema = docs.select("doc_id").schema.add("node", "long").add("n", "integer").add("shingles", ArrayType(LongType() if common is not None else IntegerType()))
+    """(doc_id, node, n, bits, shingles): the head of each set and its bitmap, or the whole set, as upper halves of the hashes, and no bitmap if common is None."""
+    schema = docs.select("doc_id").schema.add("node", "long").add("n", "integer").add("bits", "binary").add("shingles", ArrayType(LongType() if common is not None else IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +119,8 @@ def _sketch(docs: DataFrame, common: np.ndarray | None, threshold: float) -> Dat
             kept = [np.unique(x >> np.uint64(32)).astype(np.uint32).view(np.int32) if common is None else head(x, common, threshold).view(np.int64) for x in rows]
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([np.zeros(0, np.int32 if common is None else np.int64), *kept])))
-            columns = [batch.column(0), pa.array([node(x) for x in rows], pa.int64()), pa.array([len(x) for x in rows], pa.int32()), lists]
-            yield pa.record_batch(columns, ["doc_id", "node", "n", "shingles"])
+            columns = [batch.column(0), pa.array([node(x) for x in rows], pa.int64()), pa.array([len(x) for x in rows], pa.int32()), pa.array([None if common is None else bitmap(x) for x in rows], pa.binary()), lists]
+            yield pa.record_batch(columns, ["doc_id", "node", "n", "bits", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -239,6 +275,28 @@ def _deal(members: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("shingle"), "node", "root", F.expr("own < other").alias("first"))
 
 
+def _survivors(members: DataFrame, threshold: float) -> DataFrame:
+    """Those (shingle, node, root, first) of members (with n and bits, too) that may have a partner of another root in their two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            first = np.asarray(group["first"].to_pylist(), bool)
+            roots, n, bits = group["root"].to_numpy(), group["n"].to_numpy().astype(np.int64), group["bits"].to_pylist()
+            m, own, seen = group.num_rows, np.flatnonzero(first), np.zeros(group.num_rows, bool)
+            step = max(1, (1 << 19) // m)
+            for k in range(0, len(own), step):
+                i, j = np.repeat(own[k : k + step], m), np.tile(np.arange(m), len(own[k : k + step]))
+                other = roots[i] != roots[j]
+                i, j = i[other], j[other]
+                may = _possible(n, bits, i, j, threshold)
+                seen[i[may]] = seen[j[may]] = True
+            if seen.any():
+                yield from group.filter(pa.array(seen)).select(["shingle", "node", "root", "first"]).to_batches()
+
+    dealt = members.select("shingle", "node", "root", "first", "n", "bits").repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(run, "shingle long, node long, root long, first boolean")
+
+
 def _crowds(members: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) among members (shingle, node, root, first, shingles) of two blocks that no component holds together yet."""
 
@@ -271,21 +329,22 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd:
     pairs = park(pairs, "pairs")
     crowds = park(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node")), "crowds")
     discard(met)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
-    holders = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    holders = checked_broadcast(park(holders.select("doc_id").distinct(), "holders"))
-    sets = park(_sketch(docs.join(holders, "doc_id", "left_semi"), None, threshold).select("node", "shingles").dropDuplicates(["node"]), "sets", compression="zstd")
-    sweep(docs.sparkSession)
-    edges = _verified(pairs, sets, threshold)
+    marks = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowds.select("node")).distinct()
+    marks = rows.select("node", "n", "bits", "doc_id").join(marks, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    marks = park(marks, "marks", compression="zstd")
+    pairs = park(_promising(pairs, marks, threshold), "promising")
+    edges = _verified(pairs, _sets(docs, marks, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), threshold), threshold)
     edges = edges if given is None else edges.unionByName(given)
     sweep(docs.sparkSession)
     if crowds.isEmpty():
         return edges
     roots = park(components(edges).withColumnRenamed("node", "__node"), "first")
-    sized = sets.select("node", F.size("shingles").alias("n"))
-    members = crowds.join(sized, "node").join(roots, F.col("node") == F.col("__node"), "left")
-    members = park(_deal(park(members.select("shingle", "node", F.coalesce("root", "node").alias("root"), "n"), "crowded")), "members")
+    members = crowds.join(marks.select("node", "n"), "node").join(roots, F.col("node") == F.col("__node"), "left")
+    members = _deal(park(members.select("shingle", "node", F.coalesce("root", "node").alias("root"), "n"), "crowded"))
+    with small_batches(docs.sparkSession, 4096):
+        members = park(_survivors(members.join(marks.select("node", "n", "bits"), "node"), threshold), "members")
     sweep(docs.sparkSession)
+    sets = _sets(docs, marks, members.select("node"), threshold)
     # a set goes to every pair of blocks it is in, so these are taken in as many slices as they hold sets more than once
     slices = -(-members.count() // max(1, sets.count()))
     for k in range(slices):
@@ -297,6 +356,29 @@ def links(docs: DataFrame, rows: DataFrame, threshold: float = THRESHOLD, crowd:
     return edges
 
 
+def _promising(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps of marks (node, n, bits) leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")]).astype(np.int64)
+            bits = batch.column("ba").to_pylist() + batch.column("bb").to_pylist()
+            may = _possible(n, bits, np.arange(m), np.arange(m, 2 * m), threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    marks = marks.select("node", "n", "bits")
+    both = pairs.join(marks.toDF("a", "na", "ba"), "a").join(marks.toDF("b", "nb", "bb"), "b").select("a", "b", "na", "nb", "ba", "bb")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, marks: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+    """(node, shingles) of the wanted nodes, written: whole sets, from the text of one doc_id each."""
+    holders = checked_broadcast(park(marks.select("node", "doc_id").join(wanted.distinct(), "node", "left_semi").select("doc_id").distinct(), "holders"))
+    sets = _sketch(docs.join(holders, "doc_id", "left_semi"), None, threshold).select("node", "shingles")
+    return park(sets.dropDuplicates(["node"]), "sets", compression="zstd")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets (node, shingles) are similar enough, written."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")

@@ -68,3 +68,19 @@ def test_compare_in_small_steps():
         assert set(zip(*(x.tolist() for x in near._compare(sets, roots, 0.8, 1000, left)))) == {x for x in want if x[0] < left}
     for most in (10, 1000, 4 << 20):
         assert set(zip(*(x.tolist() for x in near._compare(sets, roots, 0.8, most)))) == want
+
+
+def test_bitmaps_tell_apart_only_what_is():
+    r = random.Random(5)
+    for size in (0, 1, 40, 900, 1100, 2040, 2060, 5000):
+        for change in (0, size // 20, size // 9, size // 7, size // 3):
+            a = {r.getrandbits(64) for _ in range(size)}
+            b = set(r.sample(sorted(a), size - change)) | {r.getrandbits(64) for _ in range(r.randrange(change + 1))}
+            both = [np.array(sorted(x), np.uint64) for x in (a, b)]
+            bits, n = [near.bitmap(x) for x in both], np.array([len(x) for x in both])
+            apart = near._apart(bits, np.array([0]), np.array([1]))[0]
+            assert apart <= len(a ^ b) and (len(a ^ b) - apart) % 2 == 0
+            if len(a & b) >= 0.8 * len(a | b):
+                assert near._possible(n, bits, np.array([0]), np.array([1]), 0.8)[0]
+    unlike = [np.unique(np.array([r.getrandbits(64) for _ in range(600)], np.uint64)) for _ in range(2)]
+    assert not near._possible(np.array([600, 600]), [near.bitmap(x) for x in unlike], np.array([0]), np.array([1]), 0.8)[0]
