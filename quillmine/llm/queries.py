@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, mixing, phrases, secrets, simhash, suffixes, token_scan, toxicity, warc
+from . import decontam, media, mixing, periods, phrases, quality, secrets, simhash, suffixes, token_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +125,41 @@ r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
+def op11_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periods.repeats(table(spark, sf_dir, "documents"), periods.damage)
+    return runs.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+#: CRC-32 of a short text of ASCII characters, for a table tab of its 256 steps; tab comes from the polynomial.
+_CRC_TABLE = """tab AS MATERIALIZED (SELECT list(v ORDER BY n) AS steps FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(n)))"""
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+#: Equal words are paired, islands of consecutive pairs at one distance are the stretches.
+OP12_SQL = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc("CAST(doc_id AS VARCHAR)")} AS h FROM documents, tab),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+f AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM e),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM f),
+q AS (SELECT a.doc_id, a.i, b.i - a.i AS p FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND (b.i - a.i) * 3 <= a.n),
+s AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM q) GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(24, 3 * p)),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(p) AS period FROM s GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_min([start, length, period], (-(length / period), start, period)) AS top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listing FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top[1] AS start, top[2] AS length, top[3] AS period, 1000 * top[2] // top[3] AS exponent_milli, sha256(coalesce(listing, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_phrase_dedup": op1_phrase_dedup,
     "op2_toxicity": op2_toxicity,
@@ -136,10 +171,13 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_source_mix": op10_source_mix,
+    "op11_quality_fm": op11_quality_fm,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_phrase_dedup": OP1_SQL,
     "op4_decontamination": OP4_SQL,
     "op8_secret_scan": OP8_SQL,
     "op10_source_mix": OP10_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }
