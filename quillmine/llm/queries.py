@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, media, mixing, periods, phrases, quality, secrets, simhash, suffixes, token_scan, toxicity, warc
+from . import decontam, media, mixing, periods, phrases, quality, secrets, simhash, suffixes, token_scan, toxicity, turns, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +160,52 @@ FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damage(rows), rows)
+
+
+def _duck_edit(cell: str, cost: str, letter: str) -> str:
+    """A cell is its cost in nine digits and its audit, so the least of them as text is the cheapest."""
+    return f"lpad(CAST(CAST({cell}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {cell}[10:] || '{letter}'"
+
+
+def _duck_step(own: str, before: str, initial: str) -> str:
+    edits = ", ".join(f"CASE WHEN free THEN CASE WHEN ini = '{initial}' THEN {_duck_edit(b, 'more', 'K')} ELSE {_duck_edit(b, '(more + 3)', 'R')} END END" for b in before.split())
+    return f"least({_duck_edit(own, '4', 'D')}, {edits})"
+
+
+#: Turn by turn, with the four states as columns.
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), '~') AS c,
+      {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, tab),
+d AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+      CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text), copy) AS r FROM d),
+f AS (SELECT *, regexp_replace(text, '[ 	-]', '', 'g') AS seen, row_number() OVER (PARTITION BY c, role, text ORDER BY r) AS nth, lag(role) OVER (PARTITION BY c ORDER BY r) AS prior FROM r),
+e AS MATERIALIZED (SELECT c, r, turn, role, text, prior, role[1] AS ini, CASE WHEN seen = '' THEN 1 WHEN nth > 1 THEN 2 WHEN NOT regexp_matches(seen, '[.!?]$') THEN 3 ELSE 0 END AS fault FROM f),
+g AS (SELECT *, fault NOT IN (1, 2) AS free, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS more FROM e),
+z(c, r, v0, v1, v2, v3) AS (
+  SELECT DISTINCT c, 0::BIGINT, '000000000', NULL::VARCHAR, '000000003I', '000000006II' FROM e
+  UNION ALL SELECT c, r, n0, n1, w2, least(n3, {_duck_edit("w2", "3", "I")}) FROM (
+    SELECT *, least(n2, {_duck_edit("n0", "3", "I")}, {_duck_edit("n1", "3", "I")}, {_duck_edit("n3", "3", "I")}) AS w2 FROM (
+      SELECT c, g.r, {_duck_edit("v0", "4", "D")} AS n0, least({_duck_edit("v1", "4", "D")}, CASE WHEN free AND ini = 's' THEN {_duck_edit("v0", "more", "K")} END) AS n1,
+        {_duck_step("v2", "v0 v1 v3", "u")} AS n2, {_duck_step("v3", "v2", "a")} AS n3 FROM z JOIN g USING (c) WHERE g.r = z.r + 1))),
+b AS (SELECT c, least(v0, v3) AS cell FROM z QUALIFY r = max(r) OVER (PARTITION BY c)),
+a AS (SELECT c, CAST(cell[1:9] AS BIGINT) AS cost, cell[10:] AS audit FROM b),
+l AS (SELECT c, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS p FROM a WHERE audit <> ''),
+t AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY c ORDER BY p) AS r FROM l),
+k AS (SELECT t.c, p, letter, e.role, e.text, row_number() OVER (PARTITION BY t.c ORDER BY p) AS place FROM t LEFT JOIN e ON t.c = e.c AND t.r = e.r WHERE letter <> 'D'),
+s AS (SELECT *, max(CASE WHEN place = 1 AND letter = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c) AS lead FROM k),
+h AS (SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS kept FROM s GROUP BY c),
+n AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+      count(*) FILTER (prior IS NOT NULL AND prior[1] || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(kept, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id, c FROM o) LEFT JOIN n USING (c) LEFT JOIN a USING (c) LEFT JOIN h USING (c)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_phrase_dedup": op1_phrase_dedup,
     "op2_toxicity": op2_toxicity,
@@ -173,6 +219,7 @@ QUERIES: dict[str, Query] = {
     "op10_source_mix": op10_source_mix,
     "op11_quality_fm": op11_quality_fm,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_turn_repair": op13_turn_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_phrase_dedup": OP1_SQL,
@@ -180,4 +227,5 @@ ORACLES: dict[str, str] = {
     "op8_secret_scan": OP8_SQL,
     "op10_source_mix": OP10_SQL,
     "op12_periodic_runs": OP12_SQL,
+    "op13_turn_repair": OP13_SQL,
 }
