@@ -135,6 +135,8 @@ def best(runs: np.ndarray) -> tuple[int, int, int]:
 def report(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray | None, runs: np.ndarray) -> tuple:
     """One text's RESULT."""
     n = len(starts)
+    if n:  # of the block's bytes, this text's own
+        flat, starts, ends = flat[starts[0] : ends[-1]], starts - starts[0], ends - starts[0]
     stay = np.flatnonzero(kept(n, runs))
     order = stay if at is None else at[stay]
     if at is None or (np.diff(order) > 0).all():
