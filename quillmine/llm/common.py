@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -181,3 +182,26 @@ def row_key(doc_id: Column, text: Column) -> Column:
     """doc_id as a long; rows without one get keys of their own, after all others."""
     own = F.lit((1 << 63) - 1) - F.shiftrightunsigned(F.xxhash64(text), 2)
     return F.coalesce(doc_id.cast("long"), own)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carrying(*own: str):
+    """For a function that returns rows of its first argument: it sees the columns own, and all others as one struct
+    named rest, so no name of theirs can meet one of its own. Their order, and what the function adds, are kept."""
+
+    def wrap(stage):
+        @wraps(stage)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            mine = [c for c in docs.columns if c in own]
+            others = [c for c in docs.columns if c not in own]
+            rest = [F.struct(*[F.col(quoted(c)) for c in others]).alias("rest")] if others else []
+            out = stage(docs.select(*mine, *rest), *args, **options)
+            back = [F.col(c) if c in own else F.col("rest").getField(c).alias(c) for c in docs.columns]
+            return out.select(*back, *[c for c in out.columns if c not in (*mine, "rest")])
+
+        return run
+
+    return wrap

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, let, measured_bytes, park
+from .common import carrying, checked_broadcast, let, measured_bytes, park
 
 #: Positions that each mask keeps.
 MASKS = ((0, 1, 2, 3, 7), (0, 2, 5, 6, 7), (0, 1, 3, 4), (0, 1, 2), (0, 1, 3))
@@ -106,6 +106,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seed_bytes: int = SEED_BYTES
     return hits.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("matched").alias("matched"), F.first("item_words").alias("item_words"))
 
 
+@carrying("doc_id", "text")
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text overlaps an item. The key is the text's digest, so rows without an id and repeated rows are judged alike."""
     keyed = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), "text")

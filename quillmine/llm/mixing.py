@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checked_broadcast, park
+from .common import WORD, carrying, checked_broadcast, park, quoted
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -85,10 +85,14 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """docs, each row as often as the mix takes it, with a column copy_number from 1 (replaced if docs has one)."""
+    return _copied(docs.select([quoted(c) for c in docs.columns if c.lower() != "copy_number"]), weights, cap, seed)
+
+
+@carrying("doc_id", "text", "source")
+def _copied(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int) -> DataFrame:
     _, plan = plan_for(docs, weights, cap)
     b = checked_broadcast(plan.select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
     out = docs.join(b, docs["source"].eqNullSafe(b["__source"]))
     n = copies(docs["doc_id"], F.col("__rate"), seed)
     out = out.withColumn("__n", n).where("__n > 0")
-    keep = [docs[c] for c in docs.columns if c.lower() != "copy_number"]
-    return out.select(*keep, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("copy_number"))
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("copy_number"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from . import simhash
-from .common import blocks, checked_broadcast, discard, park, small_batches, sweep, texts, word_bounds
+from .common import blocks, carrying, checked_broadcast, discard, park, small_batches, sweep, texts, word_bounds
 from .components import components, forest
 from .hashes import BASES, prefix, ranges, sliding
 from .simhash import _LOWER, keep_smallest
@@ -405,11 +405,13 @@ def joint_classes(docs: DataFrame) -> DataFrame:
     return classes(docs, known=by_bits)
 
 
+@carrying("doc_id", "text")
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id. Rows with a null doc_id stay."""
     return keep_smallest(docs, classes(docs, threshold))
 
 
+@carrying("doc_id", "text")
 def keep_one_jointly(docs: DataFrame) -> DataFrame:
     """keep_one() for the joint classes."""
     return keep_smallest(docs, joint_classes(docs))

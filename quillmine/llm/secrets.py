@@ -16,7 +16,7 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, let, park, scratch
+from .common import carrying, checked_broadcast, let, park, scratch
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,7 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
+@carrying("doc_id", "text", "n_chars")
 def mask(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]") -> DataFrame:
     """docs with every secret in text masked, and n_chars (if there) of the new text; findings come back by blob, so rows without an id count too."""
     spark = docs.sparkSession

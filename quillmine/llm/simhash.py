@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checked_broadcast, joined, park, texts, word_bounds
+from .common import blocks, carrying, checked_broadcast, joined, park, texts, word_bounds
 from .components import components, forest
 
 SHINGLE = 3
@@ -192,6 +192,7 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+@carrying("doc_id", "text")
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return keep_smallest(docs, classes(docs, threshold))
 

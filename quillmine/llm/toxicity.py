@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, park, texts
+from .common import blocks, carrying, park, texts
 
 BITS = 18
 GRAMS = (3, 4, 5, 6, 7, 8)
@@ -107,6 +107,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labels (doc_id, label 0 or 1) and the texts of docs."""
+    docs = docs.select("doc_id", "text")
     labels = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"), F.max("label").alias("most"))
     labels = labels.where("label = most").select("doc_id", "label")
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -195,12 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@carrying("doc_id", "text")
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects."""
-    names = [c for c in docs.columns if c != "score"]
-    scored = score(docs, fit(docs, training(labels)), *docs.columns) if "score" not in docs.columns else None
-    if scored is None:  # the column's name is taken: judge under other names
-        safe = docs.select([F.col(f"`{c}`").alias(f"__{c}" if c != "text" else c) for c in docs.columns])
-        judged = score(safe, fit(docs, training(labels)), *safe.columns).where(F.col("score") < THRESHOLD)
-        return judged.select([F.col(f"__{c}" if c != "text" else c).alias(c) for c in docs.columns])
-    return scored.where(F.col("score") < THRESHOLD).select(*names)
+    return score(docs, fit(docs, training(labels)), *docs.columns).where(F.col("score") < THRESHOLD).select(*docs.columns)

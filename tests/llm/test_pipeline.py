@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from quillmine.llm import mixing, toxicity
 from tests.llm.test_llm_operators import plain_fingerprint, plain_roots
 from tests.llm.test_near import brute
@@ -32,6 +34,28 @@ def test_stages_on_hard_rows(spark, hard, nothing):
             assert set(table.columns) <= set(out.columns) and (out.count() == 0) == (table is nothing)
 
 
+CLASHES = ["label", "Score", "a.b", "__id", "__text", "__gone", "__bad", "__blob", "__spans", "__rate", "__n", "__source", "rest", "size", "node", "fp", "seed", "hash", "quality", "item_id", "x`y"]
+
+
+@pytest.mark.parametrize("stage", [k for k, _ in corpus_pipeline.STAGES])
+def test_columns_of_any_name_pass_through(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    run = dict(corpus_pipeline.STAGES)[stage]
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    want, got = run(spark, docs, SF), run(spark, more, SF)
+    added = [c for c in want.columns if c not in docs.columns]
+    assert got.columns == more.columns + added
+    rows = got.collect()
+    assert all(r[c] == k for r in rows for k, c in enumerate(CLASHES))
+    assert sorted(map(str, want.collect())) == sorted(str(r) for r in got.select(*docs.columns, *added).collect())
+
+
+def test_toxicity_query_with_any_further_column(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.classify(more, labels).collect()} == {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, labels).collect()}
+
+
 def test_toxicity_drops_what_scores_high(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.classify(docs, labels).collect()
