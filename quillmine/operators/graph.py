@@ -173,7 +173,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     named = both.join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst")
     total = F.broadcast(both.agg(F.count("*").cast("double").alias("m2")))
     by = named.groupBy(F.col("a").alias("label")).agg(F.count_if(F.col("a") == F.col("b")).alias("inside"), F.count("*").alias("degree"))
-    return by.join(total).select("label", F.round(F.col("inside") / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), 2), 6).alias("q"))
+    return by.join(total).select("label", (F.round(F.col("inside") / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), 2), 6) + 0.0).alias("q"))
 
 
 def dependents(edges: DataFrame, node: int, budget: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import communities as K
 from ..operators import graph as G
 from .bindings import table
 
@@ -60,7 +61,26 @@ def modularity(s, d):
     return G.modularity(e, G.label_propagation(e))
 
 
-add("modularity", modularity, _LP + ", m AS (SELECT count(*)::DOUBLE AS m2 FROM b) SELECT x.label, round(count(*) FILTER (x.label = y.label) / any_value(m2) - pow(count(*) / any_value(m2), 2), 6) AS q FROM b JOIN l5 x ON x.node = src JOIN l5 y ON y.node = dst, m GROUP BY 1")
+add("modularity", modularity, _LP + ", m AS (SELECT count(*)::DOUBLE AS m2 FROM b) SELECT x.label, round(count(*) FILTER (x.label = y.label) / any_value(m2) - pow(count(*) / any_value(m2), 2), 6) + 0.0::DOUBLE AS q FROM b JOIN l5 x ON x.node = src JOIN l5 y ON y.node = dst, m GROUP BY 1")
 add("dependents_budget", lambda s, d: G.dependents(edges(s, d), 5, 20), f"WITH {_E} SELECT * FROM (SELECT src, sum(length(src::VARCHAR)) OVER (ORDER BY src)::BIGINT AS chars FROM ed WHERE dst = 5) WHERE chars <= 20")
 add("degrees", lambda s, d: G.degrees(edges(s, d)), f"WITH {_E} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM ed UNION ALL SELECT dst, 0, 1 FROM ed) GROUP BY 1")
 add("reverse_graph", lambda s, d: G.reverse(edges(s, d)), f"WITH {_E} SELECT dst AS src, src AS dst FROM ed")
+
+
+def symbol_edges(spark, d):
+    """The part of edges() between symbols."""
+    return edges(spark, d).where("src % 3 = 0 AND dst % 3 = 0")
+
+
+def communities(s, d):
+    return K.named(K.local_moving(G.cut(edges(s, d))))
+
+
+def community_lookup(s, d):
+    """For every symbol whose number 50 divides, its community in the graph of symbols."""
+    state = G.cut(K.named(K.local_moving(G.cut(symbol_edges(s, d)))))
+    return K.members(state, state.where("node % 150 = 0"))
+
+
+add("communities", communities)
+add("community_lookup", community_lookup)
