@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from ..operators import communities as K
 from ..operators import graph as G
+from ..operators import relevance as R
+from ..operators import sequence as Q
 from .bindings import table
 
 QUERIES: dict = {}
@@ -84,3 +86,25 @@ def community_lookup(s, d):
 
 add("communities", communities)
 add("community_lookup", community_lookup)
+
+
+def seeds(e):
+    """Every node whose number 50 divides."""
+    return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().where("node % 50 = 0")
+
+
+def relevance_walks(s, d):
+    """Scores of the walks from all of them, with the certified bound of each."""
+    e = G.cut(edges(s, d))
+    return R.walks(e.unionByName(G.reverse(e)), seeds(e)).select("seed", "node", F.round("score", 6).alias("score"), F.round("bound", 6).alias("bound"))
+
+
+def relevance_cluster(s, d):
+    e = G.cut(edges(s, d))
+    log = table(s, d, "events").select(F.col("user_id").alias("session"), F.get_json_object("props", "$.k").cast("long").alias("symbol")).where("symbol IS NOT NULL")
+    together = Q.npmi(log).select((3 * F.col("a")).alias("a"), (3 * F.col("b")).alias("b"), "npmi")
+    return R.cluster(e, seeds(e), together)
+
+
+add("relevance_walks", relevance_walks)
+add("relevance_cluster", relevance_cluster)
