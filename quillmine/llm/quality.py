@@ -39,6 +39,8 @@ STATS = 14
 LENGTHS = 33
 WIDTH = (1 << BITS) + STATS + LENGTHS
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 0.02, 1e-3, 11
+#: Batches that the fit takes at least: few labels are gone through more often.
+STEPS = 600
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -142,9 +144,10 @@ def constant(share: float) -> Machine:
     return Machine(odds, np.zeros(WIDTH), np.zeros((WIDTH, RANK)), np.zeros(STATS), np.ones(STATS))
 
 
-def train(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, stats: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> Machine:
+def train(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, stats: np.ndarray, labels: np.ndarray) -> Machine:
     """Logistic loss, Adam on batches of BATCH rows in an order that SEED fixes; only features of the batch move (lazy)."""
     n, rng = len(labels), np.random.default_rng(SEED)
+    epochs = max(EPOCHS, -(-STEPS // -(-n // BATCH)))
     spread = stats.std(0)
     machine = Machine(float(np.log(labels.sum() / (n - labels.sum()))), np.zeros(WIDTH), rng.normal(0, 0.05, (WIDTH, RANK)), stats.mean(0), np.where(spread > 1e-9, spread, 1.0))
     rows, columns, values = machine.with_figures(rows, columns, values, stats)
