@@ -2,8 +2,9 @@
 
 A line that contains a name contains all its q-grams, and so its rarest. Grams of the names are counted in the lines
 first; a name is then looked for only where its gram of fewest places stands, at the one start that this allows, and the
-line's text decides. Names shorter than q characters are a gram themselves. Lines travel once, beside the places of
-possible hits, never as a copy for each of them; grams with more than HOT names have these dealt over parts.
+text decides. Names shorter than q characters are a gram themselves. Lines are cut into pieces of WIDTH characters, or
+of the longest name's; a piece with its neighbours holds every name that it has a gram of, so a long line is neither one
+row nor searched from its start for every place. Grams with more than HOT names have these dealt over parts.
 
 Cases: null and empty names and null lines contain nothing; equal names are one; letters count as they are; places count
 code points from 1.
@@ -16,41 +17,53 @@ from pyspark.sql import functions as F
 
 from .graph import cut
 
-Q, HOT = 4, 2_000
+Q, HOT, WIDTH = 4, 2_000, 64
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """(at, gram) for all places of text, counted from 0; none if it is shorter."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.posexplode(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+def _grams(rows: DataFrame, text: Column, size: int, at: str) -> DataFrame:
+    """rows with every gram of text and its place, counted from 0; rows whose text is shorter have none."""
+    some = rows.withColumn("whole", text).where(F.length("whole") >= size)
+    # places are exploded, not grams, so that generated code takes the grams
+    each = some.select(*rows.columns, "whole", F.explode(F.sequence(F.lit(0), F.length("whole") - size)).alias(at))
+    return each.select(*rows.columns, at, F.substr("whole", F.col(at) + 1, F.lit(size)).alias("gram"))
+
+
+def _pieces(lines: DataFrame, width: int) -> DataFrame:
+    """(id, piece, before, text, after) of lines (id, line), cut in one pass."""
+    cuts = lines.select("id", F.regexp_extract_all("line", F.lit(f"(?s).{{1,{width}}}"), F.lit(0)).alias("cuts"))
+    near = lambda i: F.coalesce(F.get("cuts", i), F.lit(""))
+    each = F.transform("cuts", lambda text, i: F.struct(near(i - 1).alias("before"), text.alias("text"), near(i + 1).alias("after")))
+    return cuts.select("id", F.posexplode(each).alias("piece", "cut")).select("id", "piece", "cut.*")
 
 
 def contained(lines: DataFrame, names: DataFrame, q: int = Q) -> DataFrame:
     """(id, name, at) of lines (id, line) and all names (name) in them, with the first place; ids of lines are unique."""
     names = cut(names.select("name").where("name <> ''").distinct())
     size = F.least(F.length("name"), F.lit(q))
-    sizes = sorted(r["size"] for r in names.select(size.alias("size")).distinct().collect())  # at most q numbers
     lines = lines.select("id", "line").where("line IS NOT NULL")
-    if not sizes:
-        return lines.select("id", F.col("line").alias("name"), F.lit(0).alias("at")).limit(0)
-    mine = None
+    found = names.groupBy(size.alias("size")).agg(F.max(F.length("name")).alias("longest")).collect()  # q rows at most
+    if not found:
+        return lines.select("id", F.col("line").alias("name"), F.lit(0).cast("long").alias("at")).limit(0)
+    sizes, width = sorted(r["size"] for r in found), max(WIDTH, *[r["longest"] for r in found])
+    pieces = _pieces(lines, width)
+    mine = places = None
     for k in sizes:
-        some = names.where(size == k).select("name", _pieces(F.col("name"), k).alias("offset", "gram"))
+        some = _grams(names.where(size == k), F.col("name"), k, "offset")
         mine = some if mine is None else mine.unionByName(some)
-    mine = cut(mine)
-    wanted = mine.select("gram").distinct()
-    places = None
-    for k in sizes:
-        some = lines.select("id", _pieces(F.col("line"), k).alias("at", "gram"))
+        some = _grams(pieces, F.concat("text", F.substring("after", 1, k - 1)), k, "at").select("id", "piece", "at", "gram")
         places = some if places is None else places.unionByName(some)
+    mine = cut(mine)
     # Spark broadcasts the wanted grams where they are known to be small
-    counts = places.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    counts = places.join(mine.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     # of a name's grams one is kept: the rarest, the first of equals, at its first place
     key = mine.join(counts, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "offset")).alias("key"))
     keys = cut(key.where("key.n > 0").select("name", "key.gram", "key.offset"))
     crowds = cut(keys.groupBy("gram").agg(F.count("*").alias("m")).select("gram", F.ceil(F.col("m") / HOT).cast("int").alias("parts")))
     keys = keys.join(crowds.where("parts > 1"), "gram", "left").select("name", "gram", "offset", F.pmod(F.xxhash64("name"), F.coalesce("parts", F.lit(1))).alias("part"))
-    dealt = places.join(crowds, "gram").select("id", "at", "gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
-    maybe = dealt.join(keys, ["gram", "part"]).where("at >= offset").select("id", "name", (F.col("at") - F.col("offset") + 1).alias("at"))
-    hits = maybe.join(lines, "id").where(F.substr("line", F.col("at"), F.length("name")) == F.col("name"))
-    return hits.groupBy("id", "name").agg(F.min("at").alias("at"))
+    dealt = places.join(crowds, "gram").select("id", "piece", "at", "gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    # from the start of the piece; names that begin before it begin in the piece before
+    maybe = dealt.join(keys, ["gram", "part"]).select("id", "piece", "name", (F.col("at") - F.col("offset")).alias("start"))
+    around = pieces.select("id", "piece", F.length("before").alias("lead"), F.concat("before", "text", "after").alias("around"))
+    first = F.col("lead") + F.col("start")
+    hits = maybe.join(around, ["id", "piece"]).where((first >= 0) & (F.substr("around", first + 1, F.length("name")) == F.col("name")))
+    return hits.groupBy("id", "name").agg(F.min(F.col("piece").cast("long") * width + F.col("start") + 1).alias("at"))

@@ -7,8 +7,9 @@ names (a name padded by q - 1 signs on each side, the k-th of equal grams counte
 M + (q - 1)(1 - U) are shared. Bigrams bear that for t above 2/3, single characters below. Every name's grams are sorted
 from rare to frequent, and of n grams only the first n - least + 1 are joined: two names that share as many as they must
 share one of those. A pair goes on at the first gram that both prefixes hold, where lengths and the places of the gram
-leave room for enough; the blocks are then found by dynamic programming over runs. Nothing is left out: every filter is
-a bound that a pair at the threshold meets.
+leave room for enough and the names do share enough grams; the blocks are then found by dynamic programming over runs.
+Nothing is left out: every filter is a bound that a pair at the threshold meets. Long names of prose share many grams
+whatever they say, so that low thresholds leave most of their pairs to be compared; short names or 0.9 are meant.
 
 Frequent grams are divided by classes of length, and their names dealt over parts where there are more than HOT.
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import let
 from .graph import cut
 
 #: Names of a gram and class of lengths that meet in one part.
@@ -121,14 +123,14 @@ def close_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> D
     least = F.greatest(F.ceil((t / 2 if q == 1 else 1.5 * t - 1) * least_total + (q - 1) - EDGE), F.lit(1))
     # names whose lengths may go together are at most one class apart
     band = F.floor(F.log(length) / math.log(spread) + EDGE) if spread > 1 else length
-    prepared = bags.select("name", length.alias("n"), band.cast("long").alias("band"), F.slice("grams", F.lit(1), (F.size("grams") - least + 1).cast("int")).alias("head"))
-    each = lambda df: df.join(prepared, "name").select("name", "n", "band", "head", F.posexplode("head").alias("at", "gram"))
-    b = each(two).select("gram", "band", F.col("name").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"), F.col("at").alias("at_b"))
+    prepared = bags.select("name", length.alias("n"), band.cast("long").alias("band"), "grams", (F.size("grams") - least + 1).cast("int").alias("prefix"))
+    each = lambda df: df.join(prepared, "name").select("name", "n", "band", "grams", F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("at", "gram"))
+    b = each(two).select("gram", "band", F.col("name").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"), F.col("at").alias("at_b"))
     crowds = cut(b.groupBy("gram", "band").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("gram", "band", F.ceil(F.col("m") / HOT).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
     b = b.join(crowds, ["gram", "band"], "left").select("*", part.alias("part")).drop("parts")
     classes = F.explode(F.array(*[F.col("band") + k for k in ((-1, 0, 1) if spread > 1 else (0,))]))
-    a = each(one).select("gram", classes.alias("band"), F.col("name").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"), F.col("at").alias("at_a"))
+    a = each(one).select("gram", classes.alias("band"), F.col("name").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"), F.col("at").alias("at_a"))
     a = a.join(crowds, ["gram", "band"], "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part")).drop("parts")
 
     both = F.col("na") + F.col("nb")
@@ -136,8 +138,9 @@ def close_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> D
     need = runs if q == 1 else 3 * runs - both + 1
     room = 1 + F.least(F.col("na") + q - 2 - F.col("at_a"), F.col("nb") + q - 2 - F.col("at_b"))
     fits = (2 * F.least("na", "nb") >= t * both - EDGE) & (room >= need)
-    first = ~F.arrays_overlap(F.slice("ha", F.lit(1), F.col("at_a")), F.slice("hb", F.lit(1), F.col("at_b")))
-    pairs = a.join(b, ["gram", "band", "part"]).where(fits & first & (F.col("a") < F.col("b") if right is None else F.lit(True)))
+    # both sides are in one order, so the first gram in common is the first that both prefixes hold
+    shares = let(F.array_intersect("ga", "gb"), lambda common: (F.get(common, F.lit(0)) == F.col("gram")) & (F.size(common) >= need))
+    pairs = a.join(b, ["gram", "band", "part"]).where(fits & shares & (F.col("a") < F.col("b") if right is None else F.lit(True)))
     return pairs.select("a", "b").mapInPandas(_ratios(t), "a string, b string, ratio double")
 
 

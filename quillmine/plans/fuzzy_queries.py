@@ -17,9 +17,9 @@ def words(s, d, name, pattern="[a-z_]{3,}"):
 
 
 def fuzzy_titles(s, d):
-    """Pairs of different titles with a ratio of 0.8 or more, named by the smallest rows that bear them, and how many do."""
+    """Pairs of different titles with a ratio of 0.9 or more, named by the smallest rows that bear them, and how many do."""
     heads = observations(s, d).where("title <> ''").groupBy(F.col("title").alias("name")).agg(F.min("id").alias("id"), F.count("*").alias("members"))
-    found = Z.close_pairs(heads, None, 0.8)
+    found = Z.close_pairs(heads, None, 0.9)
     side = lambda x: heads.select(F.col("name").alias(x), F.col("id").alias(f"id_{x}"), F.col("members").alias(f"members_{x}"))
     return found.join(side("a"), "a").join(side("b"), "b").select("id_a", "id_b", "members_a", "members_b", F.round("ratio", 6).alias("ratio"))
 

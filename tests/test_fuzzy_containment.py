@@ -79,7 +79,7 @@ def test_title_query_over_the_whole_table(spark):
     for r in Q.observations(spark, SF).select("id", "title").collect():
         if r["title"]:
             heads.setdefault(r["title"], []).append(r["id"])
-    want = {(min(heads[a]), min(heads[b]), len(heads[a]), len(heads[b]), round(ratio(a, b), 6)) for a in heads for b in heads if a < b and ratio(a, b) >= 0.8}
+    want = {(min(heads[a]), min(heads[b]), len(heads[a]), len(heads[b]), round(ratio(a, b), 6)) for a in heads for b in heads if a < b and ratio(a, b) >= 0.9}
     assert {tuple(r) for r in Q.fuzzy_titles(spark, SF).collect()} == want and want
 
 
@@ -105,6 +105,16 @@ def test_names_in_lines(spark, monkeypatch, hot):
     assert sorted(got) == sorted((i, n, line.index(n) + 1) for i, line in enumerate(lines) if line for n in names if n in line)
 
 
+@pytest.mark.parametrize("width", [1, 3, 8])
+def test_names_across_pieces(spark, monkeypatch, width):
+    monkeypatch.setattr(C, "WIDTH", width)
+    lines = ["abcdefgh" * 9, "😀b" * 20 + "cdé\nfgh", "abc"]
+    names = ["habcdefghab", "b😀b😀bcdé\nf", "cd", "h", "abcdefgh" * 9, "abcdefgh" * 9 + "a"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = [(r["id"], r["name"], r["at"]) for r in C.contained(df, frame(spark, names)).collect()]
+    assert sorted(got) == sorted((i, n, line.index(n) + 1) for i, line in enumerate(lines) for n in names if n in line)
+
+
 def test_no_names_or_no_lines(spark):
     df = spark.createDataFrame([(1, "abc")], "id long, line string")
     assert C.contained(df, frame(spark, [None, ""])).count() == 0
