@@ -4,7 +4,8 @@ A line that contains a name contains all its q-grams, and so its rarest. Grams o
 first; a name is then looked for only where its gram of fewest places stands, at the one start that this allows, and the
 text decides. Names shorter than q characters are a gram themselves. Lines are cut into pieces of WIDTH characters, or
 of the longest name's; a piece with its neighbours holds every name that it has a gram of, so a long line is neither one
-row nor searched from its start for every place. Grams with more than HOT names have these dealt over parts.
+row nor searched from its start for every place. Names of at most SMALL bytes go to the pieces, so no text is exchanged;
+more of them meet the places by gram, and grams with more than HOT names have these dealt over parts.
 
 Cases: null and empty names and null lines contain nothing; equal names are one; letters count as they are; places count
 code points from 1.
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .graph import cut
 
 Q, HOT, WIDTH = 4, 2_000, 64
+#: Bytes of names up to which they are sent to every task, measured; beyond that places and pieces are exchanged.
+SMALL = 16 << 20
 
 
 def _grams(rows: DataFrame, text: Column, size: int, at: str) -> DataFrame:
@@ -46,24 +49,27 @@ def contained(lines: DataFrame, names: DataFrame, q: int = Q) -> DataFrame:
         return lines.select("id", F.col("line").alias("name"), F.lit(0).cast("long").alias("at")).limit(0)
     sizes, width = sorted(r["size"] for r in found), max(WIDTH, *[r["longest"] for r in found])
     pieces = _pieces(lines, width)
-    mine = places = None
+    mine = wide = None
     for k in sizes:
         some = _grams(names.where(size == k), F.col("name"), k, "offset")
         mine = some if mine is None else mine.unionByName(some)
-        some = _grams(pieces, F.concat("text", F.substring("after", 1, k - 1)), k, "at").select("id", "piece", "at", "gram")
-        places = some if places is None else places.unionByName(some)
-    mine = cut(mine)
+        some = _grams(pieces, F.concat("text", F.substring("after", 1, k - 1)), k, "at")
+        wide = some if wide is None else wide.unionByName(some)
+    mine, places = cut(mine), wide.select("id", "piece", "at", "gram")
     # Spark broadcasts the wanted grams where they are known to be small
     counts = places.join(mine.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     # of a name's grams one is kept: the rarest, the first of equals, at its first place
     key = mine.join(counts, "gram", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "offset")).alias("key"))
     keys = cut(key.where("key.n > 0").select("name", "key.gram", "key.offset"))
+    first = F.length("before") + F.col("start")
+    around, stands = F.concat("before", "text", "after"), lambda text: (first >= 0) & (F.substr(text, first + 1, F.length("name")) == F.col("name"))
+    if (keys.agg(F.sum(F.octet_length("name") + 64).alias("bytes")).first()["bytes"] or 0) <= SMALL:
+        hits = wide.join(F.broadcast(keys), "gram").withColumn("start", F.col("at") - F.col("offset")).where(stands(around))
+        return hits.groupBy("id", "name").agg(F.min(F.col("piece").cast("long") * width + F.col("start") + 1).alias("at"))
     crowds = cut(keys.groupBy("gram").agg(F.count("*").alias("m")).select("gram", F.ceil(F.col("m") / HOT).cast("int").alias("parts")))
     keys = keys.join(crowds.where("parts > 1"), "gram", "left").select("name", "gram", "offset", F.pmod(F.xxhash64("name"), F.coalesce("parts", F.lit(1))).alias("part"))
     dealt = places.join(crowds, "gram").select("id", "piece", "at", "gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
     # from the start of the piece; names that begin before it begin in the piece before
     maybe = dealt.join(keys, ["gram", "part"]).select("id", "piece", "name", (F.col("at") - F.col("offset")).alias("start"))
-    around = pieces.select("id", "piece", F.length("before").alias("lead"), F.concat("before", "text", "after").alias("around"))
-    first = F.col("lead") + F.col("start")
-    hits = maybe.join(around, ["id", "piece"]).where((first >= 0) & (F.substr("around", first + 1, F.length("name")) == F.col("name")))
+    hits = maybe.join(pieces, ["id", "piece"]).where(stands(around))
     return hits.groupBy("id", "name").agg(F.min(F.col("piece").cast("long") * width + F.col("start") + 1).alias("at"))

@@ -97,6 +97,7 @@ def test_name_query_over_the_whole_table(spark):
 @pytest.mark.parametrize("hot", [2, C.HOT])
 def test_names_in_lines(spark, monkeypatch, hot):
     monkeypatch.setattr(C, "HOT", hot)
+    monkeypatch.setattr(C, "SMALL", C.SMALL if hot > 2 else 0)
     rng = random.Random(6)
     lines = ["".join(rng.choices("abcé ", k=rng.randrange(0, 40))) for _ in range(150)] + ["", "aaaaaaaa", "x😀config.toml y", "config.tom", None]
     names = {"".join(rng.choices("abcé ", k=rng.randrange(1, 7))) for _ in range(80)} | {"aaaaa", "config.toml", "never there", "a"}
@@ -108,6 +109,7 @@ def test_names_in_lines(spark, monkeypatch, hot):
 @pytest.mark.parametrize("width", [1, 3, 8])
 def test_names_across_pieces(spark, monkeypatch, width):
     monkeypatch.setattr(C, "WIDTH", width)
+    monkeypatch.setattr(C, "SMALL", C.SMALL if width < 8 else 0)
     lines = ["abcdefgh" * 9, "😀b" * 20 + "cdé\nfgh", "abc"]
     names = ["habcdefghab", "b😀b😀bcdé\nf", "cd", "h", "abcdefgh" * 9, "abcdefgh" * 9 + "a"]
     df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
