@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that one vectorised pass works on; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes that one task reads where its rows only name ranges of files.
+TASK_BYTES = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +68,12 @@ def checked_broadcast(parked: DataFrame, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(parked) if measured_bytes(parked) <= limit else parked
 
 
+def task_count(spark: SparkSession, size: int, units: int) -> int:
+    """Tasks for units rows that stand for size bytes of files: Spark sees the few bytes of the rows only and would merge
+    their partitions into one, so the number is given. No task has more than about TASK_BYTES, and no core is idle."""
+    return max(1, -(-size // TASK_BYTES), min(units, spark.sparkContext.defaultParallelism))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once. A plain column that a lambda uses is computed anew for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_folder, park, shared_file
+from .common import new_folder, park, shared_file, task_count
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how a byte-level vocabulary cuts text before merging.
@@ -97,7 +97,9 @@ def scan(files: DataFrame, separator: int, block: int = BLOCK) -> DataFrame:
     """(file, ordinal, tokens) of every document of files (file, ids); what follows the last separator counts as one more."""
     width = np.dtype("<u2") if separator < 1 << 16 else np.dtype("<u4")
     todo = files.select("file", F.explode(F.sequence(F.lit(0), F.expr(f"greatest(ids - 1, 0) div {block}"))).alias("block"))
-    todo = todo.repartition("file", "block")
+    per_file = F.expr(f"greatest(ids - 1, 0) div {block} + 1")
+    total = files.agg(F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.coalesce(F.sum(per_file), F.lit(0)).alias("blocks")).first()
+    todo = todo.repartition(task_count(files.sparkSession, total["ids"] * width.itemsize, total["blocks"]), "file", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

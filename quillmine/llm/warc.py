@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, new_folder, park, shared_file
+from .common import checked_broadcast, new_folder, park, shared_file, task_count
 
 #: Bytes of records in a frame before compression, at least (but for a bundle's last).
 FRAME = 256 << 10
@@ -183,7 +183,9 @@ def read_record(index: DataFrame, page_id: int) -> tuple[dict[str, str], bytes]
 
 def read_archives(index: DataFrame) -> DataFrame:
     """Read every frame of the index's bundles back: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads of responses are digested anew and held against their headers."""
-    frames = index.select("file", "frame").distinct()
+    frames = park(index.groupBy("file", "frame").agg(F.sum("length").alias("size")), "frames")
+    total = frames.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("frames")).first()
+    tasks = task_count(index.sparkSession, total["size"], total["frames"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_file, reader = None, None
@@ -202,4 +204,4 @@ def read_archives(index: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return frames.repartition("file", "frame").sortWithinPartitions("file", "frame").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return frames.select("file", "frame").repartition(tasks, "file", "frame").sortWithinPartitions("file", "frame").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

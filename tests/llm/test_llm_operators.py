@@ -1,5 +1,6 @@
 """Every operator against a plain version on hard rows, and on an empty table."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -283,6 +284,16 @@ def test_token_scan(hard, nothing):
     assert rows(token_scan.count_tokens(nothing)).empty
 
 
+def test_token_scan_deals_files_and_blocks_over_tasks(spark, monkeypatch):
+    docs = spark.range(160).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b c "), F.col("id").cast("int")).alias("text")).repartition(16)
+    files, order, separator = token_scan.write_tokens(docs)
+    held, park = [], token_scan.park
+    monkeypatch.setattr(token_scan, "park", lambda df, name: held.append(df) or park(df, name))
+    one, many = (sorted(map(tuple, token_scan.scan(files, separator, block).collect())) for block in (1 << 20, 64))
+    assert one == many and files.count() == 16
+    assert all(df.select(F.spark_partition_id()).distinct().count() > 1 for df in held)
+
+
 def test_long_white_space_is_cut_as_the_pattern_would():
     import tiktoken
 
@@ -341,6 +352,27 @@ def test_warc(spark):
     assert warc.read_record(index, 99) is None and rows(warc.read_archives(warc.write_archives(pages.limit(0)))).empty
 
 
+@pytest.mark.parametrize("least", [0, 4])
+def test_warc_against_a_plain_version(spark, least):
+    draw = np.random.default_rng(5)
+    texts_ = [None, "", "a", "bcd", "é" * 3, "wxyz" * 50, "u\r\n\r\nv", "WARC/1.1\r\n\r\n"]
+    data = [(int(i), f"http://h/{i}", texts_[draw.integers(len(texts_))] if draw.random() < 0.7 else f"own {i}") for i in draw.permutation(300)]
+    index = warc.write_archives(spark.createDataFrame(data, "page_id long, url string, html string").repartition(7), least, frame=2000)
+    read = warc.read_archives(index)
+    assert read.select(F.spark_partition_id()).distinct().count() > 1
+    keeper = {}
+    for i, _, text in data:
+        keeper[text or ""] = max(i, keeper.get(text or "", -1))
+    want = []
+    for i, _, text in data:
+        payload, to = (text or "").encode(), keeper[text or ""]
+        revisit = to != i and len(payload) >= least
+        want.append((i, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if revisit else "response", to if revisit else None))
+        if i % 37 == 0:
+            assert warc.read_record(index, i)[1] == payload
+    assert sorted(map(tuple, read.collect())) == sorted(want)
+
+
 def plain_model(rows_):
     """n-grams of code points as strings, ratios and a logistic fit by plain descent; no buckets are cut off."""
     data = [(t.lower(), y) for t, y in rows_]
