@@ -106,10 +106,21 @@ def test_names_in_lines(spark, monkeypatch, hot):
     assert sorted(got) == sorted((i, n, line.index(n) + 1) for i, line in enumerate(lines) if line for n in names if n in line)
 
 
+@pytest.mark.parametrize("window", [1, 50, 1 << 20])
+def test_names_by_numbers_in_windows(spark, monkeypatch, window):
+    monkeypatch.setattr(C, "WINDOW", window)
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("ab\u00e9\U0001f600c", k=rng.choice([0, 3, 30, 300]))) for _ in range(60)] + ["x" * 40 + "y", "no\nbreak\x00here"]
+    names = {"".join(rng.choices("ab\u00e9\U0001f600c", k=rng.randrange(1, 9))) for _ in range(90)} | {"x" * 20, "x" * 20 + "y", "x" * 21 + "z", "k\x00h", *lines[:3], "".join(lines[:4])} - {""}
+    df = spark.createDataFrame([((i, "k"), line) for i, line in enumerate(lines)], "id struct<n: long, k: string>, line string").repartition(2)
+    got = [(r["id"]["n"], r["name"], r["at"]) for r in C.contained(df, frame(spark, sorted(names))).collect()]
+    assert sorted(got) == sorted((i, n, line.index(n) + 1) for i, line in enumerate(lines) for n in names if n in line)
+
+
 @pytest.mark.parametrize("width", [1, 3, 8])
 def test_names_across_pieces(spark, monkeypatch, width):
     monkeypatch.setattr(C, "WIDTH", width)
-    monkeypatch.setattr(C, "SMALL", C.SMALL if width < 8 else 0)
+    monkeypatch.setattr(C, "SMALL", C.SMALL if width == 3 else 0)
     lines = ["abcdefgh" * 9, "😀b" * 20 + "cdé\nfgh", "abc"]
     names = ["habcdefghab", "b😀b😀bcdé\nf", "cd", "h", "abcdefgh" * 9, "abcdefgh" * 9 + "a"]
     df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
