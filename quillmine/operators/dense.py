@@ -91,14 +91,16 @@ def top(vectors: DataFrame, queries: DataFrame, k: int, unit: bool = False, itse
                     continue
                 order = np.argsort(b, kind="stable")
                 b, score = b[order], np.round(x @ y[order].T, 6)
-                for q in range(len(a)):
-                    best = np.argsort(-score[q], kind="stable")
-                    if not itself:
-                        best = best[b[best] != a[q]]
-                    if least is not None:
-                        best = best[score[q, best] >= least]
-                    best = best[:k]
-                    yield pa.record_batch([pa.array(np.full(len(best), a[q])), pa.array(b[best]), pa.array(score[q, best])], ["query", "id", "score"])
+                if not itself:
+                    score[a[:, None] == b[None, :]] = -np.inf
+                floor = np.partition(score, max(0, len(b) - k), axis=1)[:, max(0, len(b) - k)]
+                i, j = np.nonzero((score >= floor[:, None]) & (score >= (-np.finfo(float).max if least is None else least)))
+                # the k best of each query: of ties at the floor those of smallest id
+                order = np.lexsort((j, -score[i, j], i))
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[keep], j[keep]
+                yield pa.record_batch([pa.array(a[i]), pa.array(b[j]), pa.array(score[i, j])], ["query", "id", "score"])
 
     found = cells.mapInArrow(run, "query long, id long, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))

@@ -65,11 +65,12 @@ def change_impact(edges: DataFrame, node: DataFrame, depth: int | None = None) -
 def call_chain(edges: DataFrame, start: DataFrame, end: int) -> DataFrame:
     """(step, node) of a shortest path; among equals, the smallest parents counted from the end."""
     tree = cut(bfs(edges, start))
-    at, path = tree.where(F.col("node") == end).first(), []
-    while at is not None:  # one row for each step of one path
-        path.append((at["depth"], at["node"]))
-        at = tree.where(F.col("node") == at["parent"]).first() if at["parent"] is not None else None
-    return edges.sparkSession.createDataFrame(path, f"step int, node {edges.schema['src'].dataType.simpleString()}")
+    jumps, path = tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("to")), tree.where(F.col("node") == end).select("node")
+    while not jumps.isEmpty():
+        # path has the last 2^k nodes, jumps lead over as many: the rounds are the logarithm of the depth
+        path = cut(path.unionByName(path.join(jumps, "node").select(F.col("to").alias("node"))))
+        jumps = cut(jumps.join(jumps.toDF("by", "further"), F.col("to") == F.col("by")).select("node", F.col("further").alias("to")))
+    return tree.join(path, "node", "left_semi").select(F.col("depth").alias("step"), "node")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -177,10 +178,10 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def dependents(edges: DataFrame, node: int, budget: int) -> DataFrame:
-    """Direct dependents in order, as many as fit a budget of characters."""
+    """Direct dependents in order, as many as fit a budget of characters; each takes one or more, so budget of them are looked at."""
     text = F.length(F.col("src").cast("string"))
     total = F.sum(text).over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0))
-    return edges.where(F.col("dst") == node).select("src").distinct().withColumn("chars", total).where(F.col("chars") <= budget)
+    return edges.where((F.col("dst") == node) & F.col("src").isNotNull()).select("src").distinct().orderBy("src").limit(budget).withColumn("chars", total).where(F.col("chars") <= budget)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

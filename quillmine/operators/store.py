@@ -26,11 +26,11 @@ def save_batch(store: DataFrame, candidates: DataFrame, now: int) -> DataFrame:
     return new.select("id", "type", "project_root", "title", "content", F.col("type").isin(*rules.IMMUNE_TYPES).alias("decay_immune"), (F.lit(now) + ttl * rules.DAY).alias("expires_at_epoch"))
 
 
-def update(store: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
-    """Copy on write: store with the non-null columns of changes (id, ...) in place."""
-    c = changes.select("id", *[F.col(x).alias(f"__{x}") for x in columns])
-    out = store.join(c, "id", "left")
-    return out.select([F.coalesce(f"__{x}", x).alias(x) if x in columns else F.col(x) for x in store.columns])
+def update(store: DataFrame, changes: DataFrame, columns: list[str], nulls: bool = False) -> DataFrame:
+    """Copy on write: store with the columns of changes (id, ...) in place, one row an id; a null in changes keeps the value, or with nulls replaces it. Changes of ids that the store lacks, or of no id, change nothing."""
+    c = changes.select(F.col("id").alias("__of"), *[F.col(x).alias(f"__{x}") for x in columns])
+    new = lambda x: F.when(F.col("__of").isNotNull() & (F.lit(nulls) | F.col(f"__{x}").isNotNull()), F.col(f"__{x}")).otherwise(F.col(x)).alias(x)
+    return store.join(c, F.col("id") == F.col("__of"), "left").select([new(x) if x in columns else F.col(x) for x in store.columns])
 
 
 def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:

@@ -43,7 +43,10 @@ ed AS MATERIALIZED (SELECT 3 * k AS src, 3 * next AS dst FROM ev WHERE k IS NOT
 _BFS = "WITH RECURSIVE {e}, r(node, depth) USING KEY (node) AS (SELECT {s}::BIGINT, 0 UNION SELECT {b}, min(depth) + 1 FROM r JOIN ed ON {a} = node WHERE src <> dst AND {b} NOT IN (SELECT node FROM recurring.r) GROUP BY {b})"
 add("dependencies_bfs", lambda s, d: G.bfs(edges(s, d), one(s, 36)).select("node", "depth"), _BFS.format(e=_E, s=36, a="src", b="dst") + " SELECT node, depth FROM r")
 add("change_impact", lambda s, d: G.change_impact(edges(s, d), one(s, 5)), _BFS.format(e=_E, s=5, a="dst", b="src") + " SELECT node, depth, round(greatest(0.05::DOUBLE, pow(0.6::DOUBLE, depth - 1)), 6) AS confidence FROM r WHERE depth > 0")
-add("call_chain", lambda s, d: G.call_chain(edges(s, d), one(s, 36), 297))
+add("call_chain", lambda s, d: G.call_chain(edges(s, d), one(s, 36), 297),
+    f"""WITH RECURSIVE {_E}, r(node, depth, parent) USING KEY (node) AS (SELECT 36::BIGINT, 0, NULL::BIGINT UNION
+    SELECT dst, min(depth) + 1, min(src) FROM r JOIN ed ON src = node WHERE src <> dst AND dst NOT IN (SELECT node FROM recurring.r) GROUP BY dst),
+    p(step, node, parent) AS (SELECT depth, node, parent FROM r WHERE node = 297 UNION ALL SELECT r.depth, r.node, r.parent FROM p JOIN r ON r.node = p.parent) SELECT step, node FROM p""")
 add("graph_components", lambda s, d: G.components(edges(s, d)),
     f"""WITH RECURSIVE {_E}, b AS MATERIALIZED (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), r(node, component) USING KEY (node) AS (SELECT src, min(src) FROM b GROUP BY 1 UNION
     SELECT b.dst, min(r.component) FROM r JOIN b ON b.src = r.node JOIN recurring.r o ON o.node = b.dst WHERE r.component < o.component GROUP BY 1) SELECT node, component FROM r""")

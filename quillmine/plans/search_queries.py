@@ -97,7 +97,11 @@ _SG = """sg AS (SELECT user_id AS session, 'tool:' || event_type AS dim, round(c
 UNION ALL SELECT session, 'bucket:' || bucket, round(n / max(n) OVER (PARTITION BY session), 6)::DOUBLE FROM (SELECT session, CAST('0x' || substr(md5(symbol), 1, 8) AS BIGINT) % 13 AS bucket, count(*) AS n FROM (SELECT DISTINCT user_id AS session, json_extract_string(props, '$.k') AS symbol FROM events) WHERE symbol IS NOT NULL GROUP BY ALL))"""
 sig = lambda s, d: Q.session_signature(calls(s, d), ["view", "click"])
 add("session_signature", sig, f"WITH {_SG} SELECT * FROM sg")
-add("similar_sessions", lambda s, d: Q.similar_each(sig(s, d), F.col("id") % 50 == 0))
+add("similar_sessions", lambda s, d: Q.similar_each(sig(s, d), F.col("id") % 50 == 0),
+    f"""WITH {_SG}, n AS (SELECT session, sqrt(sum(value * value)) AS n FROM sg GROUP BY 1),
+    p AS (SELECT x.session AS query, y.session AS session, sum(x.value * y.value) AS dot FROM sg x JOIN sg y USING (dim) WHERE x.session % 50 = 0 AND x.session <> y.session GROUP BY ALL),
+    c AS (SELECT query, p.session, round(dot / (a.n * b.n), 6) AS similarity FROM p JOIN n a ON a.session = query JOIN n b ON b.session = p.session)
+    SELECT query, session, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, session) AS k FROM c WHERE similarity >= 0.5) WHERE k <= 3""")
 add("lattice_stats", lambda s, d: Q.lattice(calls(s, d), F.col("value") > 100), "SELECT event_type AS state, round((1 + count(*) FILTER (value > 100)) / (2 + count(*)), 6)::DOUBLE AS mean, count(*) AS trials FROM events GROUP BY 1")
 
 
@@ -109,7 +113,14 @@ def bandit(spark, d):
 
 add("linucb_design", lambda s, d: Q.linucb_design(bandit(s, d), "f", "r").withColumn("a", F.round("a", 3)),
     "WITH f AS (SELECT [1.0::DOUBLE, round(value / 1000, 3), event_id % 7 / 7.0::DOUBLE] AS f, (event_type = 'purchase')::INT::DOUBLE AS r FROM events), k AS (SELECT unnest([0, 1, 2])::INTEGER AS ki), l AS (SELECT unnest([0, 1, 2, -1])::INTEGER AS kj), g AS (SELECT ki, kj, sum(f[ki + 1] * CASE WHEN kj < 0 THEN r ELSE f[kj + 1] END) AS t FROM f, k, l GROUP BY ki, kj) SELECT ki AS i, kj AS j, round(round(t + CASE WHEN ki = kj THEN 1 ELSE 0 END, 6), 3)::DOUBLE AS a FROM g")
-add("linucb_rank", lambda s, d: Q.linucb_rank(bandit(s, d), Q.linucb_design(bandit(s, d), "f", "r"), "f"))
+# the inverse of the symmetric 3x3 matrix by its cofactors
+add("linucb_rank", lambda s, d: Q.linucb_rank(bandit(s, d), Q.linucb_design(bandit(s, d), "f", "r"), "f"),
+    """WITH f AS (SELECT event_id AS id, 1.0::DOUBLE AS x, round(value / 1000, 3) AS y, event_id % 7 / 7.0::DOUBLE AS z, (event_type = 'purchase')::INT::DOUBLE AS r FROM events),
+    g AS (SELECT round(sum(x * x) + 1, 6) AS a, round(sum(x * y), 6) AS b, round(sum(x * z), 6) AS c, round(sum(y * y) + 1, 6) AS d, round(sum(y * z), 6) AS e, round(sum(z * z) + 1, 6) AS f, round(sum(x * r), 6) AS u, round(sum(y * r), 6) AS v, round(sum(z * r), 6) AS w FROM f),
+    h AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g),
+    i AS (SELECT (d * f - e * e) / det AS p, (c * e - b * f) / det AS q, (b * e - c * d) / det AS s, (a * f - c * c) / det AS t, (b * c - a * e) / det AS k, (a * d - b * b) / det AS l, u, v, w FROM h)
+    SELECT id, round(x * (p * u + q * v + s * w) + y * (q * u + t * v + k * w) + z * (s * u + k * v + l * w)
+    + sqrt(greatest(p * x * x + t * y * y + l * z * z + 2 * (q * x * y + s * x * z + k * y * z), 0)), 4)::DOUBLE AS score FROM f, i""")
 add("capture_preview", lambda s, d: docs(s, d).select("id", C.preview(F.col("text")).alias("preview")),
     """WITH l AS (SELECT doc_id AS id, text, string_split(text, chr(10)) AS l FROM documents), t AS (SELECT id, text, array_to_string(list_concat(l[1:8], ['... [' || (len(l) - 16) || ' lines omitted] ...'], l[greatest(1, len(l) - 7):len(l)]), chr(10)) AS p FROM l)
     SELECT id, CASE WHEN length(text) <= 800 THEN text WHEN length(p) > 800 THEN substr(p, 1, 800) || '…' ELSE p END AS preview FROM t""")
