@@ -30,8 +30,8 @@ add("save_observations", save, sql=f"""WITH {OBS}, h AS (SELECT *, {HASH} AS h F
 SELECT id, type, decay_immune, expires_at_epoch - created_at_epoch + {NOW} AS expires_at_epoch FROM n WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM h s WHERE s.id % 2 = 0 AND s.project_root = n.project_root AND s.h = n.h)""")
 add("update_observations", lambda s, d: W.update(observations(s, d).select("id", "importance", "symbol"), observations(s, d).where("id % 3 = 0").select("id", F.lit(9).cast("long").alias("importance"), F.lit(None).cast("string").alias("symbol")), ["importance", "symbol"]),
     sql=f"WITH {OBS} SELECT id, CASE WHEN id % 3 = 0 THEN 9 ELSE importance END AS importance, symbol FROM obs")
-add("clear_observations", lambda s, d: W.update(observations(s, d).select("id", "importance", "symbol"), observations(s, d).where("id % 3 = 0").select("id", F.lit(None).cast("long").alias("importance"), F.col("title").alias("symbol")), ["importance", "symbol"], nulls=True),
-    sql=f"WITH {OBS} SELECT id, CASE WHEN id % 3 <> 0 THEN importance END AS importance, CASE WHEN id % 3 = 0 THEN title ELSE symbol END AS symbol FROM obs")
+add("clear_observations", lambda s, d: W.update(observations(s, d).select("id", "importance", "title"), observations(s, d).where("id % 3 = 0").select("id", F.lit(9).cast("long").alias("importance"), F.lit(None).cast("string").alias("title")), ["importance", "title"], nulls=True),
+    sql=f"WITH {OBS} SELECT id, CASE WHEN id % 3 = 0 THEN 9 ELSE importance END AS importance, CASE WHEN id % 3 <> 0 THEN title END AS title FROM obs")
 add("front_matter", lambda s, d: W.front_matter(s.createDataFrame([("a.md", "---\ntype: warning\nname: Be careful\n---\nBody\n"), ("b.md", "plain")], "path string, text string")).select("path", "type", F.coalesce("title", F.lit("")).alias("title"), "body"), "path, type, title, body", [("a.md", "warning", "Be careful", "Body"), ("b.md", "note", "", "plain")])
 add("title_clusters", lambda s, d: W.title_clusters(observations(s, d).select("id", "title"), 0.7, 2))
 add("distill", lambda s, d: W.distill(s.createDataFrame([(1, "never commit secrets a"), (2, "never commit secrets b"), (3, "never commit secrets c")], "id long, title string"), s.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, cluster long")), "cluster, members, tokens", [(1, 3, "commit never secrets")])
