@@ -6,8 +6,10 @@ plus gap closes it: it leaves the state and comes out as one row. The state of a
 bounded by what gap and watermark let be open at once.
 
 Cases: events behind the watermark are dropped, as their session may be out already; events without a user or a time are
-dropped; without a symbol they count as calls only; an event whose id was seen within the watermark is dropped
-(deduplicated()). The batch twin, sessions(), gives the rows of a stream that has seen the same events in time.
+dropped, but a time without a user moves the watermark; without a symbol they count as calls only; an event whose id was
+seen within the watermark is dropped (deduplicated()). Times are rounded to whole milliseconds, halves away from zero, as epoch_ms
+of the SQL does, before anything is compared. The batch twin, sessions(), gives the rows of a stream that has seen the
+same events in time.
 """
 
 from __future__ import annotations
@@ -28,22 +30,24 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def calls(events: DataFrame) -> DataFrame:
-    """(event_id, user, ts, symbol) of an event table, batch or stream; rows without a user or a time are left out."""
+    """(event_id, user, ts, symbol) of an event table, batch or stream, ts in whole milliseconds."""
     symbol = F.get_json_object("props", "$.k").cast("long")
-    out = events.select("event_id", F.col("user_id").cast("long").alias("user"), F.col("ts").cast("timestamp").alias("ts"), symbol.alias("symbol"))
-    return out.where("user IS NOT NULL AND ts IS NOT NULL")
+    ms = F.timestamp_millis(F.round(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000).cast("decimal(4,0)")).cast("long"))
+    return events.select("event_id", F.col("user_id").cast("long").alias("user"), ms.alias("ts"), symbol.alias("symbol"))
 
 
 def deduplicated(log: DataFrame, delay: str = DELAY) -> DataFrame:
-    """A stream of calls() under a watermark, each event_id once as long as the watermark remembers it."""
-    return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """A stream of calls() under a watermark of all its times, each event_id once as long as the watermark remembers it; rows without a user or a time are left out."""
+    # one condition on both columns, as Spark would filter users alone before the watermark
+    whole = ~F.array_contains(F.array(F.col("user").isNull(), F.col("ts").isNull()), True)
+    return log.withWatermark("ts", delay).where(whole).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def sessions(log: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """RESULT of all sessions of a batch of calls()."""
     ms = F.unix_millis("ts")
     w = Window.partitionBy("user").orderBy("ms", "event_id")
-    rows = log.select("user", "event_id", "symbol", ms.alias("ms"))
+    rows = log.where("user IS NOT NULL AND ts IS NOT NULL").select("user", "event_id", "symbol", ms.alias("ms"))
     head = F.coalesce((F.col("ms") - F.lag("ms").over(w) >= gap_ms).cast("int"), F.lit(1))
     rows = rows.withColumn("head", head).withColumn("number", F.sum("head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     made = rows.groupBy("user", "number").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count("*").alias("calls"), F.sort_array(F.collect_set("symbol")).alias("symbols"))

@@ -89,3 +89,22 @@ def test_merging_sessions():
     assert N.merged([(0, 5, 2, f({1})), (40, 50, 3, f({2}))], [(20, 20, 1, f({3}))], 21) == [(0, 50, 6, f({1, 2, 3}))]
     assert N.merged([(0, 5, 2, f())], [(26, 26, 1, f())], 21) == [(0, 5, 2, f()), (26, 26, 1, f())]
     assert N.merged([], [], 5) == []
+
+
+def test_fractions_of_milliseconds_and_the_last_watermark_as_in_sql(spark, tmp_path):
+    """Halves round up; a session that ends just when the watermark asks is out; an event without a user moves the watermark."""
+    import duckdb
+
+    from quillmine.plans import stream_queries as P
+
+    us = [(0, 1, 500), (1, 1, 1_800_000_499), (2, 2, 1_499), (3, 2, 1_800_001_500), (4, 3, 7_200_000_400), (5, 4, 4_799_999_600), (6, 5, 4_800_000_600), (7, None, 7_200_000_499)]
+    table = pa.table({"event_id": [r[0] for r in us], "ts": [START + timedelta(microseconds=r[2]) for r in us], "user_id": [r[1] for r in us], "props": [f'{{"k": {r[0]}}}' for r in us]}, schema=pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("props", pa.string())]))
+    for name, rows in (("all", table), ("without", table.slice(0, 4))):
+        folder = tmp_path / name
+        folder.mkdir()
+        pq.write_table(pa.concat_tables([rows, table.slice(7)]), folder / "events.parquet")
+        got = {tuple(r) for r in P.stream_sessions(spark, str(folder)).collect()}
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+        want = set(con.execute(P.ORACLES["stream_sessions"]).fetchall())
+        assert got == want and len(want) >= 3, (got - want, want - got)
