@@ -1,6 +1,8 @@
 """A kept full-text index: positional postings by term partition, appended segments, tombstones and merging.
 
-Layout below one folder: postings/seg=<n>/part=<p> holds (term, id, dl, positions), p being a hash of the term;
+Layout below one folder: postings/seg=<n>/part=<p> holds, p being a hash of the term, a row for each term of a block of
+documents: their ids and lengths, and all places of the term in them, with the end of each document's. Blocks are made in
+the tasks that read the documents, so neither texts nor postings are exchanged;
 lengths/seg=<n> holds (id, dl); gone/seg=<n> holds the ids whose rows in segments before n are dead; manifest-<v>.json
 names the live segments and the numbers of documents and tokens. A batch of changes is one new segment: what it inserts or
 updates is written once, what it updates or deletes is named in gone, and nothing else is read but the lengths that it
@@ -17,17 +19,23 @@ from __future__ import annotations
 import json
 import string
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import _folder
+from .graph import _folder, cut
 from .search import B, K1
 
 PARTS, FANOUT = 64, 8
-#: Parts into which one term partition's rows are dealt when written, as one term may stand in most documents.
-SPREAD = 4
+#: Words of the documents of a block, about; a longer document is a block of its own.
+BLOCK = 1 << 21
+#: Of a number of dead rows up to this one, each task gets the list; beyond, postings are exchanged by id.
+DEAD = 8_000_000
+STORED = "term string, ids array<long>, dls array<int>, ends array<int>, places array<int>"
 TOKEN = "[A-Za-z0-9_]{3,}"
 
 
@@ -40,6 +48,50 @@ def part_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def _packed(codes: np.ndarray, terms: pa.Array, ids: np.ndarray, dls: np.ndarray, tfs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """STORED rows of postings sorted by the number of their term, with tfs places each."""
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    ends = np.cumsum(tfs)
+    begin = (ends - tfs)[first]
+    at = pa.array(np.append(first, len(codes)).astype("int32"))
+    spots = pa.array(np.append(begin, len(places)).astype("int32"))
+    own = ends - np.repeat(begin, np.diff(np.append(first, len(codes))))
+    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids.astype("int64"), dls.astype("int32"), own.astype("int32"))]
+    return pa.RecordBatch.from_arrays([terms.take(pa.array(codes[first])).cast(pa.string()), *lists, pa.ListArray.from_arrays(spots, pa.array(places.astype("int32")))], ["term", "ids", "dls", "ends", "places"])
+
+
+def _blocks_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STORED rows of documents (id, t), t being their words."""
+    for batch in batches:
+        ids, lists = batch.column("id").to_numpy(zero_copy_only=False), batch.column("t")
+        offsets = lists.offsets.to_numpy().astype("int64")
+        offsets -= offsets[0]
+        words_, start = lists.flatten(), 0
+        while start < len(ids):
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK, "right")) - 1)
+            low, high = offsets[start], offsets[stop]
+            if high > low:
+                coded = words_.slice(low, high - low).dictionary_encode()
+                codes, dls = coded.indices.to_numpy(), np.diff(offsets[start : stop + 1])
+                order = np.argsort(codes, kind="stable")  # documents and places stay in order
+                codes, doc = codes[order], np.repeat(np.arange(start, stop), dls)[order]
+                places = (np.arange(high - low) - np.repeat(offsets[start:stop] - low, dls))[order]
+                heads = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+                yield _packed(codes[heads], coded.dictionary, ids[doc[heads]], dls[doc[heads] - start], np.diff(np.append(heads, len(codes))), places)
+            start = stop
+
+
+def _blocks_of_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STORED rows of postings (term, id, dl, positions)."""
+    for batch in batches:
+        if batch.num_rows:
+            coded = batch.column("term").dictionary_encode()
+            order = np.argsort(coded.indices.to_numpy(), kind="stable")
+            positions = batch.column("positions").take(pa.array(order))
+            ids, dls = (batch.column(n).to_numpy(zero_copy_only=False)[order] for n in ("id", "dl"))
+            yield _packed(coded.indices.to_numpy()[order], coded.dictionary, ids, dls, positions.value_lengths().to_numpy(zero_copy_only=False), positions.flatten().to_numpy(zero_copy_only=False))
+
+
 def new_path(spark: SparkSession) -> str:
     return f"{_folder(spark)}/quillmine/fulltext-{uuid.uuid4().hex}"
 
@@ -81,7 +133,9 @@ class FullText:
     def _living(self, rows: DataFrame, segments: list[int]) -> DataFrame:
         if len(segments) < 2:
             return rows
-        last = self._read("gone", "id long", segments).groupBy("id").agg(F.max("seg").alias("last"))
+        dead = self._read("gone", "id long", segments)
+        last = dead.groupBy("id").agg(F.max("seg").alias("last"))
+        last = F.broadcast(last) if dead.count() <= DEAD else last
         return rows.join(last, "id", "left").where("last IS NULL OR seg >= last").drop("last")
 
     def lengths(self) -> DataFrame:
@@ -92,15 +146,18 @@ class FullText:
     def postings(self, parts: list[int] | None = None) -> DataFrame:
         """(term, id, dl, positions) of the documents that are in the index; of the given term partitions, if any are given."""
         segments = self.manifest()["segments"]
-        rows = self._read("postings", "term string, id long, dl int, positions array<int>, part int", segments)
+        rows = self._read("postings", f"{STORED}, part int", segments)
         rows = rows.where(F.col("part").isin(parts)) if parts is not None else rows
+        begin = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+        places = lambda i: F.slice("places", begin(i) + 1, F.get("ends", i) - begin(i))
+        each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.get("dls", i).alias("dl"), places(i).alias("positions")))
+        rows = rows.select("term", "seg", F.inline(each))
         return self._living(rows, segments).select("term", "id", "dl", "positions")
 
     # -- changes
 
-    def _write(self, segment: int, postings: DataFrame, lengths: DataFrame, gone: DataFrame) -> None:
-        dealt = postings.withColumn("part", part_of(F.col("term"))).repartition(PARTS, "part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-        dealt.sortWithinPartitions("part", "term", "id").write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/postings/seg={segment}")
+    def _write(self, segment: int, blocks: DataFrame, lengths: DataFrame, gone: DataFrame) -> None:
+        blocks.withColumn("part", part_of(F.col("term"))).sortWithinPartitions("part", "term").write.partitionBy("part").mode("overwrite").parquet(f"{self.path}/postings/seg={segment}")
         lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/seg={segment}")
         gone.write.mode("overwrite").parquet(f"{self.path}/gone/seg={segment}")
 
@@ -108,14 +165,16 @@ class FullText:
         """One batch: upserts (id, text) are inserted or replace what the index has, deletes (id) go."""
         empty = self.spark.createDataFrame([], "id long, text string")
         given = (empty if upserts is None else upserts).select(F.col("id").cast("long").alias("id"), "text").where("id IS NOT NULL")
-        given = given.groupBy("id").agg(F.max("text").alias("text")).select("id", words(F.col("text")).alias("t"))
+        twice = cut(given.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+        if not twice.isEmpty():  # only the texts of those are exchanged
+            most = given.join(twice, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+            given = given.join(twice, "id", "left_anti").unionByName(most)
+        given = given.select("id", words(F.col("text")).alias("t"))
         dead = (empty if deletes is None else deletes).select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL")
         now = self.manifest()
         segment = now["next"]
-        spots = given.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
-        postings = spots.groupBy("term", "id", "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))  # no longer than the text
         ids = given.select("id").unionByName(dead).distinct()
-        self._write(segment, postings, given.select("id", F.size("t").alias("dl")), ids)
+        self._write(segment, given.mapInArrow(_blocks_of_texts, STORED), given.select("id", F.size("t").alias("dl")), ids)
         count = [F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")]
         lost = self.lengths().join(self.spark.read.schema("id long").parquet(f"{self.path}/gone/seg={segment}"), "id", "left_semi").agg(*count).first()
         more = self.spark.read.schema("id long, dl int").parquet(f"{self.path}/lengths/seg={segment}").agg(*count).first()
@@ -131,7 +190,7 @@ class FullText:
         old, segment = now["segments"], now["next"]
         if len(old) < 2:
             return
-        self._write(segment, self.postings(), self.lengths().select("id", "dl"), self.spark.createDataFrame([], "id long"))
+        self._write(segment, self.postings().mapInArrow(_blocks_of_postings, STORED), self.lengths().select("id", "dl"), self.spark.createDataFrame([], "id long"))
         self._publish(now | {"version": now["version"] + 1, "next": segment + 1, "segments": [segment]})
         for n in old:
             for name in ("postings", "lengths", "gone"):
@@ -163,10 +222,26 @@ class FullText:
     def phrase(self, queries: DataFrame) -> DataFrame:
         """(query, id, first, hits): the documents in which the words of a query stand next to each other, where first, and how often."""
         wanted, rows = self._terms(queries)
-        length = wanted.groupBy("query").agg(F.count("*").alias("n"))
-        starts = rows.join(wanted, "term").select("query", "id", F.explode(F.transform("positions", lambda x: x - F.col("place"))).alias("start"))
-        whole = starts.groupBy("query", "id", "start").agg(F.count("*").alias("k")).join(length, "query").where("k = n")
-        return whole.groupBy("query", "id").agg(F.min("start").alias("first"), F.count("*").alias("hits"))
+        words_ = F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"])
+        asked = cut(wanted.groupBy("query").agg(F.array_join(words_, " ").alias("phrase"), F.count("*").cast("int").alias("n")))
+        lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # a few numbers
+        # each document's words that queries have, in order: runs of them meet the phrases, so the work is that of the
+        # places, however many queries share a frequent word
+        rows = rows.join(cut(wanted.select("term").distinct()), "term", "left_semi")
+        spots = F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda x: F.struct(x.alias("at"), F.col("term").alias("term"))))))
+        documents = rows.groupBy("id").agg(spots.alias("spots"))  # no longer than the text
+
+        def runs(n: int) -> Column:
+            at = lambda i: F.get("spots", i)["at"]
+            starts = F.filter(F.sequence(F.lit(0), F.size("spots") - n), lambda i: at(i + n - 1) - at(i) == n - 1)
+            found = F.transform(starts, lambda i: F.struct(at(i).alias("start"), F.array_join(F.transform(F.slice("spots", i + 1, n), lambda x: x["term"]), " ").alias("phrase")))
+            return F.when(F.size("spots") >= n, found).otherwise(F.array().cast("array<struct<start:int,phrase:string>>"))
+
+        if not lengths:
+            return asked.select("query", F.lit(0).cast("long").alias("id"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("hits"))
+        each = documents.select("id", F.inline(F.concat(*map(runs, lengths))))
+        found = each.join(asked.select("phrase").distinct(), "phrase", "left_semi").groupBy("phrase", "id").agg(F.min("start").alias("first"), F.count("*").alias("hits"))
+        return found.join(asked, "phrase").select("query", "id", "first", "hits")
 
 
 def snippet(text: Column, terms: Column, first: Column, width: int = 40, marks: tuple[str, str] = ("»", "«"), cut: str = "...") -> Column:

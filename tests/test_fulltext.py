@@ -141,3 +141,18 @@ def test_empty_index(spark, tmp_path):
     index.apply(deletes=spark.createDataFrame([(1,)], "id long"))
     index.merge()
     assert index.search(queries, 5).count() == 0
+
+
+def test_texts_are_not_exchanged_nor_places_by_query(spark, exchanged, tmp_path):
+    rng = random.Random(5)
+    data = [(i, " ".join(rng.choice(["the", f"x{rng.randrange(10**9)}"]) for _ in range(1000))) for i in range(60)]
+    index = X.FullText(spark, f"file://{tmp_path}/fts")
+    before = exchanged()
+    index.apply(spark.createDataFrame(data, "id long, text string"))
+    index.apply(spark.createDataFrame(data[:30], "id long, text string"))
+    assert exchanged()[0] - before[0] < sum(len(t) for _, t in data) / 10
+    queries = [(i, " ".join(plain_words(t)[k : k + 2])) for i, t in data for k in range(5)]
+    queries = spark.createDataFrame([(n, q) for n, (_, q) in enumerate(queries)], "query long, text string")
+    before = exchanged()
+    assert index.phrase(queries).where("hits > 0").select("query").distinct().count() == 300
+    assert exchanged()[1] - before[1] < 300_000  # 300 queries, most with a word that stands in 30,000 places
