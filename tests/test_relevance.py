@@ -76,3 +76,21 @@ def test_query_over_whole_tables(spark):
     for s in list(got)[:5]:
         want = power(both, s, rounds=120)
         assert sum(abs(want[n] - got[s].get(n, 0)) for n in want) <= bound[s] + 1e-3
+
+
+def test_groups_and_joins_push_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([*graph(), (None, 3)], "src long, dst long")
+    seeds = spark.createDataFrame([(s,) for s in (0, 7, 100, 102, 33, 9999)], "node long")
+    ways = []
+    for held in (R.HELD, 0):
+        monkeypatch.setattr(R, "HELD", held)
+        ways.append({(r["seed"], r["node"]): (r["score"], r["bound"]) for r in R.walks(df, seeds, eps=1e-4).collect()})
+    assert ways[0].keys() == ways[1].keys() and all(abs(a - b) < 1e-12 for k in ways[0] for a, b in zip(ways[0][k], ways[1][k]))
+
+
+def test_seeds_of_a_group_do_not_exchange_residuals(spark, exchanged):
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in zip(rng.integers(0, 200, 3000), rng.integers(0, 200, 3000))]
+    df, before = spark.createDataFrame(edges, "src long, dst long"), exchanged()
+    assert R.walks(df, spark.createDataFrame([(k,) for k in range(20)], "node long")).count() == 4000
+    assert exchanged()[1] - before[1] < 200_000
