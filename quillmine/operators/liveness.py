@@ -20,17 +20,22 @@ from .graph import ROUNDS, cut
 def living(rules: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, round) of all that lives; rules (head, body array), roots (node)."""
     numbered = rules.where("head IS NOT NULL").select("head", F.array_sort(F.array_distinct(F.coalesce("body", F.array().cast(rules.schema["body"].dataType)))).alias("body")).distinct()
-    numbered = numbered.withColumn("rule", F.sha2(F.to_json(F.struct("head", "body")), 256))
-    free = numbered.where(F.size("body") == 0).select(F.col("head").alias("node"))
-    asks = cut(numbered.select("rule", "head", F.size("body").alias("size"), F.explode("body").alias("node")))
+    # a rule is a number, given once as this is written, so 8 bytes of it travel
+    numbered = numbered.withColumn("rule", F.monotonically_increasing_id())
+    whole = cut(numbered.select("rule", "head", F.size("body").alias("size"), F.explode_outer("body").alias("node")))
+    free = whole.where("size = 0").select(F.col("head").alias("node"))
+    asks = whole.where("size > 0")
+    single, asks = asks.where("size = 1").select("head", "node"), asks.where("size > 1")
     fresh = cut(roots.select("node").where("node IS NOT NULL").unionByName(free).distinct())
     alive = cut(fresh.select("node", F.lit(0).alias("round")))
     met = None
     for k in range(1, ROUNDS):
-        step = asks.join(fresh, "node").groupBy("rule", "head", "size").agg(F.count("*").alias("have"))
-        met = step if met is None else met.unionByName(step).groupBy("rule", "head", "size").agg(F.sum("have").alias("have"))
-        met = cut(met)
-        fresh = cut(met.where("have = size").select(F.col("head").alias("node")).distinct().join(alive.select("node"), "node", "left_anti"))
+        # a rule with one node in its body is met at once, only the others are counted
+        step = asks.join(fresh, "node").select("rule", "head", "size", F.lit(1).alias("have"))
+        met = step if met is None else met.unionByName(step)
+        met = cut(met.groupBy("rule", "head", "size").agg(F.sum("have").cast("int").alias("have")))
+        heads = met.where("have = size").select(F.col("head").alias("node")).unionByName(single.join(fresh, "node").select(F.col("head").alias("node")))
+        fresh = cut(heads.distinct().join(alive.select("node"), "node", "left_anti"))
         if fresh.isEmpty():
             return alive
         met = met.where("have < size")

@@ -87,3 +87,13 @@ def test_liveness_query_over_whole_tables(spark):
     rules = [(r["head"], r["body"]) for r in Q.rules(spark, SF).collect()]
     got = {r["node"]: r["round"] for r in Q.QUERIES["dynamic_liveness"](spark, SF).collect()}
     assert set(got) == worklist(rules, [n for n, r in got.items() if r == 0]) and sum(r == 0 for r in got.values()) == 1
+
+
+def test_rules_travel_as_numbers(spark, exchanged):
+    rules = [(n + 1, [n, (n * 7919) % 20000]) for n in range(20000)]
+    df, before = spark.createDataFrame(rules, "head long, body array<long>").repartition(4), exchanged()
+    L.living(df, spark.createDataFrame([(-1,)], "node long")).count()
+    first = exchanged()[0] - before[0]
+    before = exchanged()
+    L.living(df, spark.createDataFrame([(n,) for n in range(0, 20000, 2)], "node long")).count()
+    assert first < 1_500_000 and exchanged()[0] - before[0] < 4_000_000
