@@ -156,3 +156,19 @@ def test_texts_are_not_exchanged_nor_places_by_query(spark, exchanged, tmp_path)
     before = exchanged()
     assert index.phrase(queries).where("hits > 0").select("query").distinct().count() == 300
     assert exchanged()[1] - before[1] < 300_000  # 300 queries, most with a word that stands in 30,000 places
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1 << 21])
+def test_blocks_of_any_size_hold_the_same_postings(monkeypatch, size):
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    monkeypatch.setattr(X, "BLOCK", size)
+    docs = [(i * 3 - 20, rng.choices("abcd", k=rng.randrange(6))) for i in range(40)]
+    batch = pa.record_batch({"id": pa.array([i for i, _ in docs]), "t": pa.array([t for _, t in docs], pa.list_(pa.string()))})
+    got = []
+    for part in X._blocks_of_texts([batch.slice(5, 20), batch.slice(0, 5), batch.slice(25)]):
+        for r in part.to_pylist():
+            for k, end in enumerate(r["ends"]):
+                got.append((r["term"], r["ids"][k], r["dls"][k], tuple(r["places"][r["ends"][k - 1] if k else 0 : end])))
+    assert sorted(got) == sorted((w, i, len(t), tuple(k for k, x in enumerate(t) if x == w)) for i, t in docs for w in set(t))
