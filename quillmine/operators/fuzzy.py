@@ -2,16 +2,15 @@
 
 The ratio is twice the number of characters in matching blocks over the length of both names; blocks are the longest
 common run, then, again and again, those to its left and right. If a pair of total length T reaches ratio t, its blocks
-hold M >= tT/2 characters and leave U = T - 2M unmatched, so there are at most U + 1 blocks, and of the q-grams of the
-names (a name padded by q - 1 signs on each side, the k-th of equal grams counted as a gram of its own) at least
-M + (q - 1)(1 - U) are shared. Bigrams bear that for t above 2/3, single characters below. Every name's grams are sorted
-from rare to frequent, and of n grams only the first n - least + 1 are joined: two names that share as many as they must
-share one of those. A pair goes on at the first gram that both prefixes hold, where lengths and the places of the gram
-leave room for enough and the names do share enough grams; the blocks are then found by dynamic programming over runs.
-Nothing is left out: every filter is a bound that a pair at the threshold meets. Long names of prose share many grams
-whatever they say, so that low thresholds leave most of their pairs to be compared; short names or 0.9 are meant.
-
-Frequent grams are divided by classes of length, and their names dealt over parts where there are more than HOT.
+hold M >= tT/2 characters, so the bags of characters of the names (the k-th of equal characters counted as one of its
+own) differ in T - 2M at most. Every name gets a bitmap of BITS parities of its numbered characters: where bags differ in
+so many, the bitmaps do not differ in more bits. There are T - 2M + 1 blocks at most, each with one bigram less than
+characters, so the bags of bigrams differ in 3(T - 2M) at most, and PAIRS bits tell that. Names are dealt into blocks, each pair of blocks is one group, and only
+numbers, lengths and bitmaps are exchanged. A group compares the names of each length with those whose lengths leave
+room, first by 64 bits, then by all; what is left meets its names, and the blocks are found by dynamic programming over
+runs. Nothing is left out: every filter is a bound that a pair at the threshold meets. All pairs of fitting lengths are
+compared in that way, at about a nanosecond or two each, so work grows with their number (linear in one side if the
+other stays as it is); a join on rare grams made more candidates of prose, as prose shares its grams.
 
 Cases: null and empty names are left out; equal names are one (a row of their own pair if both sides hold them); length
 counts code points; from 200 characters on, those of the second name that make up over a hundredth of it start no run,
@@ -24,16 +23,17 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import let
 from .graph import cut
 
-#: Names of a gram and class of lengths that meet in one part.
-HOT = 20_000
+#: Names of one block at most, bits for a name's characters and for its bigrams, and comparisons made at once.
+HOT, BITS, PAIRS, AT_ONCE = 1 << 17, 256, 512, 1 << 17
 #: Of second names of this many characters or more, frequent characters start no run.
 LONG = 200
 EDGE = 1e-9
@@ -93,55 +93,103 @@ def _ratios(threshold: float):
     return run
 
 
-def _grams(name: Column, q: int) -> Column:
-    padded = F.concat(F.lit("\x02" * (q - 1)), name, F.lit("\x03" * (q - 1)))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substr(padded, i, F.lit(q)))
-
+def _parities(owner: np.ndarray, grams: np.ndarray, names: int, bits: int) -> np.ndarray:
+    """(names, bits / 64) words: bit h(g, k) is turned for the k-th of every gram g (below 2**42) of a name."""
+    order = np.lexsort((grams, owner))
+    owner, grams = owner[order], grams[order]
+    start = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(grams, prepend=-1) != 0))
+    nth = np.arange(len(grams)) - np.repeat(start, np.diff(np.append(start, len(grams))))
+    mixed = ((grams >> 21) * 0x27D4EB2F + (grams & 0x1FFFFF) * 0x9E3779B1 + nth * 0x85EBCA6B) & 0xFFFFFFFF
+    mixed = ((mixed ^ mixed >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+    odd = np.bincount(owner * bits + (mixed >> 12) % bits, minlength=names * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(names, bits // 64)
+
+
+def bitmaps(names: list[str]) -> np.ndarray:
+    """(names, (BITS + PAIRS) / 64) words: parities of each name's numbered characters, then of its numbered bigrams."""
+    owner = np.repeat(np.arange(len(names)), np.fromiter(map(len, names), np.int64, len(names)))
+    codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.int64)
+    same = np.flatnonzero(owner[1:] == owner[:-1])
+    return np.hstack([_parities(owner, codes, len(names), BITS), _parities(owner[same], codes[same] << 21 | codes[same + 1], len(names), PAIRS)])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.column("name").to_pylist()
+        if names:
+            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary((BITS + PAIRS) // 8), len(names), [None, pa.py_buffer(bitmaps(names).tobytes())])
+            yield pa.record_batch([batch.column("id"), pa.array(list(map(len, names)), pa.int32()), bits.cast(pa.binary())], ["id", "n", "bits"])
+
+
+def _by_length(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, lengths and, by word, bitmaps, shorter names first."""
+    n = table["n"].to_numpy()
+    order = np.argsort(n, kind="stable")
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(n), (BITS + PAIRS) // 64)
+    return table["id"].to_numpy()[order], n[order], np.ascontiguousarray(bits[order].T)
+
+
+def _candidates(threshold: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (ids_a, na, bits_a), (ids_b, nb, bits_b) = _by_length(left), _by_length(right)
+        folded_a, folded_b = (np.bitwise_xor.reduce(bits[: BITS // 64]) for bits in (bits_a, bits_b))  # parities in 64 bits
+        out_a, out_b = [ids_a[:0]], [ids_b[:0]]
+        for n in np.unique(na) if len(nb) else ():
+            first, last = np.searchsorted(na, [n, n + 1])
+            both = n + nb
+            fits = np.flatnonzero(2 * np.minimum(n, nb) >= threshold * both - EDGE)
+            if not len(fits):
+                continue
+            low, high = fits[0], fits[-1] + 1
+            # characters outside the blocks, at most
+            spare = (both - 2 * np.ceil(threshold / 2 * both - EDGE).astype(np.int64))[low:high]
+            near, some = np.minimum(spare, 64).astype(np.uint8), folded_b[low:high]
+            step = max(AT_ONCE // (high - low), 1)
+            for k in range(first, last, step):
+                left_over = np.flatnonzero(np.bitwise_count(folded_a[k : min(k + step, last), None] ^ some) <= near)
+                for m in range(0, len(left_over), AT_ONCE):
+                    x, y = np.divmod(left_over[m : m + AT_ONCE], high - low)
+                    for words, most in ((range(BITS // 64), spare), (range(BITS // 64, len(bits_a)), 3 * spare)):
+                        differ = np.zeros(len(x), np.int16)
+                        for w in words:
+                            differ += np.bitwise_count(bits_a[w][k + x] ^ bits_b[w][low + y])
+                            good = np.flatnonzero(differ <= most[y])
+                            x, y, differ = x[good], y[good], differ[good]
+                    out_a.append(ids_a[k + x]), out_b.append(ids_b[low + y])
+        return pa.table({"ia": np.concatenate(out_a), "ib": np.concatenate(out_b)})
 
-def _bags(names: DataFrame, q: int) -> DataFrame:
-    """(name, grams) with every name's numbered grams, the rarest first."""
-    many = names.select("name", F.explode(_grams(F.col("name"), q)).alias("gram")).groupBy("name", "gram").agg(F.count("*").alias("n"))
-    each = many.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.concat("gram", k.cast("string")))).alias("gram"))
-    seen = each.groupBy("gram").agg(F.count("*").alias("df"))
-    rows = each.join(seen, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    return rows.select("name", F.transform("grams", lambda g: g["gram"]).alias("grams"))
+    return run
 
 
 def close_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
     """(a, b, ratio) of all names a of left and b of right (name) with a ratio of threshold or more; without right, of all a < b of left."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0, up to 1")
-    q = 2 if threshold > 2 / 3 else 1
-    t, spread = threshold, (2 - threshold) / threshold
-    bare = lambda df: df.select("name").where("name <> ''").distinct()
-    one = cut(bare(left))
-    two = one if right is None else cut(bare(right))
-    bags = cut(_bags(one if right is None else one.unionByName(two).distinct(), q))
-
-    length = F.length("name")
-    least_total = length + F.ceil(length / spread - EDGE)
-    least = F.greatest(F.ceil((t / 2 if q == 1 else 1.5 * t - 1) * least_total + (q - 1) - EDGE), F.lit(1))
-    # names whose lengths may go together are at most one class apart
-    band = F.floor(F.log(length) / math.log(spread) + EDGE) if spread > 1 else length
-    prepared = bags.select("name", length.alias("n"), band.cast("long").alias("band"), "grams", (F.size("grams") - least + 1).cast("int").alias("prefix"))
-    each = lambda df: df.join(prepared, "name").select("name", "n", "band", "grams", F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("at", "gram"))
-    b = each(two).select("gram", "band", F.col("name").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"), F.col("at").alias("at_b"))
-    crowds = cut(b.groupBy("gram", "band").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("gram", "band", F.ceil(F.col("m") / HOT).cast("int").alias("parts")))
-    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
-    b = b.join(crowds, ["gram", "band"], "left").select("*", part.alias("part")).drop("parts")
-    classes = F.explode(F.array(*[F.col("band") + k for k in ((-1, 0, 1) if spread > 1 else (0,))]))
-    a = each(one).select("gram", classes.alias("band"), F.col("name").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"), F.col("at").alias("at_a"))
-    a = a.join(crowds, ["gram", "band"], "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part")).drop("parts")
-
-    both = F.col("na") + F.col("nb")
-    runs = F.ceil(t / 2 * both - EDGE)
-    need = runs if q == 1 else 3 * runs - both + 1
-    room = 1 + F.least(F.col("na") + q - 2 - F.col("at_a"), F.col("nb") + q - 2 - F.col("at_b"))
-    fits = (2 * F.least("na", "nb") >= t * both - EDGE) & (room >= need)
-    # both sides are in one order, so the first gram in common is the first that both prefixes hold
-    shares = let(F.array_intersect("ga", "gb"), lambda common: (F.get(common, F.lit(0)) == F.col("gram")) & (F.size(common) >= need))
-    pairs = a.join(b, ["gram", "band", "part"]).where(fits & shares & (F.col("a") < F.col("b") if right is None else F.lit(True)))
-    return pairs.select("a", "b").mapInPandas(_ratios(t), "a string, b string, ratio double")
+    bare = lambda df: cut(df.select("name").where("name <> ''").distinct().withColumn("id", F.monotonically_increasing_id()))
+    one = bare(left)
+    two = one if right is None else bare(right)
+    tasks = 4 * left.sparkSession.sparkContext.defaultParallelism
+    n_one, n_two = one.count(), two.count()
+    # so many blocks that none is larger than HOT and all cores have pairs of blocks
+    parts_b = max(-(-n_two // HOT), min(n_two // 1000, math.isqrt(tasks)), 1)
+    parts_a = parts_b if right is None else max(-(-n_one // HOT), min(n_one // 1000, tasks // parts_b), 1)
+    marked = lambda df: cut(df.mapInArrow(_marked, "id long, n int, bits binary"))
+    mine = marked(one)
+    other = mine if right is None else marked(two)
+    block = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts))
+    every = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x - 1).cast("long")))
+    a = mine.withColumn("x", block(parts_a)).withColumn("y", every(parts_b))
+    b = other.withColumn("y", block(parts_b)).withColumn("x", every(parts_a))
+    if right is None:
+        a, b = a.where("x <= y"), b.where("x <= y")
+    a, b = (df.repartition(min(parts_a * parts_b, 8 * tasks), "x", "y").groupBy("x", "y") for df in (a, b))
+    found = cut(a.cogroup(b).applyInArrow(_candidates(threshold), "ia long, ib long"))
+    pairs = found.join(one.select(F.col("id").alias("ia"), F.col("name").alias("a")), "ia").join(two.select(F.col("id").alias("ib"), F.col("name").alias("b")), "ib")
+    if right is None:
+        # a pair within a block comes both ways, a pair of two blocks in one of them
+        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        pairs = pairs.where("ia <> ib").select(low, high).distinct()
+    return pairs.select("a", "b").repartition(tasks).mapInPandas(_ratios(threshold), "a string, b string, ratio double")
 
 
 def close_matches(words: DataFrame, possible: DataFrame, most: int = 3, threshold: float = 0.6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+from collections import Counter
 
 import pytest
 
@@ -137,3 +138,24 @@ def test_no_names_or_no_lines(spark):
 def test_no_loop_join_over_lines_and_names(spark):
     plan = Q.names_in_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bitmaps_bound_the_pairs_and_keep_prose_apart():
+    """Bags differ in more characters and bigrams than bitmaps in bits; of prose, whose grams are all frequent, few pairs are left to be compared."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaonrish", k=rng.randrange(2, 7))) for _ in range(60)]
+    names = sorted({" ".join(rng.choices(words, k=20))[:80] for _ in range(300)})
+    names += [n[:40] + rng.choice("xyz") + n[41:] for n in names[:30]] + ["a", "aa", "😀b"]
+    bits = Z.bitmaps(names)
+    differ = lambda x, y: sum(((Counter(x) - Counter(y)) + (Counter(y) - Counter(x))).values())
+    for _ in range(500):
+        i, j = rng.randrange(len(names)), rng.randrange(len(names))
+        unlike = [bin(int(v)).count("1") for v in bits[i] ^ bits[j]]
+        assert sum(unlike[: Z.BITS // 64]) <= differ(names[i], names[j])
+        assert sum(unlike[Z.BITS // 64 :]) <= differ(list(zip(names[i], names[i][1:])), list(zip(names[j], names[j][1:])))
+    rows = pa.table({"id": range(len(names)), "n": [len(n) for n in names], "bits": [b.tobytes() for b in bits]})
+    left = {(r["ia"], r["ib"]) for r in Z._candidates(0.9)(rows, rows).to_pylist() if r["ia"] < r["ib"]}
+    want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if ratio(names[i], names[j]) >= 0.9}
+    assert want <= left and len(want) >= 30 and len(left) < 0.02 * len(names) * (len(names) - 1) / 2
