@@ -159,3 +159,11 @@ def test_bitmaps_bound_the_pairs_and_keep_prose_apart():
     left = {(r["ia"], r["ib"]) for r in Z._candidates(0.9)(rows, rows).to_pylist() if r["ia"] < r["ib"]}
     want = {(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if ratio(names[i], names[j]) >= 0.9}
     assert want <= left and len(want) >= 30 and len(left) < 0.02 * len(names) * (len(names) - 1) / 2
+
+
+def test_few_names_meet_many_in_blocks(spark, monkeypatch):
+    """Only numbers, lengths and bitmaps of the many names are exchanged, once for each block of the few."""
+    monkeypatch.setattr(Z, "HOT", 25)
+    few, many = made(9, 40), made(10, 160)
+    rows = [(r["a"], r["b"], r["ratio"]) for r in Z.close_pairs(frame(spark, many), frame(spark, few), 0.8).collect()]
+    assert sorted(rows) == sorted((a, b, ratio(a, b)) for a in many for b in few if ratio(a, b) >= 0.8) and rows
