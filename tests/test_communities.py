@@ -115,3 +115,24 @@ def test_query_over_whole_tables(spark):
     out = {r["node"]: r["community"] for r in Q.QUERIES["communities"](spark, SF).collect()}
     near = neighbours((r["src"], r["dst"]) for r in Q.edges(spark, SF).collect())
     assert set(out) == set(near) and plain_q(near, out) > 0
+
+
+@pytest.mark.parametrize("label", [lambda a: a, lambda a: a // 10, lambda a: 7])
+def test_moves_by_groups_are_those_of_joins(spark, monkeypatch, label):
+    """The nodes of a graph are dealt over many groups, each with its own arcs alone."""
+    monkeypatch.setattr(C, "ARCS", 150)
+    near = neighbours(random_graph() + cliques())
+    both = cut(spark.createDataFrame([(a, b) for a in near for b in near[a]], "src long, dst long"))
+    state = cut(spark.createDataFrame([(a, len(near[a]), label(a)) for a in near], "node long, d long, community long"))
+    m2 = both.count()
+    dealt = C._Dealt(both, m2)
+    assert dealt.groups > 10 and dealt.packed.select("group").distinct().count() > 5
+    got, want = ({tuple(map(int, r)) for r in df.select("node", "d", "origin", "target", "gain").collect()} for df in (dealt.best_moves(state, m2), C.best_moves(both, state, m2)))
+    assert got == want and (want or label(1) == label(2))
+
+
+def test_both_ways_give_the_same_communities(spark, monkeypatch):
+    df = spark.createDataFrame(cliques(), "src int, dst int")
+    want = {tuple(r) for r in C.local_moving(df, sweeps=4).collect()}
+    monkeypatch.setattr(C, "LARGE", 0)
+    assert {tuple(r) for r in C.local_moving(df, sweeps=4).collect()} == want
