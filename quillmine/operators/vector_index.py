@@ -19,6 +19,7 @@ share an id one (the greatest hash) stays; a search of an empty index gives no r
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SAMPLE, LISTS, STEPS = 20_000, 64, 12
 #: Rows of one block.
 PACK = 2048
 SPREAD = 4
+#: Distances that a task holds at once, about.
+AT_ONCE = 1 << 18
 
 
 def new_path(spark: SparkSession) -> str:
@@ -58,6 +61,21 @@ def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def nearest(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, d) of the k rows v that are nearest to each of q, of equals (in nine decimals) the smaller id, for some of q at a time."""
+    step = max(AT_ONCE // max(len(v), 1), 1)
+    for a in range(0, len(q) if len(v) else 0, step):
+        far = distances(q[a : a + step], v)
+        short = np.round(far, 9)
+        last = np.partition(short, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+        at, row = np.nonzero(short <= last[:, None])
+        order = np.lexsort((ids[row], short[at, row], at))
+        at, row = at[order], row[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        at, row = at[place < k], row[place < k]
+        yield queries[a + at], ids[row], far[at, row]
+
+
 def fit_centres(sample: np.ndarray, lists: int, seed: int = 1) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = sample[np.sort(rng.choice(len(sample), min(lists, len(sample)), replace=False))]
@@ -183,10 +201,8 @@ class VectorIndex:
                 for r in range(batch.num_rows):
                     ids, queries = (np.asarray(batch.column(c)[r].values) for c in ("ids", "querys"))
                     v, q = (np.asarray(batch.column(c)[r].values).reshape(-1, width) for c in ("id_vecs", "query_vecs"))
-                    far = distances(q, v)
-                    order = np.lexsort((np.broadcast_to(ids, far.shape), np.round(far, 9)), axis=1)[:, :k]
-                    got = np.take_along_axis(far, order, 1)
-                    yield pa.record_batch([pa.array(np.repeat(queries, order.shape[1])), pa.array(ids[order].ravel()), pa.array(got.ravel())], ["query", "id", "d"])
+                    for query, id_, d in nearest(queries, q, ids, v, k):
+                        yield pa.record_batch([pa.array(query), pa.array(id_), pa.array(d)], ["query", "id", "d"])
 
         pairs = self._packed(self.rows(), "id").join(self._packed(near, "query"), "list")
         return pairs.mapInArrow(run, "query long, id long, d double")

@@ -86,3 +86,21 @@ def test_hard_rows(spark, tmp_path):
     got = sorted(map(tuple, index.search(frame(spark, [(9, [3.0, 0.0]), (8, None), (7, [1.0])]).withColumnRenamed("id", "query"), 5, 1).collect()))
     assert got == [(9, 1, 1.0), (9, 3, 0.5), (9, 6, 1.0)]
     assert V.VectorIndex(spark, f"file://{tmp_path}/e").sync(frame(spark, [(1, None)])) == {"unchanged": 0, "indexed": 0, "pruned": 0}
+
+
+def test_a_pair_of_full_blocks_holds_few_distances(monkeypatch):
+    """Two blocks of PACK rows give the k nearest of a plain sort, ties by id, in less memory than all distances take."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    ids, asked = rng.permutation(V.PACK) + 7, np.arange(V.PACK)
+    v, q = V.unit(rng.integers(-1, 2, (V.PACK, 4)).astype(float)), V.unit(rng.integers(-1, 2, (V.PACK, 4)).astype(float))  # many ties
+    tracemalloc.start()
+    got = [np.concatenate(x) for x in zip(*V.nearest(asked, q, ids, v, 5))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    far = V.distances(q, v)
+    order = np.lexsort((np.broadcast_to(ids, far.shape), np.round(far, 9)), axis=1)[:, :5]
+    assert (got[0] == np.repeat(asked, 5)).all() and (got[1] == ids[order].ravel()).all() and np.allclose(got[2], np.take_along_axis(far, order, 1).ravel(), atol=1e-9)
+    assert peak < V.PACK**2 * 8
+    assert [len(x) for x in next(V.nearest(asked[:1], q[:1], ids[:3], v[:3], 5))] == [3, 3, 3]
