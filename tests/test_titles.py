@@ -16,3 +16,14 @@ def test_every_row_has_its_links_and_its_cluster(spark):
     assert got[5] == (3, 3, 2) and got[7] == (7, 1, 0)
     assert {r["id"]: r["cluster"] for r in W.title_clusters(d, 0.7, 3).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
     assert {r["id"]: r["cluster"] for r in W.title_clusters(d, 0.6, 2).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 9: 9, 10: 9}
+
+
+def test_pairs_come_once_without_being_made_distinct(spark):
+    rows = [(k, f"common words of title {k % 7} part {k % 3} and {k}") for k in range(60)]
+    d = spark.createDataFrame(rows, "id long, title string").repartition(3)
+    sets = {k: set(t.split()) for k, t in rows}
+    found = M.title_pairs(d, 0.7)
+    got = [(r["a"], r["b"], r["similarity"]) for r in found.collect()]
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sorted(got) == sorted((a, b, round(v, 6)) for (a, b), v in like.items() if v >= 0.7) and got
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
