@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that one vectorised pass works on; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of rows with texts that go to Python at once, about. Workers keep what they once held, so that it adds up with all else.
+BATCH_BYTES = 4 << 20
 #: Bytes that one task reads where its rows only name ranges of files.
 TASK_BYTES = 128 << 20
 
@@ -158,17 +160,25 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs started within pass at most so many rows at once to Python: for rows of several kilobytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _limited(spark: SparkSession, name: str, most: int) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, str(most))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, rows: int):
+    """Jobs started within pass at most so many rows at once to Python: for rows of several kilobytes."""
+    return _limited(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def light_batches(spark: SparkSession):
+    """Jobs started within pass about BATCH_BYTES of rows at once to Python, or a single longer row: for texts of any length."""
+    return _limited(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what park() wrote once nothing reads it any more, and let Spark drop the shuffle files of ended jobs."""
     for df in tables:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from . import simhash
-from .common import blocks, carrying, checked_broadcast, discard, park, small_batches, sweep, texts, word_bounds
+from .common import blocks, carrying, checked_broadcast, discard, light_batches, park, small_batches, sweep, texts, word_bounds
 from .components import components, forest
 from .hashes import BASES, prefix, ranges, sliding
 from .simhash import _LOWER, keep_smallest
@@ -128,7 +128,8 @@ def _sketch(docs: DataFrame, common: np.ndarray | None, threshold: float) -> Dat
 def _common(docs: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Sorted: shingles that many documents of a sample hold, at most COMMON. They decide on the order only. And those among them for several tasks, with their number."""
     some = _sketch(docs.where(F.xxhash64("doc_id") % EVERY == 0), np.zeros(0, np.uint64), 0.0).select(F.explode("shingles").alias("shingle"))
-    often = some.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    with light_batches(docs.sparkSession):
+        often = some.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     hot = [(r["shingle"], -(-r["n"] * EVERY // SALT)) for r in often if r["n"] * EVERY > SALT]
     return np.sort(np.array([r["shingle"] for r in often], np.int64).view(np.uint64)), hot
 
@@ -163,7 +164,9 @@ def _keys(rows: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
     keys = rows.select(F.explode("shingles").alias("shingle"), "node", "n")
     if not hot:
         return keys.select("shingle", F.lit(-1).alias("salt"), "node", "n")
-    wide = F.broadcast(rows.sparkSession.createDataFrame(hot, "shingle long, salts int"))
+    # as an Arrow table, since a list of tuples is read by Python workers of its own
+    shingles, salts = zip(*hot)
+    wide = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"shingle": pa.array(shingles, pa.int64()), "salts": pa.array(salts, pa.int32())})))
     cold = keys.join(wide, "shingle", "left_anti").select("shingle", F.lit(-1).alias("salt"), "node", "n")
     salted = keys.distinct().join(wide, "shingle").select("shingle", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "n")
     return cold.unionByName(salted)
@@ -376,7 +379,8 @@ def _sets(docs: DataFrame, marks: DataFrame, wanted: DataFrame, threshold: float
     """(node, shingles) of the wanted nodes, written: whole sets, from the text of one doc_id each."""
     holders = checked_broadcast(park(marks.select("node", "doc_id").join(wanted.distinct(), "node", "left_semi").select("doc_id").distinct(), "holders"))
     sets = _sketch(docs.join(holders, "doc_id", "left_semi"), None, threshold).select("node", "shingles")
-    return park(sets.dropDuplicates(["node"]), "sets", compression="zstd")
+    with light_batches(docs.sparkSession):
+        return park(sets.dropDuplicates(["node"]), "sets", compression="zstd")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -390,7 +394,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD, k
     """(doc_id, component_id) for every row of docs with a doc_id; known (doc_id, component_id) joins rows beforehand."""
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     common, hot = _common(docs)
-    rows = park(_sketch(docs, common, threshold), "sketch", compression="zstd")
+    with light_batches(docs.sparkSession):
+        rows = park(_sketch(docs, common, threshold), "sketch", compression="zstd")
     roots = park(components(links(docs, rows, threshold, crowd, known, hot)), "roots")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = park(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "labelled")

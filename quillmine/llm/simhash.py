@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, carrying, checked_broadcast, joined, park, texts, word_bounds
+from .common import blocks, carrying, checked_broadcast, joined, light_batches, park, texts, word_bounds
 from .components import components, forest
 
 SHINGLE = 3
@@ -183,7 +183,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> Dat
 
 def classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
-    rows = park(fingerprints(docs, "doc_id"), "fingerprints")
+    with light_batches(docs.sparkSession):
+        rows = park(fingerprints(docs, "doc_id"), "fingerprints")
     fps = park(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = park(components(links(fps, threshold)), "roots")
     labelled = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

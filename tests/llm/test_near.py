@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from quillmine.llm import near
+from pyspark.sql import functions as F
+from quillmine.llm import near, simhash
 
 
 def brute(rows, threshold=0.8):
@@ -84,3 +85,31 @@ def test_bitmaps_tell_apart_only_what_is():
                 assert near._possible(n, bits, np.array([0]), np.array([1]), 0.8)[0]
     unlike = [np.unique(np.array([r.getrandbits(64) for _ in range(600)], np.uint64)) for _ in range(2)]
     assert not near._possible(np.array([600, 600]), [near.bitmap(x) for x in unlike], np.array([0]), np.array([1]), 0.8)[0]
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark, monkeypatch, tmp_path):
+    """Rows of 4,000 bytes came 10,000 at once, and workers kept what such batches took."""
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: F.substring(F.sha2(F.concat_ws("-", F.col("id") % 5997, k), 256), 1, 9))).alias("text"))
+    for module, name in ((near, "shingle_sets"), (simhash, "texts")):
+        plain, folder = getattr(module, name), tmp_path / name
+        folder.mkdir()
+
+        def seen(column, plain=plain, folder=str(folder)):
+            import uuid
+
+            open(f"{folder}/{column.nbytes}-{uuid.uuid4().hex}", "w").close()
+            return plain(column)
+
+        monkeypatch.setattr(module, name, seen)
+    got = {r["doc_id"]: r["component_id"] for r in near.joint_classes(docs).collect()}
+    assert got == {k: k % 5997 for k in range(6000)}
+    for name in ("shingle_sets", "texts"):
+        sizes = [int(p.name.split("-")[0]) for p in (tmp_path / name).iterdir()]
+        assert sum(sizes) >= 20 << 20 and max(sizes) < 6 << 20
+
+
+def test_hot_shingles_need_no_python(spark):
+    rows = spark.createDataFrame([(7, 3, [1, 2]), (8, 2, [2])], "node long, n int, shingles array<long>")
+    keys = near._keys(rows, [(2, 5)])
+    assert keys._jdf.queryExecution().toString().count("ExistingRDD") == near._keys(rows, [])._jdf.queryExecution().toString().count("ExistingRDD") * 2
+    assert sorted((r["shingle"], r["salt"] >= 0, r["node"], r["n"]) for r in keys.collect()) == [(1, False, 7, 3), (2, True, 7, 3), (2, True, 8, 2)]
