@@ -7,8 +7,9 @@ own) differ in T - 2M at most. Every name gets a bitmap of BITS parities of its
 so many, the bitmaps do not differ in more bits. There are T - 2M + 1 blocks at most, each with one bigram less than
 characters, so the bags of bigrams differ in 3(T - 2M) at most, and PAIRS bits tell that. Names are dealt into blocks, each pair of blocks is one group, and only
 numbers, lengths and bitmaps are exchanged. A group compares the names of each length with those whose lengths leave
-room, first by 64 bits, then by all; what is left meets its names, and the blocks are found by dynamic programming over
-runs. Nothing is left out: every filter is a bound that a pair at the threshold meets. All pairs of fitting lengths are
+room, first by 64 bits, then by all; what is left meets its names. Blocks keep their order, so the longest common
+subsequence, found for many pairs at once, bounds their characters too (where a name fits in WORD bits), and only where
+it suffices are the blocks found, by dynamic programming over runs. Nothing is left out: every filter is a bound that a pair at the threshold meets. All pairs of fitting lengths are
 compared in that way, at about a nanosecond or two each, so work grows with their number (linear in one side if the
 other stays as it is); a join on rare grams made more candidates of prose, as prose shares its grams.
 
@@ -36,6 +37,8 @@ from .graph import cut
 HOT, BITS, PAIRS, AT_ONCE = 1 << 17, 256, 512, 1 << 17
 #: Of second names of this many characters or more, frequent characters start no run.
 LONG = 200
+#: Characters of a name that are bits of one number.
+WORD = 64
 EDGE = 1e-9
 
 
@@ -77,17 +80,52 @@ def matched(one: str, two: str) -> int:
     return found
 
 
+def _codes(names: list[str], pad: int) -> np.ndarray:
+    """(names, a multiple of 8) code points, filled up with pad."""
+    n = np.fromiter(map(len, names), np.int64, len(names))
+    out = np.full((len(names), -(-int(n.max(initial=1)) // 8) * 8), pad, np.int32)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer("".join(names).encode("utf-32-le"), np.int32)
+    return out
+
+
+def in_order(one: list[str], two: list[str]) -> np.ndarray:
+    """The longest common subsequence of each pair of names, the first of 1 to WORD characters, by bit-parallel sums. Blocks hold no more characters, as they keep their order."""
+    a, b = _codes(one, -1), _codes(two, -2)
+    v = np.full(len(one), (1 << 64) - 1, np.uint64)
+    same = np.zeros((len(one), 8), np.uint8)
+    for j in range(b.shape[1]):
+        same[:, : a.shape[1] // 8] = np.packbits(a == b[:, j, None], axis=1, bitorder="little")
+        u = v & same.view(np.uint64).ravel()
+        v = (v + u) | (v - u)
+    own = np.uint64((1 << 64) - 1) >> np.fromiter((WORD - len(x) for x in one), np.uint64, len(one))
+    return np.bitwise_count(~v & own).astype(np.int64)
+
+
+def _likely(one: list[str], two: list[str], threshold: float) -> list[int]:
+    """The pairs whose characters in common bound the ratio by threshold or more: those in order, or whatever their order if both names are longer than WORD."""
+    short, long = (f(np.fromiter(map(len, one), np.int64, len(one)), np.fromiter(map(len, two), np.int64, len(two))) for f in (np.minimum, np.maximum))
+    both = short + long
+    out = [k for k in np.flatnonzero(short > WORD).tolist() if 2.0 * (Counter(one[k]) & Counter(two[k])).total() / both[k] >= threshold]
+    order = np.flatnonzero(short <= WORD)
+    order = order[np.argsort(long[order], kind="stable")]
+    at = 0
+    while at < len(order):
+        widest = int(long[order[min(at + 4096, len(order)) - 1]])
+        some = order[at : at + max(1, min(4096, (1 << 19) // widest))]
+        pairs = [sorted((one[k], two[k]), key=len) for k in some.tolist()]
+        out += some[2.0 * in_order([x for x, _ in pairs], [y for _, y in pairs]) / both[some] >= threshold].tolist()
+        at += len(some)
+    return out
+
+
 def _ratios(threshold: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for one, two in zip(frame["a"], frame["b"]):
-                both = len(one) + len(two)
-                # characters in common, whatever their order, bound the ratio from above
-                if 2.0 * (Counter(one) & Counter(two)).total() / both >= threshold:
-                    ratio = 2.0 * matched(one, two) / both
-                    if ratio >= threshold:
-                        out.append((one, two, ratio))
+            one, two, out = frame["a"].tolist(), frame["b"].tolist(), []
+            for k in _likely(one, two, threshold):
+                ratio = 2.0 * matched(one[k], two[k]) / (len(one[k]) + len(two[k]))
+                if ratio >= threshold:
+                    out.append((one[k], two[k], ratio))
             yield pd.DataFrame(out, columns=["a", "b", "ratio"])
 
     return run

@@ -167,3 +167,36 @@ def test_few_names_meet_many_in_blocks(spark, monkeypatch):
     few, many = made(9, 40), made(10, 160)
     rows = [(r["a"], r["b"], r["ratio"]) for r in Z.close_pairs(frame(spark, many), frame(spark, few), 0.8).collect()]
     assert sorted(rows) == sorted((a, b, ratio(a, b)) for a in many for b in few if ratio(a, b) >= 0.8) and rows
+
+
+def test_names_in_common_order_are_found_before_blocks(monkeypatch):
+    """Names of the same characters in another order were all compared block by block."""
+    import pandas as pd
+
+    rng = random.Random(11)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b):
+                left, row[j + 1] = row[j + 1], left + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    one = ["".join(rng.choices("abcd\u00e9\U0001f600", k=rng.choice([1, 2, 7, 8, 9, 63, 64]))) for _ in range(300)]
+    two = [x if k % 5 == 0 else "".join(rng.sample(x, len(x))) + rng.choice("abz") * (k % 3 * 9) for k, x in enumerate(one)]
+    got = Z.in_order(one, two).tolist()
+    assert got == [plain(a, b) for a, b in zip(one, two)] and all(n >= Z.matched(a, b) for n, a, b in zip(got, one, two))
+    for most, n in ((10, 900), (80, 300), (400, 60)):
+        letters = "".join(map(chr, range(97, 97 + 12)))
+        one = ["".join(rng.choices(letters, k=rng.randrange(most // 2, most))) for _ in range(n)]
+        two = [x[:3] + x[4:] if k % 9 == 0 else "".join(rng.sample(x, len(x))) for k, x in enumerate(one)]
+        if most == 400:
+            one[:9], two[:9] = ["b" * 3] * 9, ["b" * 3 + "c" * k for k in range(9)]
+        asked, blocks = [], Z.matched
+        monkeypatch.setattr(Z, "matched", lambda a, b: asked.append((a, b)) or blocks(a, b))
+        found = next(Z._ratios(0.8)(iter([pd.DataFrame({"a": one, "b": two})])))
+        monkeypatch.setattr(Z, "matched", blocks)
+        assert sorted(found.itertuples(index=False, name=None)) == sorted((a, b, ratio(a, b)) for a, b in zip(one, two) if ratio(a, b) >= 0.8)
+        assert most > 10 or len(asked) < n / 3
+    assert next(Z._ratios(0.8)(iter([pd.DataFrame({"a": [], "b": []})]))).empty
