@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, carrying, park, texts
+from .common import blocks, carrying, light_batches, park, texts
 
 BITS = 18
 GRAMS = (3, 4, 5, 6, 7, 8)
@@ -31,7 +31,7 @@ SAMPLE = 2000
 TOP = 4096
 THRESHOLD = 0.7
 #: Bytes of text in one vectorised pass; each n-gram of it takes some 60 bytes meanwhile.
-PASS_BYTES = 1 << 18
+PASS_BYTES = 1 << 16
 #: How far the intercept leans from the classes' shares in the labels (0) to equal shares (1).
 LEAN = 0.75
 
@@ -133,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             part = at[k : k + (1 << 16)]
             yield pa.record_batch([pa.array(part), pa.array(seen[0, part]), pa.array(seen[1, part])], ["bucket", "no", "yes"])
 
-    seen = park(rows.mapInArrow(count, "bucket long, no long, yes long").groupBy("bucket").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")), "buckets")
+    seen = rows.mapInArrow(count, "bucket long, no long, yes long").groupBy("bucket").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    with light_batches(docs.sparkSession):
+        seen = park(seen, "buckets")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = counts[1] / total
@@ -159,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.record_batch([batch.column("label"), pa.array(chosen, pa.list_(pa.int32()))], ["label", "features"])
 
     # 2 * sample rows of TOP small numbers at most
-    sampled = rows.mapInArrow(reduce, "label int, features array<int>").toPandas()
+    with light_batches(docs.sparkSession):
+        sampled = rows.mapInArrow(reduce, "label int, features array<int>").toPandas()
     row = np.repeat(np.arange(len(sampled), dtype=np.int32), [len(x) for x in sampled["features"]])
     column = np.concatenate([np.asarray(x, np.int32) for x in sampled["features"]])
     label = sampled["label"].to_numpy(float)
@@ -171,17 +174,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns keep of docs, and score."""
-    schema = docs.select(*keep).schema.add("score", "double")
+    """The columns keep of docs, and score. Only texts go to Python, each once, and only scores come back."""
     weights, intercept = model.weights.astype(np.float32), model.intercept
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(weights.astype(np.float64), intercept)
-        for batch in batches:
-            columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.record_batch([*columns, pa.array(own.scores(batch.column(len(keep))))], schema=pa.schema([*[batch.schema.field(i) for i in range(len(keep))], ("score", pa.float64())]))
+        for column in columns:
+            yield pa.array(own.scores(column))
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, run("text").alias("score"))
 
 
 def training(labels: DataFrame) -> DataFrame:

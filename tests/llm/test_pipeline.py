@@ -63,6 +63,41 @@ def test_toxicity_drops_what_scores_high(spark):
     assert sorted(kept) == sorted(r["doc_id"] for r in scored if r["predicted"] == 0) and len(kept) < len(scored)
 
 
+def python_bytes(df):
+    """Bytes that the last run of df sent to Python workers, and that came back."""
+    sent, back, plans = 0, 0, [df._jdf.queryExecution().executedPlan()]
+    for plan in plans:
+        metrics = plan.metrics()
+        sent, back = (n + (metrics.apply(k).value() if metrics.contains(k) else 0) for n, k in ((sent, "pythonDataSent"), (back, "pythonDataReceived")))
+        plans += [plan.children().apply(k) for k in range(plan.children().size())]
+    return sent, back
+
+
+def test_toxicity_sends_each_text_to_python_once_and_gets_scores_only(spark):
+    """Rows that went there and back, the text twice, took executors' memory that grew with all columns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("more", F.repeat("text", 3))
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF)
+    n = len(kept.collect())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    sent, back = python_bytes(kept)
+    assert n and size < sent < 1.1 * size + 100_000 and 0 < back < 0.1 * size + 10_000
+
+
+def test_toxicity_passes_hold_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    weights = np.random.default_rng(1).normal(size=1 << toxicity.BITS)
+    texts = pa.array([f"word {k} and others, {k * k} in all " * 20 for k in range(2000)])
+    tracemalloc.start()
+    toxicity.Model(weights, 0.0).scores(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20
+
+
 def test_near_duplicates_are_those_of_all_pairs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
