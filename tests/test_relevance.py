@@ -103,3 +103,16 @@ def test_arcs_are_not_sent_for_every_group_of_seeds(spark, exchanged):
     rows = R.walks(df, spark.createDataFrame([(k,) for k in range(64)], "node long"), eps=1e-3)
     assert rows.select("seed").distinct().count() == 64
     assert exchanged()[1] - before[1] < 100_000  # one copy for each of 16 tasks alone is 320,000 rows
+
+
+def test_cluster_leaves_out_no_row_that_ranks(spark, monkeypatch):
+    """Rows that a task may leave out, with equals in the rounded score, against all rows."""
+    rng = np.random.default_rng(8)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(rng.integers(0, 300, 900), rng.integers(0, 300, 900))] + [(400, n) for n in range(401, 440)], "src long, dst long")
+    seeds = spark.createDataFrame([(k,) for k in (0, 50, 100, 400, 999)], "node long")
+    together = spark.createDataFrame([(0, 299, 0.3), (0, 7, -0.5), (50, 100, 0.001), (400, 439, 0.0001), (400, 430, -0.9), (999, 1, 0.5)], "a long, b long, npmi double")
+    thin = {tuple(r) for r in R.cluster(edges, seeds, together, budget=5).collect()}
+    kept = R.walks(edges.unionByName(R.reverse(edges)), seeds.selectExpr("node", "CAST(NULL AS ARRAY<BIGINT>) AS also"), best=5)
+    assert kept.count() < 80
+    monkeypatch.setattr(R, "HELD", 0)
+    assert thin == {tuple(r) for r in R.cluster(edges, seeds, together, budget=5).collect()} and len(thin) >= 20
