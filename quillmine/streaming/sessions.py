@@ -1,9 +1,9 @@
 """Sessions of a call log as keyed state with timers: what each one touched, when it closed, and duplicates within the watermark.
 
 A session is a run of one user's events in which no two neighbours are gap or more apart. State keeps each user's open
-sessions; an event that comes out of order opens one, lengthens one or joins two. An event-time timer at a session's end
-plus gap closes it: it leaves the state and comes out as one row. The state of a user holds what is open, so it is
-bounded by what gap and watermark let be open at once.
+sessions; an event that comes out of order opens one, lengthens one or joins two. An event-time timer at the first session's
+end plus gap closes it and all others that are over: they leave the state and come out as one row each. The state of a
+user is one value that holds what is open, so it is bounded by what gap and watermark let be open at once.
 
 Cases: events behind the watermark are dropped, as their session may be out already; events without a user or a time are
 dropped, but a time without a user moves the watermark; without a symbol they count as calls only; an event whose id was
@@ -67,24 +67,29 @@ def merged(open_: list[tuple], new: list[tuple], gap_ms: int) -> list[tuple]:
 
 
 class Sessions(StatefulProcessor):
-    """Open sessions of one user, closed by timers."""
+    """Open sessions of one user. One timer, for the first that can close, closes all that the watermark has passed."""
 
     def __init__(self, gap_ms: int = GAP_MS):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start_ms long, end_ms long, calls long, symbols array<long>")
+        self.open = handle.getValueState("open", "start_ms array<long>, end_ms array<long>, calls array<long>, symbols array<array<long>>")
 
     def _get(self) -> list[tuple]:
-        return [(s, e, n, frozenset(k or ())) for s, e, n, k in self.open.get()]
+        held = self.open.get()
+        return [(s, e, n, frozenset(k)) for s, e, n, k in zip(*held)] if held else []
 
     def _put(self, now: list[tuple]) -> None:
         if now:
-            self.open.put([(s, e, n, sorted(k)) for s, e, n, k in now])
+            start, end, calls_, symbols = zip(*now)
+            self.open.update((list(start), list(end), list(calls_), [sorted(k) for k in symbols]))
         else:
             self.open.clear()
 
+    def _next(self, now: list[tuple]) -> int | None:
+        return min(s[1] for s in now) + self.gap_ms if now else None
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for frame in rows:
@@ -92,20 +97,23 @@ class Sessions(StatefulProcessor):
             new += [(t, t, 1, frozenset() if pd.isna(k) else frozenset((int(k),))) for t, k in zip(ms, frame["symbol"])]
         before = self._get()
         now = merged(before, new, self.gap_ms)
-        ends = {e + self.gap_ms for _, e, _, _ in now}
-        for t in {e + self.gap_ms for _, e, _, _ in before} - ends:
-            self.handle.deleteTimer(t)
-        for t in ends:
-            self.handle.registerTimer(t)
+        was, due = self._next(before), self._next(now)
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(due)
         self._put(now)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed_at = expiredTimerInfo.getExpiryTimeInMs()
+        closed_at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         now = self._get()
         done = [s for s in now if s[1] + self.gap_ms <= closed_at]
-        self._put([s for s in now if s[1] + self.gap_ms > closed_at])
         if done:
+            left = [s for s in now if s[1] + self.gap_ms > closed_at]
+            self._put(left)
+            if left:
+                self.handle.registerTimer(self._next(left))
             yield pd.DataFrame({"user": [key[0]] * len(done), "start_ms": [s[0] for s in done], "end_ms": [s[1] for s in done], "calls": [s[2] for s in done], "symbols": [sorted(s[3]) for s in done]})
 
     def close(self) -> None:

@@ -108,3 +108,61 @@ def test_fractions_of_milliseconds_and_the_last_watermark_as_in_sql(spark, tmp_p
         con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
         want = set(con.execute(P.ORACLES["stream_sessions"]).fetchall())
         assert got == want and len(want) >= 3, (got - want, want - got)
+
+
+def test_a_user_has_one_timer_and_one_value(spark):
+    """However many sessions are open: one timer and one write for an input, and one expiry gives all that are over."""
+    calls = []
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        put = update
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        getListState = getValueState
+
+        def registerTimer(self, t):
+            calls.append(("timer", t))
+
+        def deleteTimer(self, t):
+            calls.append(("no timer", t))
+
+    class Now:
+        def __init__(self, t):
+            self.t = t
+
+        def getExpiryTimeInMs(self):
+            return N.GAP_MS + 60 * MINUTE
+
+        def getCurrentWatermarkInMs(self):
+            return self.t
+
+    p = N.Sessions()
+    p.init(Handle())
+    ms = [k * 60 * MINUTE for k in range(1, 201)]
+    frame = pd.DataFrame({"ts": pd.to_datetime(ms, unit="ms"), "symbol": [None, *range(199)]})
+    assert list(p.handleInputRows((7,), iter([frame]), Now(0))) == []
+    assert calls == ["get", ("timer", ms[0] + N.GAP_MS), "update"]
+    calls.clear()
+    out = pd.concat(p.handleExpiredTimer((7,), Now(ms[149] + N.GAP_MS), Now(0)))
+    assert out["start_ms"].tolist() == ms[:150] and out["symbols"].tolist()[:3] == [[], [0], [1]]
+    assert calls == ["get", "update", ("timer", ms[150] + N.GAP_MS)]
+    calls.clear()
+    out = pd.concat(p.handleExpiredTimer((7,), Now(1 << 50), Now(0)))
+    assert len(out) == 50 and calls == ["get", "clear"]
