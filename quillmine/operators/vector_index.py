@@ -103,11 +103,24 @@ class VectorIndex:
         rows = rows.withColumn("hash", F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",")))
         return rows.groupBy("id").agg(F.max(F.struct("hash", "embedding")).alias("one")).select("id", "one.*")
 
+    def _sample(self, rows: DataFrame) -> DataFrame:
+        """The SAMPLE rows (embedding) of least hash. A bound on the hash leaves little more than those before they are ordered, so partitions do not send SAMPLE rows each."""
+        rows = rows.where(F.size("embedding") > 0).select("id", F.md5(F.col("id").cast("string")).alias("key"), "embedding")
+        n, share = rows.count(), 1.1
+        while SAMPLE * share < n:
+            some = rows.where(F.col("key") < f"{int((1 << 32) * SAMPLE * share / n):08x}")
+            if some.count() >= SAMPLE:
+                rows = some
+                break
+            share *= 2
+        return rows.orderBy("key", "id").limit(SAMPLE).select("embedding")
+
     def _fit(self, rows: DataFrame) -> None:
-        some = rows.where(F.size("embedding") > 0).orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE).collect()
-        if some:
-            width = max(set(map(len, (r["embedding"] for r in some))), key=lambda n: (sum(len(r["embedding"]) == n for r in some), n))
-            self.centres = fit_centres(unit(np.array([r["embedding"] for r in some if len(r["embedding"]) == width], np.float64)), self.lists)
+        some = self._sample(rows).toArrow()["embedding"].combine_chunks()
+        if len(some):
+            long = some.value_lengths().to_numpy()
+            width = max(zip(*reversed(np.unique(long, return_counts=True))))[1]  # of equally frequent ones the largest
+            self.centres = fit_centres(unit(_matrix(some.filter(pa.array(long == width)), int(width))), self.lists)
 
     def _assigned(self, rows: DataFrame) -> DataFrame:
         centres = self.centres
@@ -131,13 +144,14 @@ class VectorIndex:
         rows = rows.where(F.size("embedding") == self.centres.shape[1])
         both = rows.select("id", "hash").join(self.rows().select("id", F.col("hash").alias("had")), "id", "full")
         state = F.when(F.col("hash").isNull(), "pruned").when(F.col("had").eqNullSafe(F.col("hash")), "unchanged").otherwise("indexed")
-        states = cut(both.select("id", state.alias("state")))
+        states = cut(both.select("id", state.alias("state"), F.col("had").isNotNull().alias("old")))
         counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
-        fresh = rows.join(states.where("state = 'indexed'").select("id"), "id", "left_semi")
+        # not broadcast, as the ids are as many as the rows
+        fresh = rows.join(states.where("state = 'indexed'").select("id").hint("merge"), "id", "left_semi") if self.segments else rows
         if counts.get("indexed") or counts.get("pruned"):
             n = max(self.segments, default=0) + 1
             self._assigned(fresh).write.partitionBy("list").parquet(f"{self.path}/rows/seg={n}")
-            states.where("state <> 'unchanged'").select("id").write.parquet(f"{self.path}/gone/seg={n}")
+            states.where("state <> 'unchanged' AND old").select("id").write.parquet(f"{self.path}/gone/seg={n}")
             self.segments = [*self.segments, n]
         return {k: counts.get(k, 0) for k in ("unchanged", "indexed", "pruned")}
 

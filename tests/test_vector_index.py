@@ -104,3 +104,38 @@ def test_a_pair_of_full_blocks_holds_few_distances(monkeypatch):
     assert (got[0] == np.repeat(asked, 5)).all() and (got[1] == ids[order].ravel()).all() and np.allclose(got[2], np.take_along_axis(far, order, 1).ravel(), atol=1e-9)
     assert peak < V.PACK**2 * 8
     assert [len(x) for x in next(V.nearest(asked[:1], q[:1], ids[:3], v[:3], 5))] == [3, 3, 3]
+
+
+def test_partitions_do_not_send_a_whole_sample_each_to_the_driver(spark, tmp_path, monkeypatch):
+    def sent():
+        gateway = spark.sparkContext._gateway
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum({s.stageId(): s.resultSize() for s in map(stages.apply, range(stages.size()))}.values())
+
+    monkeypatch.setattr(V, "SAMPLE", 500)
+    rng = np.random.default_rng(2)
+    rows = {i: rng.normal(size=16 if i % 40 else 3) for i in range(10_000)}
+    path = f"file://{tmp_path}/rows"
+    frame(spark, rows.items()).repartition(20).write.parquet(path)
+    df, seen = spark.read.option("mergeSchema", False).parquet(path).repartition(20), []
+    monkeypatch.setattr(V, "fit_centres", lambda sample, lists: seen.append(sample))
+    index, before = V.VectorIndex(spark, f"file://{tmp_path}/v"), sent()
+    index._fit(df)
+    import hashlib
+
+    least = sorted(rows, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))[:500]
+    assert np.array_equal(seen[0], V.unit(np.array([rows[i] for i in least if len(rows[i]) == 16])))
+    assert sent() - before < 1_000_000
+
+
+def test_only_replaced_ids_are_kept_as_gone(spark, tmp_path, clustered):
+    index = V.VectorIndex(spark, f"file://{tmp_path}/v", lists=8)
+    now = dict(clustered[:60])
+    index.sync(frame(spark, now.items()))
+    assert spark.read.parquet(f"file://{tmp_path}/v/gone/seg=1").count() == 0
+    first = now.pop(3)
+    now[5], now[2000] = -now[5], now[6]
+    index.sync(frame(spark, now.items()))
+    assert {r["id"] for r in spark.read.parquet(f"file://{tmp_path}/v/gone/seg=2").collect()} == {3, 5}
+    index.sync(frame(spark, {**now, 3: first}.items()))
+    assert sorted(r["id"] for r in index.rows().collect()) == sorted([*now, 3])
