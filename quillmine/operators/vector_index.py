@@ -218,7 +218,8 @@ class VectorIndex:
                     for query, id_, d in nearest(queries, q, ids, v, k):
                         yield pa.record_batch([pa.array(query), pa.array(id_), pa.array(d)], ["query", "id", "d"])
 
-        pairs = self._packed(self.rows(), "id").join(self._packed(near, "query"), "list")
+        # not broadcast: Spark sees the queries' size, of which every list that a query probes gets a copy
+        pairs = self._packed(self.rows(), "id").join(self._packed(near, "query").hint("merge"), "list")
         return pairs.mapInArrow(run, "query long, id long, d double")
 
     def search(self, queries: DataFrame, k: int, probes: int, exact: bool = True) -> DataFrame:

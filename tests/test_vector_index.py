@@ -139,3 +139,14 @@ def test_only_replaced_ids_are_kept_as_gone(spark, tmp_path, clustered):
     assert {r["id"] for r in spark.read.parquet(f"file://{tmp_path}/v/gone/seg=2").collect()} == {3, 5}
     index.sync(frame(spark, {**now, 3: first}.items()))
     assert sorted(r["id"] for r in index.rows().collect()) == sorted([*now, 3])
+
+
+def test_blocks_are_not_broadcast(spark, tmp_path, clustered):
+    index = V.VectorIndex(spark, f"file://{tmp_path}/v", lists=8)
+    index.sync(frame(spark, clustered[:100]))
+    near = index._near(frame(spark, clustered[:20]).withColumnRenamed("id", "query"), np.zeros(1), 4, False)
+    found = index._compared(near, 3)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the one join of blocks, which stands before the joins with replaced ids
+    assert "SortMergeJoin [list" in plan and "BroadcastHashJoin [list" not in plan
